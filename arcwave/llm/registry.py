@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from arcwave.llm.packing import op9_packing
+from arcwave.llm.substring_dedup import op4_substring_dedup
 from arcwave.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
