@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from arcwave.llm.packing import op9_packing
+from arcwave.llm.pii import op10_pii
 from arcwave.llm.substring_dedup import op4_substring_dedup
 from arcwave.llm.token_counts import op5_token_counts
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
