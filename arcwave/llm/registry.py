@@ -6,10 +6,12 @@ from arcwave.llm.packing import op9_packing
 from arcwave.llm.pii import op10_pii
 from arcwave.llm.substring_dedup import op4_substring_dedup
 from arcwave.llm.token_counts import op5_token_counts
+from arcwave.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
