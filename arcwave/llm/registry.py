@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from arcwave.llm.packing import op9_packing
 from arcwave.llm.pii import op10_pii
+from arcwave.llm.secret_scan import op3_secret_scan
 from arcwave.llm.substring_dedup import op4_substring_dedup
 from arcwave.llm.token_counts import op5_token_counts
 from arcwave.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op8_toxicity": op8_toxicity,
