@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwave.llm.decontamination import op7_decontamination
 from arcwave.llm.packing import op9_packing
 from arcwave.llm.pii import op10_pii
 from arcwave.llm.secret_scan import op3_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
