@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwave.llm import embedding_dedup
 from arcwave.llm.decontamination import op7_decontamination
 from arcwave.llm.packing import op9_packing
 from arcwave.llm.pii import op10_pii
@@ -11,6 +12,7 @@ from arcwave.llm.token_counts import op5_token_counts
 from arcwave.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
@@ -20,4 +22,6 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
+}
