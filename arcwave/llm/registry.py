@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcwave.llm import embedding_dedup
+from arcwave.llm import embedding_dedup, ngram_join
 from arcwave.llm.decontamination import op7_decontamination
 from arcwave.llm.packing import op9_packing
 from arcwave.llm.pii import op10_pii
@@ -12,6 +12,7 @@ from arcwave.llm.token_counts import op5_token_counts
 from arcwave.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
@@ -23,5 +24,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.SQL,
     "op2_embedding_dedup": embedding_dedup.SQL,
 }
