@@ -7,6 +7,7 @@ from arcwave.llm.decontamination import op7_decontamination
 from arcwave.llm.packing import op9_packing
 from arcwave.llm.pii import op10_pii
 from arcwave.llm.secret_scan import op3_secret_scan
+from arcwave.llm.sharding import op6_sharding
 from arcwave.llm.substring_dedup import op4_substring_dedup
 from arcwave.llm.token_counts import op5_token_counts
 from arcwave.llm.toxicity import op8_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
