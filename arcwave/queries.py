@@ -2,5 +2,275 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arcwave.control import decomposition_charges, outcome, schedule_charges
+from arcwave.graph import FORWARD, REVERSE, Graph
+from arcwave.operators.schedule import Schedule, longest_paths
+from arcwave.operators.scc import Decomposition, decompose
+from arcwave.operators.traversal import breadth_first, depth_first, depth_first_forest
+from arcwave.sources import snapshot, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+PROFILE = bytes(range(32))
+LIMITS = (0, 1, 5_000, 30_000, 60_000, 1_000_000)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# The graphs in SQL: v(k, dense) and e(src, dst), then what components and ranks need.
+
+_LINES = "partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount"
+_RAW = {
+    "copart": ("select p_partkey k from part", f"select s, t from (select l_partkey s, lead(l_partkey) over ({_LINES}) t, l_quantity q from lineitem) where q >= 48"),
+    "cosupp": ("select s_suppkey k from supplier", f"select s, t from (select l_suppkey s, lead(l_suppkey) over ({_LINES}) t, l_quantity q, l_discount d from lineitem) where q >= 50 and d >= 0.09"),
+    "handoff": ("select c_custkey k from customer", "select s, t from (select o_custkey s, lead(o_custkey) over (order by o_orderdate, o_orderkey) t, o_orderpriority p, o_orderstatus st from orders) where p = '1-URGENT' and st = 'F'"),
+    "dialogue": ("select conv_id * 1000 + turn k from conversations", "select conv_id * 1000 + turn s, lead(conv_id * 1000 + turn) over (partition by conv_id order by turn) t from conversations"),
+    "event_types": ("select event_type k from events", "select event_type s, lead(event_type) over (partition by user_id order by ts, event_id) t from events"),
+}
+
+
+def with_graph(name: str, body: str, more: str = "") -> str:
+    nodes, pairs = _RAW[name]
+    return f"""with recursive v as materialized (select k, (row_number() over (order by k) - 1)::bigint dense from (select distinct k from ({nodes}))),
+raw as materialized (select s, t from ({pairs}) where t is not null),
+e as materialized (select distinct a.dense src, b.dense dst from raw join v a on a.k = s join v b on b.k = t){more}
+{body}"""
+
+
+_SCC = """,
+reach(a, b) as (select src, dst from e union select r.a, e.dst from reach r join e on e.src = r.b),
+least as materialized (select v.dense, least(v.dense, coalesce((select min(x.b) from reach x join reach y on y.a = x.b and y.b = x.a where x.a = v.dense), v.dense)) m from v),
+mem as materialized (select dense, (dense_rank() over (order by m) - 1)::bigint component from least),
+loops as (select distinct m.component from e join mem m on m.dense = e.src where e.src = e.dst),
+comp as materialized (
+  select component, (sum(n) over (order by component) - n)::bigint member_start, (sum(n) over (order by component))::bigint member_end, n::bigint member_count,
+    n > 1 or l is not null cyclic, n = 1 and l is not null self_cycle, n > 1 multi_vertex_cycle
+  from (select mem.component, count(*) n, any_value(loops.component) l from mem left join loops on loops.component = mem.component group by mem.component)),
+cand as materialized (select a.component cs, b.component cd from e join mem a on a.dense = src join mem b on b.dense = dst where a.component <> b.component),
+q as materialized (select distinct cs src, cd dst from cand)"""
+_RANK = (
+    _SCC
+    + """,
+deep(c, d) as (select component, 0::bigint from comp union select q.dst, d + 1 from deep join q on q.src = deep.c),
+ranks as materialized (select c component, max(d) as rank from deep group by c)"""
+)
+_DIMS = "(select count(*) from v) nv, (select count(*) from e) ne, (select count(*) from comp) nc, (select count(*) from cand) nr, (select count(*) from q) nq"
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> Graph:
+    return tables.graph(getattr(tables, name)(spark, sf_dir))
+
+
+def _decomposed(spark: SparkSession, sf_dir: str, name: str) -> Decomposition:
+    return decompose(_build(spark, sf_dir, name))
+
+
+def _scheduled(spark: SparkSession, sf_dir: str, name: str) -> tuple[Decomposition, Schedule]:
+    d = _decomposed(spark, sf_dir, name)
+    return d, d.condensation.schedule()
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the co-purchase graph with their ranks."""
+    d, s = _scheduled(spark, sf_dir, "copart")
+    return d.components.join(s.table.select("component", "rank"), "component").select("component", "member_count", "cyclic", "rank")
+
+
+query("components_with_ranks", with_graph("copart", "select comp.component, member_count, cyclic, rank from comp join ranks on ranks.component = comp.component", _RANK))(flagship)
+
+# construction and projections
+for _name in _RAW:
+    query(f"canonical_vertices_{_name}", with_graph(_name, "select dense, k as stable from v"))(lambda spark, sf_dir, n=_name: _build(spark, sf_dir, n).vertices)
+    query(f"canonical_edges_{_name}", with_graph(_name, "select src, dst from e"))(lambda spark, sf_dir, n=_name: _build(spark, sf_dir, n).edges)
+    query(f"graph_dimensions_{_name}", with_graph(_name, "select (select count(*) from v) vertex_count, (select count(*) from raw) raw_edges, (select count(*) from e) edge_count, (select count(*) from e where src = dst) self_loops"))(
+        lambda spark, sf_dir, n=_name: _dimensions(spark, sf_dir, n)
+    )
+
+
+def _dimensions(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    g = _build(spark, sf_dir, name)
+    raw = getattr(tables, name)(spark, sf_dir)[1].agg(F.count(F.lit(1)).alias("raw_edges"))
+    loops = g.edges.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_loops"))
+    return raw.join(loops).select(F.lit(g.vertex_count).cast("bigint").alias("vertex_count"), "raw_edges", F.lit(g.edge_count).cast("bigint").alias("edge_count"), "self_loops")
+
+
+@query("dense_edges", "select distinct l_partkey % 100 src, l_suppkey % 100 dst from lineitem")
+def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return Graph.from_dense_edges(spark, 100, lines.select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"))).edges
+
+
+def _offsets_sql(a: str) -> str:
+    return with_graph("copart", f"""select 0::bigint pos, 0::bigint "offset" union all
+select dense + 1, (sum(n) over (order by dense))::bigint from (select dense, (select count(*) from e where {a} = dense) n from v)""")
+
+
+query("csr_forward_offsets", _offsets_sql("src"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").offsets(FORWARD))
+query("csr_reverse_offsets", _offsets_sql("dst"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").offsets(REVERSE))
+query("csr_forward_targets", with_graph("copart", "select (row_number() over (order by src, dst) - 1)::bigint pos, dst target from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").targets(FORWARD))
+query("csr_reverse_targets", with_graph("copart", "select (row_number() over (order by dst, src) - 1)::bigint pos, src target from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").targets(REVERSE))
+query("adjacency_lists", with_graph("copart", "select src, dst, (row_number() over (partition by src order by dst) - 1)::bigint pos from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").adjacency())
+query("predecessor_lists", with_graph("copart", "select dst src, src dst, (row_number() over (partition by dst order by src) - 1)::bigint pos from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").adjacency(REVERSE))
+query("successors_of", with_graph("copart", "select dst from e where src = 7"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").successors(7))
+query("predecessors_of", with_graph("copart", "select src from e where dst = 7"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").predecessors(7))
+
+
+@query("stable_lookup", with_graph("cosupp", "select (select k from v where dense = 7) as stable, (select dense from v where k = (select k from v where dense = 7)) dense, exists (select 1 from e where src = 7 and dst = 8) has_edge"))
+def stable_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _build(spark, sf_dir, "cosupp")
+    key = g.stable_id(7)
+    return spark.createDataFrame([(key, g.dense_id(key), g.contains_edge(7, 8))], "stable bigint, dense bigint, has_edge boolean")
+
+
+# traversals
+@query("bfs_order", with_graph("copart", "select (row_number() over (order by lvl, p) - 1)::bigint pos, v as dense from walk", """,
+walk(v, lvl, p) using key (v) as (
+  select 0::bigint, 0::bigint, 0::bigint union
+  select dst, lvl, (row_number() over (order by mp, dst) - 1)::bigint from (
+    select e.dst, max(w.lvl) + 1 lvl, min(w.p) mp from walk w join e on e.src = w.v where not exists (select 1 from recurring.walk r where r.v = e.dst) group by e.dst))"""))
+def bfs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breadth_first(_build(spark, sf_dir, "copart"), 0)
+
+
+@query("bfs_levels", with_graph("copart", "select (row_number() over (order by lvl, p) - 1)::bigint pos, v as dense from walk", """,
+walk(v, lvl, p) using key (v) as (
+  select 0::bigint, 0::bigint, 0::bigint union
+  select dst, lvl, (row_number() over (order by mp, dst) - 1)::bigint from (
+    select e.dst, max(w.lvl) + 1 lvl, min(w.p) mp from walk w join e on e.src = w.v where not exists (select 1 from recurring.walk r where r.v = e.dst) group by e.dst))"""))
+def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breadth_first(_build(spark, sf_dir, "copart"), 0, strategy="distributed")
+
+
+query("reachable_set", with_graph("copart", "select b as dense from reach", ", reach(b) as (select 0::bigint union select dst from reach join e on src = b)"))(lambda spark, sf_dir: breadth_first(_build(spark, sf_dir, "copart"), 0).select("dense"))
+query("dfs_preorder")(lambda spark, sf_dir: depth_first(_build(spark, sf_dir, "copart"), 0))
+query("dfs_forest")(lambda spark, sf_dir: depth_first_forest(_build(spark, sf_dir, "copart")))
+
+# components and their quotient
+for _name in ("copart", "cosupp", "handoff", "event_types"):
+    query(f"scc_membership_{_name}", with_graph(_name, "select dense, component from mem", _SCC))(lambda spark, sf_dir, n=_name: _decomposed(spark, sf_dir, n).membership)
+    query(f"scc_components_{_name}", with_graph(_name, "select * from comp", _SCC))(lambda spark, sf_dir, n=_name: _decomposed(spark, sf_dir, n).components)
+query("scc_membership_distributed", with_graph("copart", "select dense, component from mem", _SCC))(lambda spark, sf_dir: decompose(_build(spark, sf_dir, "copart"), "distributed").membership)
+query("scc_fibers", with_graph("copart", "select (row_number() over (order by component, dense) - 1)::bigint pos, component, dense from mem", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").fibers())
+query("scc_cyclic", with_graph("cosupp", "select component, member_count, self_cycle from comp where cyclic", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").cyclic_components().select("component", "member_count", "self_cycle"))
+query("scc_is_acyclic", with_graph("dialogue", "select not exists (select 1 from comp where cyclic) acyclic", _SCC))(lambda spark, sf_dir: spark.createDataFrame([(_decomposed(spark, sf_dir, "dialogue").is_acyclic(),)], "acyclic boolean"))
+query("scc_fiber_of", with_graph("copart", "select dense from mem where component = (select component from mem where dense = 3)", _SCC))(lambda spark, sf_dir: (lambda d: d.fiber(d.component_of(3)))(_decomposed(spark, sf_dir, "copart")))
+query("scc_validate_report", "select unnest(['total', 'in domain', 'fibers contiguous', 'fiber sizes', 'order by least member', 'cycle flags', 'quotient complete', 'quotient sound']) law, 0::bigint broken")(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").violations())
+query("condensation_edges", with_graph("copart", "select src, dst from q", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").condensation.edges)
+query("condensation_reverse", with_graph("copart", "select dst src, src dst from q", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").condensation.transposed())
+
+
+@query("condensation_dimensions", with_graph("copart", f"select nc component_count, nr candidates, nq edge_count from (select {_DIMS})", _SCC))
+def condensation_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _decomposed(spark, sf_dir, "copart").profile
+    return spark.createDataFrame([(p.component_count, p.quotient_candidate_count, p.quotient_edge_count)], "component_count bigint, candidates bigint, edge_count bigint")
+
+
+# schedules
+_TOPO = """,
+turn(c, r, p) as (
+  select component, 0::bigint, (row_number() over (order by component) - 1)::bigint from ranks where rank = 0 union all
+  select dst, r, ((select count(*) from ranks where rank < r) + row_number() over (order by mp, dst) - 1)::bigint from (
+    select q.dst, max(t.r) + 1 r, max(t.p) mp from turn t join q on q.src = t.c join ranks k on k.component = q.dst where k.rank = t.r + 1 group by q.dst))"""
+for _name in ("copart", "cosupp"):
+    query(f"ranks_{_name}", with_graph(_name, "select component, rank from ranks", _RANK))(lambda spark, sf_dir, n=_name: _scheduled(spark, sf_dir, n)[1].table.select("component", "rank"))
+    query(f"topological_order_{_name}", with_graph(_name, "select p topo_pos, c component from turn", _RANK + _TOPO))(lambda spark, sf_dir, n=_name: _scheduled(spark, sf_dir, n)[1].table.select("topo_pos", "component"))
+query("topological_order_distributed", with_graph("cosupp", "select p topo_pos, c component from turn", _RANK + _TOPO))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.schedule("distributed").table.select("topo_pos", "component"))
+query("waves", with_graph("copart", "select rank wave, (sum(n) over (order by rank) - n)::bigint wave_start, (sum(n) over (order by rank))::bigint wave_end, n size from (select rank, count(*) n from ranks group by rank)", _RANK))(lambda spark, sf_dir: _scheduled(spark, sf_dir, "copart")[1].waves())
+query("wave_members", with_graph("copart", "select (row_number() over (order by rank, component) - 1)::bigint wave_pos, component from ranks", _RANK))(lambda spark, sf_dir: _scheduled(spark, sf_dir, "copart")[1].table.select("wave_pos", "component"))
+query("wave_offsets", with_graph("copart", 'select 0::bigint pos, 0::bigint "offset" union all select rank + 1, (sum(n) over (order by rank))::bigint from (select rank, count(*) n from ranks group by rank)', _RANK))(lambda spark, sf_dir: _scheduled(spark, sf_dir, "copart")[1].wave_offsets())
+query("schedule_work", with_graph("copart", f"select 6 * nc + nq + 3 * (max_rank + 1) + 1 logical_work, max_rank + 1 wave_count from (select {_DIMS}, (select max(rank) from ranks) max_rank)", _RANK))(
+    lambda spark, sf_dir: (lambda s: spark.createDataFrame([(s.logical_work, s.wave_count)], "logical_work bigint, wave_count bigint"))(_scheduled(spark, sf_dir, "copart")[1])
+)
+
+
+@query("evaluate_waves_demo", with_graph("cosupp", "select c component, max(w) as value from pathw group by c", _RANK + """,
+pathw(c, w) as (select component, component % 7 + 1 from comp union select q.dst, w + q.dst % 7 + 1 from pathw join q on q.src = pathw.c)"""))
+def evaluate_waves_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s = _scheduled(spark, sf_dir, "cosupp")
+    return longest_paths(d.condensation, s, d.components.select("component", (F.col("component") % 7 + 1).alias("weight")))
+
+
+# work
+query("work_profile", with_graph("copart", f"""select nv vertex_count, ne edge_count, nc component_count, nr quotient_candidate_count, nq quotient_edge_count,
+nv root_checks, nv discoveries, ne edge_inspections, nv frame_finishes, nv active_pops, nv canonical_assignments,
+5 * nv + ne tarjan_work, 10 * nv + ne + 3 * nc + 1 partition_work, if(nr < 2, 0, 14 * nr + 13 * 2048) radix_work, 5 * nc + 3 * nq + 2 condensation_work,
+10 * nv + ne + 3 * nc + 1 + ne + if(nr < 2, 0, 14 * nr + 13 * 2048) + 5 * nc + 3 * nq + 2 decomposition_work,
+5 * nv + nc tarjan_slots_bound, 5 * nv + 2 * nc + 2 * nr + 2048 decomposition_slots_bound, 5 * nv + 4 * nc + 2 * nr + 2048 pipeline_slots_bound from (select {_DIMS})""", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").profile.frame(spark))
+
+
+@query("budget_outcomes", with_graph("copart", f"""select l.lim as work_limit, 10 * nv + 2 * ne + 8 * nc + 3 * nq + 3 + if(nr < 2, 0, 14 * nr + 13 * 2048) <= l.lim decomposed, 6 * nc + nq + 3 * (max_rank + 1) + 1 <= l.lim scheduled
+from (select unnest({list(LIMITS)})::bigint lim) l, (select {_DIMS}, (select max(rank) from ranks) max_rank)""", _RANK))
+def budget_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s = _scheduled(spark, sf_dir, "copart")
+    rows = [(n, outcome(decomposition_charges(*d.profile.counts), n)[0], outcome(schedule_charges(s.component_count, s.edge_count, s.wave_count), n)[0]) for n in LIMITS]
+    return spark.createDataFrame(rows, "work_limit bigint, decomposed boolean, scheduled boolean")
+
+
+# snapshots
+_LE = "substr(printf('%08x', {0}), 7, 2) || substr(printf('%08x', {0}), 5, 2) || substr(printf('%08x', {0}), 3, 2) || substr(printf('%08x', {0}), 1, 2)"
+_WORDS = """, words as (select 0::bigint p, 0::bigint w union all select dense + 1, (sum(n) over (order by dense))::bigint from (select dense, (select count(*) from e where src = dense) n from v)
+union all select (select count(*) from v) + row_number() over (order by src, dst), dst from e)"""
+
+
+@query("snapshot_bytes_hex", with_graph("cosupp", f"""select '4c5647534e500001' || '4c5647492d4353522d4657442d563121' || '01000000' || '00000000' || '{PROFILE.hex()}'
+|| (select {_LE.format("count(*)")} from v) || (select {_LE.format("count(*)")} from e) || (select {_LE.format("(4 * count(*))")} from words) || '00000000'
+|| (select string_agg({_LE.format("w")}, '' order by p) from words) as hex""", _WORDS))
+def snapshot_bytes_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(snapshot.encode_snapshot(_build(spark, sf_dir, "cosupp"), PROFILE).hex(),)], "hex string")
+
+
+@query("snapshot_decode_edges", with_graph("cosupp", "select src, dst from e"))
+def snapshot_decode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.decode_snapshot(spark, snapshot.encode_snapshot(_build(spark, sf_dir, "cosupp"), PROFILE), PROFILE).edges
+
+
+@query("snapshot_length", with_graph("copart", "select 80 + 4 * (nv + 1 + ne) snapshot_bytes, 10 + 4 * nv + 3 * ne decode_work_bound, 2 * nv + 1 + ne decode_heap_words from (select (select count(*) from v) nv, (select count(*) from e) ne)"))
+def snapshot_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _build(spark, sf_dir, "copart")
+    n = (g.vertex_count, g.edge_count)
+    return spark.createDataFrame([(snapshot.snapshot_length(*n), snapshot.decode_work_bound(*n), snapshot.decode_heap_words(*n))], "snapshot_bytes bigint, decode_work_bound bigint, decode_heap_words bigint")
+
+
+# laws
+@query("renamed_graph", with_graph("cosupp", "select r.n src, s.n dst from e join ren r on r.dense = src join ren s on s.dense = dst", ", ren as (select dense, (select count(*) from v) - 1 - dense n from v)"))
+def renamed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys negated: dense ids run the other way."""
+    g = _build(spark, sf_dir, "cosupp")
+    return g.renamed(g.vertices.select("stable", (-F.col("stable")).alias("name"))).edges
+
+
+@query("enumeration_invariance", "select true same")
+def enumeration_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, pairs = tables.cosupp(spark, sf_dir)
+    shuffled = Graph.from_edges(nodes.unionByName(nodes).orderBy(F.desc("k")), pairs.unionByName(pairs).orderBy(F.xxhash64("s", "t")))
+    return spark.createDataFrame([(shuffled.same_as(_build(spark, sf_dir, "cosupp")),)], "same boolean")
+
+
+_EVIDENCE = ("protected_signer", "protected_head", "gates_passed", "portable_tool_closure", "formal_source_matches_binding", "draft_created", "assets_complete", "registry_matches")
+
+
+@query("release_publishable", "with bits as (select unnest(range(256)) b), n as (select unnest([0, 1, 2]) p) select b::bigint evidence, p::bigint publications, b = 255 and p = 1 publishable from bits, n")
+def release_publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishable only with all eight kinds of evidence and exactly one publication, over all cases."""
+    cases = spark.range(256 * 3).select(F.expr("id div 3").alias("evidence"), (F.col("id") % 3).alias("publications"))
+    for k, name in enumerate(_EVIDENCE):
+        cases = cases.withColumn(name, F.col("evidence").bitwiseAND(1 << k) != 0)
+    good = F.col("publications") == 1
+    for name in _EVIDENCE:
+        good = good & F.col(name)
+    return cases.select("evidence", "publications", good.alias("publishable"))
