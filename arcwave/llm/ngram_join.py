@@ -40,6 +40,7 @@ SKETCH = 32
 HOT, SPARE = 1000, 4
 BLOCK = 2048
 LEAF, FAN = 32, 4
+WIDE = 8  # bits per token of round 2's bitmaps: pairs just under the similarity are many in a group of near copies
 BROADCAST_IDS = 1_000_000
 
 
@@ -57,9 +58,9 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """One bit per token, in the least power of two of bits that is as large as the set, 64 at least."""
-    bits = max(64, 1 << max(0, int(len(tokens) - 1)).bit_length())
+def bitmap(tokens: np.ndarray, factor: int = 1) -> bytes:
+    """One bit per token, in the least power of two of bits that is ``factor`` times the set, 64 at least."""
+    bits = max(64, 1 << max(0, int(factor * len(tokens) - 1)).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(tokens >> np.uint64(7)) & np.uint64(bits - 1)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -266,7 +267,7 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tok, r, q, col, minor, node, n, bm, label) -> all candidates between different labels of rows (col false) and columns (col true)."""
+    """(tok, r, q, col, minor, node, n, wide, label) -> all candidates between different labels of rows (col false) and columns (col true)."""
     for t in _groups(batches, 3):
         col, minor = t.column(3).to_numpy(zero_copy_only=False), t.column(4).to_numpy(zero_copy_only=False)
         node, n, maps, label = t.column(5).to_numpy(), t.column(6).to_numpy(), t.column(7).to_pylist(), t.column(8).to_numpy()
@@ -283,13 +284,13 @@ def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n, k1, k2, toks, capped, bm) for every row."""
+    """(id, key, n, k1, k2, toks, capped, bm, wide) for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k1, k2, toks, capped, maps = [], [], [], [], [], []
+            n, k1, k2, toks, capped, maps, wide = [], [], [], [], [], [], []
             for s in text_sets(b.column(2), words):
                 size = len(s)
                 n.append(size)
@@ -299,10 +300,11 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 toks.append(s[: min(want, SKETCH)].view(np.int64))
                 capped.append(want > SKETCH)
                 maps.append(bitmap(s))
+                wide.append(bitmap(s, WIDE))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in toks])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *toks])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(capped, pa.bool_()), pa.array(maps, pa.binary())], ["id", "key", "n", "k1", "k2", "toks", "capped", "bm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(capped, pa.bool_()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["id", "key", "n", "k1", "k2", "toks", "capped", "bm", "wide"])
 
-    return rows.mapInArrow(run, f"id {kind}, key bigint, n bigint, k1 bigint, k2 bigint, toks array<bigint>, capped boolean, bm binary")
+    return rows.mapInArrow(run, f"id {kind}, key bigint, n bigint, k1 bigint, k2 bigint, toks array<bigint>, capped boolean, bm binary, wide binary")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -341,7 +343,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
     rows = cut(sketches(docs, words, id_col, text_col))
     classes = cut(rows.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("least"), F.min("key").alias("node")))
     reps = rows.filter("id is not null").join(classes.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "node")
-    reps = cut(reps.select("node", "n", "toks", "capped", "bm"))
+    reps = cut(reps.select("node", "n", "toks", "capped", "bm", "wide"))
     posted = reps.select("node", "capped", F.explode("toks").alias("tok"))
     shared = cut(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     met = posted.join(shared, "tok").withColumn("hot", F.col("c") > HOT)
@@ -371,8 +373,8 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
         spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
         as_row = split.withColumn("r", part("rs")).withColumn("q", spread("qs")).withColumn("col", F.lit(False))
         as_col = split.filter("minor").withColumn("q", part("qs")).withColumn("r", spread("rs")).withColumn("col", F.lit(True))
-        tasks = as_row.unionByName(as_col).join(reps.select("node", "n", "bm"), "node")
-        more = _buckets(tasks, ["tok", "r", "q"], second_round, ["tok", "r", "q", "col", "minor", "node", "n", "bm", "label"])
+        tasks = as_row.unionByName(as_col).join(reps.select("node", "n", "wide"), "node")
+        more = _buckets(tasks, ["tok", "r", "q"], second_round, ["tok", "r", "q", "col", "minor", "node", "n", "wide", "label"])
         more = cut(more.select("a", "b").distinct())
         if not more.isEmpty():
             links = links.unionByName(verified(docs, more, words, id_col, text_col))
