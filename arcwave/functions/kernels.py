@@ -63,14 +63,14 @@ def components(g: Local) -> tuple[list[int], int, int]:
     return least, most_open, most_frames
 
 
-def ranks(g: Local) -> tuple[list[int], list[int], int]:
-    """Longest-path rank, the predecessor whose turn released each vertex (-1: none) in first-in-first-out order, and how many had a turn."""
+def ranks(g: Local) -> tuple[list[int], list[int], list[int]]:
+    """Longest-path rank, the predecessor whose turn released each vertex (-1: none), and the vertices in the order of their turns in a first-in-first-out queue."""
     left, rank, by = list(g.indegree), [0] * g.n, [-1] * g.n
     queue = deque(v for v in range(g.n) if not left[v])
-    turns = 0
+    turns = []
     while queue:
         v = queue.popleft()
-        turns += 1
+        turns.append(v)
         for w in g.to[g.row[v] : g.row[v + 1]]:
             left[w] -= 1
             rank[w] = max(rank[w], rank[v] + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcwave.plans.lineage import Table
@@ -20,10 +20,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
+def _written(edges: DataFrame) -> tuple[Table, tuple[int, int]]:
+    """The links as a table, and their number and sum of hashes, observed while they are written."""
+    seen = Observation()
     # a decimal sum can't overflow, and doesn't depend on the order of rows
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+    table = Table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    return table, (seen.get["n"], int(seen.get["h"] or 0))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -34,14 +36,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")  # nulls fall out here
     start = both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    now = Table(start)
-    state = _state(now.df)
+    now, state = _written(start)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        new = Table(_small_star(_large_star(now.df)))
+        before = state
+        new, state = _written(_small_star(_large_star(now.df)))
         now.drop()
-        now, before, state = new, state, _state(new.df)
+        now = new
         if state == before:
             break
     else:

@@ -15,16 +15,19 @@ from arcwave.plans.lineage import cut
 PART_EDGES = 500_000
 
 
-def parted(edges: DataFrame) -> DataFrame:
-    """(part, src, dst): each edge with the least vertex of its weakly connected part; written."""
+def parted(edges: DataFrame, edge_count: int, part_edges: int = PART_EDGES) -> tuple[DataFrame, int, bool]:
+    """(part, src, dst), the edges of the largest part, and whether it is all one task.
+
+    Tasks take whole weakly connected parts. A graph within one task's bound is one batch of parts, so its parts need no names;
+    else each edge gets the least vertex of its part.
+    """
+    if edge_count <= part_edges:
+        return edges.select(F.lit(0).cast("bigint").alias("part"), "src", "dst"), edge_count, True
     part = connected_components(edges, "src", "dst")
     named = edges.join(part.select(F.col("node").alias("src"), F.col("component").alias("part")), "src", "left")
-    return cut(named.select(F.coalesce("part", "src").alias("part"), "src", "dst"))  # a lone vertex with a self-loop is its own part
-
-
-def largest(parts: DataFrame) -> int:
+    parts = cut(named.select(F.coalesce("part", "src").alias("part"), "src", "dst"))  # a lone vertex with a self-loop is its own part
     row = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
+    return parts, row["n"] or 0, False
 
 
 def each_part(parts: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -19,7 +19,7 @@ from arcwave.errors import ComponentIdOutOfRange, InvalidPartition
 from arcwave.functions import kernels
 from arcwave.graph import Graph, running_sum
 from arcwave.operators.condensation import Condensation, quotient
-from arcwave.operators.parts import PART_EDGES, each_part, largest, parted
+from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.profile import WorkProfile
 from arcwave.operators.ranking import global_rank
 from arcwave.plans.lineage import Table, cut
@@ -158,8 +158,8 @@ def decompose(graph: Graph, strategy: str = "auto", control: ExecutionControl |
     peaks: tuple[int | None, int | None] = (None, None)
     if strategy not in ("auto", "local", "distributed"):
         raise ValueError(f"no strategy {strategy!r}")
-    parts = parted(graph.edges) if strategy != "distributed" else None
-    if parts is not None and (strategy == "local" or largest(parts) <= part_edges):
+    parts, most, _ = parted(graph.edges, graph.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
+    if parts is not None and (strategy == "local" or most <= part_edges):
         raw = cut(_local(parts))
         top = raw.agg(F.max("open_slots").alias("o"), F.max("frame_slots").alias("f")).first()
         alone = min(graph.vertex_count, 1)

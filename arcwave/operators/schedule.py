@@ -2,8 +2,8 @@
 
 The canonical order is that of a first-in-first-out queue of released components. Its positions never fall with the
 rank, and inside a rank they sort by (position of the releasing predecessor, id). So the order is lexicographic in the
-chain of releasing predecessors, and ``local`` finds it by doubling: chains of 2, 4, 8... ids are named by their sorted
-rank, in log2(waves) sorts. ``distributed`` peels one rank at a time with joins and a global ranking.
+chain of releasing predecessors. ``local`` takes one batch of parts at its queue's word, and finds the order across
+tasks by doubling: chains of 2, 4, 8... ids are named by their sorted rank, in log2(waves) sorts. ``distributed`` peels one rank at a time with joins and a global ranking.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from arcwave.control import ExecutionControl, schedule_charges
 from arcwave.errors import CondensationCycle
 from arcwave.functions import kernels
 from arcwave.operators.condensation import Condensation
-from arcwave.operators.parts import PART_EDGES, each_part, largest, parted
+from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.ranking import global_rank
 from arcwave.plans.lineage import Table, cut
 
@@ -84,19 +84,25 @@ def _named_by_doubling(released: DataFrame, waves: int) -> DataFrame:
     return global_rank(now.df, [F.col("rank"), F.col("name"), F.col("component")], "topo_pos").select("component", "rank", "topo_pos")
 
 
-def _local(c: Condensation, parts: DataFrame) -> tuple[DataFrame, int]:
+def _local(c: Condensation, parts: DataFrame, one_task: bool) -> tuple[DataFrame, int]:
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())
         rank, by, turns = kernels.ranks(g)
-        return pa.table({"component": g.ids, "rank": rank, "by": pa.array([None if b < 0 else int(g.ids[b]) for b in by], pa.int64()), "cycle": [turns < g.n] * g.n})
+        turn = [0] * g.n
+        for k, v in enumerate(turns):
+            turn[v] = k
+        return pa.table({"component": g.ids, "rank": rank, "by": pa.array([None if b < 0 else int(g.ids[b]) for b in by], pa.int64()), "turn": turn, "cycle": [len(turns) < g.n] * g.n})
 
-    found = cut(each_part(parts, run, "component bigint, rank bigint, by bigint, cycle boolean"))
+    found = cut(each_part(parts, run, "component bigint, rank bigint, by bigint, turn bigint, cycle boolean"))
     seen = found.agg(F.max("rank").alias("top"), F.bool_or("cycle").alias("cycle")).first()
     if seen["cycle"]:
         raise CondensationCycle()
     every = c.edges.sparkSession.range(c.component_count).withColumnRenamed("id", "component")
-    released = every.join(found.drop("cycle"), "component", "left").select("component", F.coalesce("rank", F.lit(0)).alias("rank"), "by")
+    released = every.join(found.drop("cycle"), "component", "left").select("component", F.coalesce("rank", F.lit(0)).alias("rank"), "by", "turn")
     waves = (seen["top"] or 0) + 1 if c.component_count else 0
+    if one_task:  # components without edges have rank 0, where the queue goes by id
+        key = F.when(F.col("rank") == 0, F.col("component")).otherwise(F.col("turn"))
+        return global_rank(released, [F.col("rank"), key, F.col("component")], "topo_pos").select("component", "rank", "topo_pos"), waves
     return _named_by_doubling(released, waves), waves
 
 
@@ -132,9 +138,9 @@ def schedule(c: Condensation, strategy: str = "auto", control: ExecutionControl
     """The schedule of ``c``, or an error of ``control`` and nothing."""
     control = control or ExecutionControl()
     control.check()
-    parts = parted(c.edges) if strategy != "distributed" else None
-    if parts is not None and (strategy == "local" or largest(parts) <= part_edges):
-        table, waves = _local(c, parts)
+    parts, most, one_task = parted(c.edges, c.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
+    if parts is not None and (strategy == "local" or most <= part_edges):
+        table, waves = _local(c, parts, one_task)
     else:
         table, waves = _distributed(c)
     control.admit(schedule_charges(c.component_count, c.edge_count, waves))

@@ -16,7 +16,7 @@ from arcwave.control import ExecutionControl, traversal_charges
 from arcwave.errors import GroupTooLarge
 from arcwave.functions import kernels
 from arcwave.graph import Graph
-from arcwave.operators.parts import PART_EDGES, each_part, largest, parted
+from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.ranking import global_rank
 from arcwave.plans.lineage import Table, cut
 
@@ -33,8 +33,8 @@ def breadth_first(graph: Graph, start: int, control: ExecutionControl | None = N
     graph.require(start)
     control.check()
     if strategy != "distributed":
-        part = _part_of(graph, start)
-        if strategy == "local" or part.count() <= PART_EDGES:
+        part, size = _part_of(graph, start)
+        if strategy == "local" or size <= PART_EDGES:
             return _metered(graph, cut(_in_part(graph, part, start, "breadth")), control)
     spark = graph.edges.sparkSession
     done = [Table(spark.createDataFrame([(0, start)], "pos bigint, dense bigint"))]
@@ -62,16 +62,19 @@ def _union(tables: list[Table]) -> DataFrame:
     return out
 
 
-def _part_of(graph: Graph, start: int) -> DataFrame:
-    parts = parted(graph.edges)
+def _part_of(graph: Graph, start: int) -> tuple[DataFrame, int]:
+    """The edges of the part of ``start``, or of the batch that it is in; and how many they are."""
+    parts, size, one_task = parted(graph.edges, graph.edge_count)
+    if one_task:
+        return parts, size
     home = parts.filter((F.col("src") == start) | (F.col("dst") == start)).select("part").limit(1)
-    return parts.join(F.broadcast(home), "part", "left_semi")
+    part = parts.join(F.broadcast(home), "part", "left_semi")
+    return part, part.count()
 
 
 def _in_part(graph: Graph, part: DataFrame, start: int, kind: str) -> DataFrame:
-    spark = graph.edges.sparkSession
-    if part.isEmpty():
-        return spark.createDataFrame([(0, start)], "pos bigint, dense bigint")
+    if part.filter((F.col("src") == start) | (F.col("dst") == start)).isEmpty():
+        return graph.edges.sparkSession.createDataFrame([(0, start)], "pos bigint, dense bigint")
 
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())
@@ -92,8 +95,8 @@ def depth_first(graph: Graph, start: int, control: ExecutionControl | None = Non
     control = control or ExecutionControl()
     graph.require(start)
     control.check()
-    part = _part_of(graph, start)
-    _bounded(part.count())
+    part, size = _part_of(graph, start)
+    _bounded(size)
     return _metered(graph, cut(_in_part(graph, part, start, "depth")), control)
 
 
@@ -102,8 +105,8 @@ def depth_first_forest(graph: Graph, control: ExecutionControl | None = None) ->
     control = control or ExecutionControl()
     if graph.vertex_count:
         control.check()
-    parts = parted(graph.edges)
-    _bounded(largest(parts))
+    parts, size, _ = parted(graph.edges, graph.edge_count)
+    _bounded(size)
 
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())
