@@ -1,0 +1 @@
+"""Graphs over streams of edges."""
