@@ -19,8 +19,8 @@ CHUNK_BYTES = 1 << 20
 
 _BYTES = np.arange(256, dtype=np.uint16)
 SEPARATOR = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
-_VALUE = np.where(SEPARATOR, 0, _LOWER + 1).astype(np.uint64)
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
+_VALUE = np.where(SEPARATOR, 0, LOWER + 1).astype(np.uint64)
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -81,6 +81,13 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+def word_starts(size: int, starts: np.ndarray) -> np.ndarray:
+    """For each byte the start of the word that it is in or behind (0 before the first)."""
+    lead = np.zeros(size, np.int64)
+    lead[starts] = starts
+    return np.maximum.accumulate(lead, out=lead)
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, byte starts, byte ends of all lower-cased words, and each text's first word."""
     starts, ends, first = word_spans(buf, off)
@@ -88,7 +95,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.uint64), starts, ends, first
     value = _VALUE[buf]
     longest = int((ends - starts).max())
-    place = np.arange(len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf))))[-len(buf) :] if starts[0] == 0 else np.arange(len(buf)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(buf))))])
+    place = np.arange(len(buf)) - word_starts(len(buf), starts)
     np.minimum(place, longest, out=place)
     value *= powers(longest + 1)[place]
     return mix(np.add.reduceat(value, starts)), starts, ends, first
@@ -107,8 +114,3 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np
         part = words[np.minimum(at + j, last)] if len(at) else np.zeros(0, np.uint64)
         total = total * STEP + np.where(j < span, part, U64(0))
     return mix(total), begin
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    """The texts, nulls as empty ones."""
-    return [x or "" for x in column.to_pylist()]
