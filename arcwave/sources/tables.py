@@ -9,7 +9,7 @@ from arcwave.graph import Graph
 
 Inputs = tuple[DataFrame, DataFrame]
 
-_LINES = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,13 +24,13 @@ def _pairs(df: DataFrame, key: Column, order: object, keep: str | None = None) -
 def copart(spark: SparkSession, sf_dir: str) -> Inputs:
     """Parts; from a part bought in bulk to the next part of its order."""
     lines = _read(spark, sf_dir, "lineitem")
-    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), _pairs(lines, F.col("l_partkey"), _LINES, "l_quantity >= 48")
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), _pairs(lines, F.col("l_partkey"), Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER), "l_quantity >= 48")
 
 
 def cosupp(spark: SparkSession, sf_dir: str) -> Inputs:
     """Suppliers; from a supplier of a large discounted line to that of the next line."""
     lines = _read(spark, sf_dir, "lineitem")
-    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), _pairs(lines, F.col("l_suppkey"), _LINES, "l_quantity >= 50 and l_discount >= 0.09")
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), _pairs(lines, F.col("l_suppkey"), Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER), "l_quantity >= 50 and l_discount >= 0.09")
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> Inputs:
