@@ -267,18 +267,25 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tok, r, q, col, minor, node, n, wide, label) -> all candidates between different labels of rows (col false) and columns (col true)."""
+    """(tok, r, q, col, minor, node, n, wide, label, toks) -> all candidates between different labels of rows (col false) and columns (col true).
+
+    ``toks`` has all buckets of a node in this round; a pair comes from the least one that it shares.
+    """
     for t in _groups(batches, 3):
         col, minor = t.column(3).to_numpy(zero_copy_only=False), t.column(4).to_numpy(zero_copy_only=False)
         node, n, maps, label = t.column(5).to_numpy(), t.column(6).to_numpy(), t.column(7).to_pylist(), t.column(8).to_numpy()
         left, right = np.flatnonzero(~col), np.flatnonzero(col)
         if not len(left) or not len(right):
             continue
-        rows = []
+        rows, held, tok = [], {}, t.column(0)[0].as_py()
         for x, y in candidate_pairs(n, maps, left, right):
             good = (label[x] != label[y]) & (~minor[x] | (node[x] < node[y]))
-            if good.any():
-                rows.append((node[x[good]], node[y[good]]))
+            x, y = x[good], y[good]
+            for k in {*x.tolist(), *y.tolist()} - held.keys():
+                held[k] = frozenset(t.column(9)[k].as_py())
+            here = np.fromiter((min(held[p] & held[q]) == tok for p, q in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+            if here.any():
+                rows.append((node[x[here]], node[y[here]]))
         if rows:
             yield _emit(rows, [])
 
@@ -365,6 +372,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
         label = connected_components(links).select("node", F.col("component").alias("label"))
         named = met.join(again, "tok", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = cut(named)
+        buckets = named.groupBy("node").agg(F.collect_list("tok").alias("toks"))  # at most SKETCH a node
         counts = named.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("tok").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all")).filter("main.n < all")
         main = main.select("tok", F.col("main.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rs"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("qs"))
@@ -373,8 +381,8 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
         spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
         as_row = split.withColumn("r", part("rs")).withColumn("q", spread("qs")).withColumn("col", F.lit(False))
         as_col = split.filter("minor").withColumn("q", part("qs")).withColumn("r", spread("rs")).withColumn("col", F.lit(True))
-        tasks = as_row.unionByName(as_col).join(reps.select("node", "n", "wide"), "node")
-        more = _buckets(tasks, ["tok", "r", "q"], second_round, ["tok", "r", "q", "col", "minor", "node", "n", "wide", "label"])
+        tasks = as_row.unionByName(as_col).join(reps.select("node", "n", "wide").join(buckets, "node"), "node")
+        more = _buckets(tasks, ["tok", "r", "q"], second_round, ["tok", "r", "q", "col", "minor", "node", "n", "wide", "label", "toks"])
         more = cut(more.select("a", "b").distinct())
         if not more.isEmpty():
             links = links.unionByName(verified(docs, more, words, id_col, text_col))
