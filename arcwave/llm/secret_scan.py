@@ -18,6 +18,7 @@ import math
 import random
 import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwave.plans.lineage import shared_dir
+
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 TREES, DEPTH = 40, 9
 FINDINGS = 6_000
@@ -174,7 +177,10 @@ def train(spark: SparkSession, findings: DataFrame | None = None, dictionary: st
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(4).cast(pa.float64())], ["x", "label"])
 
     described = rows.mapInArrow(run, "x array<double>, label double").withColumn("features", array_to_vector("x")).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2).fit(described)
+    # written and read again: a fitted model drags its training summary, and with it the session, into tasks
+    path = f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2).fit(described).write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", dictionary: str = DICTIONARY) -> DataFrame:
