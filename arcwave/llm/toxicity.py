@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcwave.llm.textkit import _LOWER, BASE, U64, mix, powers, text_chunks, word_spans
+from arcwave.llm.textkit import BASE, LOWER, U64, mix, powers, text_chunks, word_spans, word_starts
 
 TRAIN_PER_CLASS = 1500
 MAX_FORMS = 4096
@@ -48,11 +48,10 @@ def words_and_forms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     for _ in range(3):
         starts += _PUNCTUATION[buf[starts]] & (ends - starts > 1)
         ends -= _PUNCTUATION[buf[ends - 1]] & (ends - starts > 1)
-    lead = np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(buf))))])
     size = ends - starts
     longest = int(size.max()) + 1
-    place = np.minimum(np.arange(len(buf)) - lead, longest)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[buf] + 1).astype(np.uint64) * powers(longest + 1)[place])])
+    place = np.minimum(np.arange(len(buf)) - word_starts(len(buf), starts), longest)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[buf] + 1).astype(np.uint64) * powers(longest + 1)[place])])
     back = np.ones(longest + 1, np.uint64)
     back[1:] = _INVERSE
     back = np.multiply.accumulate(back)
@@ -153,21 +152,23 @@ def _features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), np.log1p(total), top], 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray) -> dict:
+def fit(texts: pa.ChunkedArray, toxic: np.ndarray, weights: np.ndarray) -> dict:
     """The chain and the text model from labelled texts; ``weights`` restore the classes' shares."""
     if not len(texts) or toxic.all() or not toxic.any():
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 1e-6, "transition": (0.5, 0.5, 0.5, 0.5), "start": 1.0, "text": (-50.0, 0.0, 0.0)}
-    chunks = [(words_and_forms(buf, off), start, end) for start, end, buf, off in text_chunks(pa.array(texts, pa.string()), 4 << 20)]
-    forms = [np.concatenate([c[0][3][k] for c in chunks]) for k in range(1 + len(PREFIXES) + len(SUFFIXES))]
-    counts = np.concatenate([np.diff(c[0][2]) for c in chunks])
+    chunks = [words_and_forms(buf, off) for _, _, buf, off in text_chunks(texts)]
+    forms = [np.concatenate([c[3][k] for c in chunks]) for k in range(1 + len(PREFIXES) + len(SUFFIXES))]
+    counts = np.concatenate([np.diff(c[2]) for c in chunks])
+    del chunks
     first = np.concatenate([[0], np.cumsum(counts)])
     doc = np.repeat(np.arange(len(texts)), counts)
     # texts of each class that hold a form
     keys, hits = [], []
     for h in forms:
-        pairs = np.unique(np.stack([h, doc.astype(np.uint64)], 1)[h != 0], axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        k, inverse = np.unique(pairs[:, 0], return_inverse=True)
-        y = toxic[pairs[:, 1].astype(np.int64)]
+        at = np.flatnonzero(h)
+        at = at[np.unique(mix(h[at] + doc[at].astype(np.uint64) * BASE), return_index=True)[1]]  # one of each form and text
+        k, inverse = np.unique(h[at], return_inverse=True)
+        y = toxic[doc[at]]
         keys.append(k)
         hits.append(np.stack([np.bincount(inverse, weights=y, minlength=len(k)), np.bincount(inverse, weights=~y, minlength=len(k))], 1))
     keys, hits = np.concatenate(keys), np.concatenate(hits)
@@ -248,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("id")
     toxic = np.array(rows["toxic"].to_pylist(), bool)
     used = {0: max(int((~toxic).sum()), 1), 1: max(int(toxic.sum()), 1)}
-    return fit(rows["text"].to_pylist(), toxic, np.where(toxic, shares.get(1, 0) / used[1], shares.get(0, 0) / used[0]))
+    return fit(rows["text"], toxic, np.where(toxic, shares.get(1, 0) / used[1], shares.get(0, 0) / used[0]))
 
 
 _tables: dict[bytes, tuple[int, np.ndarray]] = {}
