@@ -189,6 +189,36 @@ def test_repeated_passages_go(spark):
     assert substring_dedup.substring_dedup(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_passages_pasted_mid_sentence_go(spark):
+    rng = random.Random(44)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    for n in (50, 60):
+        passage = prose(n)
+        recased = " ".join(w.title() if k % 3 else w for k, w in enumerate(passage.split()))
+        wrapped = "\n".join(" ".join(passage.split()[k : k + 7]) for k in range(0, n, 7))
+        rows = [(k, f"{prose(40 + k)} {passage} {prose(30)}") for k in range(13)] + [(20, f"{prose(17)} {recased} {prose(9)}"), (21, f"{prose(8)} {wrapped} {prose(9)}"), (22, prose(200))]
+        got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+        assert got[0]["n_removed"] == got[22]["n_removed"] == 0
+        assert all(r["n_removed"] > 0 for k, r in got.items() if k not in (0, 22))
+        for k, text in rows[1:-1]:
+            gone = len(words(text)) - len(words(got[k]["text"]))
+            assert 20 <= gone <= n, (k, gone)
+            assert got[k]["text"].startswith(" ".join(text.split()[:8])) and got[k]["text"].endswith(text[-40:])
+
+
+def test_spans_cover_every_run_of_sentences():
+    rng = random.Random(45)
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n)) + "."
+    for _ in range(30):
+        passage = " ".join(sentence(rng.randint(2, 14)) for _ in range(8))
+        texts = [f"{sentence(5)} {passage} {sentence(9)}", f"{sentence(11)} {sentence(3)} {passage} {sentence(4)}"]
+        (_, _, buf, off), *_ = textkit.text_chunks(pa.array(texts))
+        h, row, place, size = substring_dedup.spans(buf, off, 2, 20, substring_dedup.MAX_WORDS)
+        shared = set(h[row == 0].tolist()) & set(h[row == 1].tolist())
+        covered = {p + k for x, r, p, n in zip(h.tolist(), row, place, size, strict=True) if r == 0 and x in shared for k in range(n)}
+        assert covered == set(range(5, 5 + len(passage.split())))
+
+
 # 5: token counts
 
 
