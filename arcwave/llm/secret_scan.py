@@ -37,6 +37,7 @@ AROUND = 48
 
 ASSIGNED = re.compile(r"(?i)\b[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"',;]{6,})")
 LONG = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+_PART = re.compile(r"[^=]+(?:={1,2}$)?")
 _NAMES = re.compile(r"(?i)token|secret|passw|api[_-]?key|access[_-]?key|private|auth|bearer|credential")
 _DIGEST = re.compile(r"(?i)sha-?\d|md5|commit|checksum|digest|hash|etag|revision|integrity|blob|uuid|guid|trace|request")
 _SAMPLE = re.compile(r"(?i)example|sample|test|dummy|placeholder|your|fake|mock|changeme|xxxx|fixture")
@@ -93,12 +94,23 @@ class Describer:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans in code points, by start; a value found both ways counts once, and overlapping ones merge into the first."""
-    found = [m.span(1) for m in ASSIGNED.finditer(text)] if _NAMES.search(text) else []
+    """Spans in code points, by start; a value found both ways counts once, as the assigned one.
+
+    A long run is split at '=', which belongs to a value only as padding at its end; a shorter part behind '=' stays a value.
+    """
+    found = []
+    for m in ASSIGNED.finditer(text) if _NAMES.search(text) else ():
+        s, e = m.span(1)
+        s += len(m[1]) - len(m[1].lstrip("="))
+        if e - s >= 6:
+            found.append((s, e))
     for m in LONG.finditer(text):
-        v = m[0]
-        if any(c.isdigit() for c in v) and not v.isdigit() or _INNER.search(v):
-            found.append(m.span())
+        for part in _PART.finditer(m[0]):
+            v = part[0]
+            if len(v) < (6 if part.start() else 16):
+                continue
+            if any(c.isdigit() for c in v) and not v.isdigit() or _INNER.search(v):
+                found.append((m.start() + part.start(), m.start() + part.end()))
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:

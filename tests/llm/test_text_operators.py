@@ -172,6 +172,18 @@ def test_secrets_are_redacted(spark, forest):
     assert secret_scan.scan(docs.limit(0), forest).count() == 0
 
 
+def test_unquoted_assignments(spark, forest):
+    aws, hub = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzR4q8vT2nLs", "ghp_" + "a8Kd03LmQz7TyRw1XcVb9NpU5sHj2GfE4iOo"
+    rows = [(1, f"AWS_SECRET_ACCESS_KEY={aws}"), (2, f"export API_KEY={hub}\nnext"), (3, "token=abcd1234efgh5678"), (4, "a password=Tr0ub4dor&3xyz! b"), (5, f"STRIPE={hub}"), (6, "QUJDREVGR0hJSktMTU5P1Q=="), (7, "pin_of_door=a1b2c3d4")]
+    want = {1: [aws], 2: [hub], 3: ["abcd1234efgh5678"], 4: ["Tr0ub4dor&3xyz!"], 5: [hub], 6: ["QUJDREVGR0hJSktMTU5P1Q=="], 7: ["a1b2c3d4"]}
+    assert {k: [t[s:e] for s, e in secret_scan.candidates(t)] for k, t in rows} == want
+    docs = frame(spark, rows)
+    found = secret_scan.scan(docs, forest)
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, found).collect()}
+    assert clean[1] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and clean[2] == "export API_KEY=[SECRET]\nnext" and clean[5] == "STRIPE=[SECRET]"
+    assert clean[4] in (rows[3][1], "a password=[SECRET] b")
+
+
 # 4: substring dedup
 
 
