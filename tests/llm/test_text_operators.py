@@ -316,6 +316,29 @@ def test_leaks_with_substitutions(spark):
     assert decontamination.contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_items_leak(spark):
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    lengths = (1, 4, 5, 9, 10, 11, 14, 15)
+    items = [(n, filler(n)) for n in lengths]
+    rows, want = [], {}
+    for n, text in items:
+        w = text.split()
+        forms = [(w, True)] + [([*w[:k], "other", *w[k + 1 :]], n >= 5) for k in range(n)]
+        forms += [([*w[:2], "other", *w[3:-2], "other", w[-1]], False)] if n in (4, 5, 9, 10) else []
+        for form, held in forms:
+            want[len(rows)] = [n] if held else []
+            rows.append((len(rows), f"{filler(7)} {' '.join(form)} {filler(6)}"))
+        rows.append((len(rows), " ".join(w)))
+        want[len(rows) - 1] = [n]
+    docs, benchmark = frame(spark, rows), spark.createDataFrame([*items, (90, None), (91, "")], "item_id bigint, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.contamination(docs, benchmark, min_words=1).collect()}
+    assert got == want
+    got = {r["doc_id"]: r["items"] for r in decontamination.contamination(docs, benchmark).collect()}
+    assert got == {k: [n for n in v if n >= 10] for k, v in want.items()}
+
+
 # 8: toxicity
 
 
