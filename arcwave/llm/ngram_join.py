@@ -402,10 +402,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     found = similar_components(docs, words, id_col, text_col)
     grouped = found.filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
     first = grouped.groupBy("component_id").agg(F.min(F.struct(id_col, "key")).alias("first")).select(F.col("first.key").alias("__key"))
-    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    loose = found.filter((F.col("n_shingles") == 0) | F.col(id_col).isNull()).select(F.col("key").alias("__key"))
-    kept = docs.withColumn("__key", key).join(first.unionByName(loose).distinct(), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(docs.columns)
+    loose = found.filter((F.col("n_shingles") == 0) | F.col(id_col).isNull()).select(F.col("key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    kept = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.unionByName(keyed.join(loose, "__key", "left_semi")).select(docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,14 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.similar_components(docs.limit(0)).count() == 0
 
 
+def test_loose_rows_stay_as_they_are(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, text), (None, None), (None, None), (1, ""), (1, ""), (2, None), (3, text), (3, text), (4, text), (5, "eight nine ten")]
+    kept = ngram_join.keep_one(frame(spark, rows))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([*rows[:8], (5, "eight nine ten")], key=repr)
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 2**63, 80).astype(np.uint64) for _ in range(5)]
