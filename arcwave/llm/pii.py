@@ -1,28 +1,36 @@
-"""Personal data: exact base spans, and information-theoretic sanitisation of the terms around them.
+"""Personal data: exact base spans, and information-theoretic sanitisation of the terms that give them away.
 
-Base spans (email, ip, card, phone) come from four patterns and their checks. The words beside a base
-span are candidate quasi-identifiers. Over the whole corpus, a term t discloses an entity e to the degree
+Base spans (email, ip, card, phone) come from four patterns and their checks. Every word of a text that holds a base
+span is a candidate quasi-identifier, wherever it stands. Over the whole corpus, a term t discloses an entity e to the degree
 
     PMI(t; e) / IC(e),   PMI = log2(N c(t, e) / (c(t) c(e))),   IC = log2(N / c(e)),
 
-which is 1 when t never occurs without e. c counts texts: c(t) all that hold t, c(e) all that hold
-e, c(t, e) those where t stands beside e. Terms at or over ``threshold`` with c(t, e) >= ``support`` become
-spans of kind ``term`` wherever they stand beside that entity, and are generalised in the sanitised text.
+which is 1 when t never occurs without e. All counts are rows of the corpus that hold t, e, or both; a pair is judged
+only if at least ``support`` different texts hold both, so copies of one text prove nothing. In a text that holds e,
+all occurrences of the terms at or over ``threshold`` become spans of kind ``term``, except where a base span
+overlaps them, and are generalised in the sanitised text.
 
-Only DataFrame functions run here. Null and empty texts have no spans; rows that repeat an id and
-text get the same answer; null ids are kept. Counts use map-side combination, so an entity or a term
-that a third of the rows hold costs each task one row. Terms are counted by a join with the candidate terms,
-broadcast only up to ``BROADCAST_ROWS`` of them.
+Terms (and entities) that stand in exactly the same texts have the same counts, so they are judged as one class, named by
+two 64-bit hashes of that set of texts; a text then costs its classes of entities times its classes of terms that are
+rare enough for any of them (PMI bounds c(t) by c(e) ** threshold * N ** (1 - threshold)), not its words times its spans.
+
+Only DataFrame functions run here. Null and empty texts have no spans, and an empty table gives no rows; rows that repeat an
+id and text get the same answer; null ids are kept. Ties cannot arise: spans are fixed by the patterns, terms by counts. Texts may
+be of any length: work and memory for one grow with its length and its spans. Columns of the input that are named like
+those used here do not matter; ``sanitise`` replaces a column ``n_spans``. Counts use map-side combination, and joins on an
+entity, term or text that many rows hold are dealt over tasks. Tables are broadcast only up to ``BROADCAST_ROWS`` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwave.plans.lineage import cut
+from arcwave.plans.names import free
+from arcwave.plans.spread import small, spread_join
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The stated patterns, with possessive repeats and run-start guards: the same matches in linear time and constant stack.
@@ -33,27 +41,44 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{N}]++"
-WINDOW = 48
-NEIGHBOURS = 3
-MIN_TERM = 3
+MIN_TERM = 2
 SUPPORT = 2
 THRESHOLD = 0.9
 BROADCAST_ROWS = 200_000
+CHUNK = 64
+BLOCK = 4096  # code points of a piece of text in which spans are replaced
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def _located(found: Column, pieces: Column) -> Column:
-    """Spans of ``found``, the matches between ``pieces`` of a text, in code points."""
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("v"), F.length(g).alias("g")))
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(values: Column, depth: int = 2) -> Column:
+    """Running sums of an array of numbers. An accumulated array is copied at each step, so sums run inside chunks of ``CHUNK``, and over the chunks' totals in the same way."""
+
+    def plain(part: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out"))
+        return F.aggregate(part, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    if not depth:
+        return plain(values)
+    last = lambda part: F.coalesce(F.get(part, F.size(part) - 1), F.lit(0))
+    chunks = _bound(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / CHUNK).cast("int")), lambda b: F.slice(v, b * CHUNK + 1, CHUNK)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["g"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))).alias("out"))
+    def joined(parts: Column) -> Column:
+        through = _running(F.transform(parts, last), depth - 1)
+        return F.flatten(F.zip_with(parts, through, lambda part, total: F.transform(part, lambda x: x + total - last(part))))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return _bound(F.transform(chunks, plain), joined)
+
+
+def _located(found: Column, pieces: Column) -> Column:
+    """Spans of ``found``, the matches between ``pieces`` of a text, in code points."""
+    ends = lambda values: _running(F.zip_with(values, F.slice(pieces, F.lit(1), F.size(values)), lambda v, g: F.length(v) + F.length(g)))
+    return _bound(found, lambda values: F.zip_with(values, ends(values), lambda v, e: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("v"))))
 
 
 def _digits(v: Column) -> Column:
@@ -104,57 +129,88 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows
 
 
-def _beside(text: Column, entity: Column) -> Column:
-    """The words beside one entity, as spans in the text."""
-    low = F.greatest(entity["s"] - WINDOW, F.lit(0))
-    left = F.substring(text, low + 1, entity["s"] - low)
-    right = F.substring(text, entity["e"] + 1, F.lit(WINDOW))
-    shift = lambda spans, by: F.transform(spans, lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), F.lower(x["v"]).alias("v")))
-    spans = lambda part: _located(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), F.split(part, WORD, -1))
-    # a word that the window may have cut is no term
-    before = F.filter(spans(left), lambda x: (x["s"] > 0) | (low == 0))
-    after = F.filter(spans(right), lambda x: x["e"] < WINDOW)
-    last = F.slice(before, F.greatest(F.size(before) - NEIGHBOURS + 1, F.lit(1)), F.lit(NEIGHBOURS))
-    return F.concat(shift(last, low), shift(F.slice(after, 1, NEIGHBOURS), entity["e"]))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key, h): ``key`` names a row by its id and text, ``h`` its text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("key", F.xxhash64("id", "text")).withColumn("h", F.xxhash64("text"))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document: id, key, the base spans by kind, and the words beside each entity."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    rows = base_spans(rows)
+    """One row for each document: id, key, h, and the base spans, by kind and all together."""
+    rows = base_spans(_texts(docs, id_col, text_col))
     entity = lambda k: F.transform(F.col(KINDS[k]), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[entity(k) for k in range(4)])))
-    free = lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (x["e"] > b["s"]))
-    near = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["v"].alias("v"), F.filter(_beside(F.col("text"), b), lambda x: (F.length(x["v"]) >= MIN_TERM) & free(x)).alias("terms")))
-    none = F.array().cast("array<struct<k:int,v:string,terms:array<struct<s:int,e:int,v:string>>>>")
-    return rows.select("id", "key", *KINDS[:4], "base", F.when(F.size("base") > 0, near).otherwise(none).alias("near"))
-
-
-def _disclosing(found: DataFrame, docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
-    """(k, v, t): terms that disclose entity v of kind k."""
-    beside = found.filter(F.size("near") > 0).select("key", F.explode("near").alias("n")).select("key", "n.k", "n.v", F.explode_outer("n.terms.v").alias("t")).distinct()
-    pairs = beside.filter("t is not null").groupBy("k", "v", "t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= support)
-    entities = beside.select("key", "k", "v").distinct().groupBy("k", "v").agg(F.count(F.lit(1)).alias("c_e"))
-    pairs = cut(pairs.join(entities, ["k", "v"]))
-    terms = cut(pairs.select("t").distinct())
-    known = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}]+"))).alias("t"))
-    counts = words.join(known, "t").groupBy("t").agg(F.count(F.lit(1)).alias("c_t"))
-    n = float(max(found.count(), 1))
+    return rows.select("id", "key", "h", *KINDS[:4], F.array_sort(F.concat(*[entity(k) for k in range(4)])).alias("base"))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    words = F.transform(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.lower(w))
+    return F.filter(F.array_distinct(words), lambda w: F.length(w) >= MIN_TERM)
+
+
+def _set_name(other: str) -> list[Column]:
+    """Two hashes of the set of ``other`` in a group."""
+    return [F.bit_xor(F.xxhash64(F.col(other), F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+
+
+def _telling(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, support: int, threshold: float) -> DataFrame | None:
+    """(h, t): the terms of each text that disclose an entity in it; None if no two texts share an entity."""
+    n = float(found.count())
+    names = F.array_distinct(F.transform("base", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), x["v"])))  # strings, which are made distinct by hashing
+    held = found.filter(F.size("base") > 0).select("h", "key", F.explode(names).alias("v"))
+    held = cut(held.groupBy("h", "v").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("key")))
+    entities = held.groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.sum("m").alias("c_e"), *_set_name("h")).filter((F.col("d") >= support) & (F.col("c_e") < n))
+    entities = cut(entities.select("v", "c_e", F.xxhash64("x0", "x1", "d", "c_e").alias("ec")))
+    most = entities.agg(F.max("c_e")).first()[0]
+    if most is None:
+        return None
+    classes = cut(spread_join(held, small(entities, BROADCAST_ROWS), ["v"], "h").groupBy("h", "ec").agg(F.min("key").alias("key"), F.min("m").alias("m"), F.min("c_e").alias("c_e")))
+
+    # the terms of the texts that share an entity, one row of each text
+    one = small(cut(classes.groupBy("h").agg(F.min("key").alias("key")).select("key")), BROADCAST_ROWS)
+    rows = _texts(docs, id_col, text_col)
+    words = cut(rows.join(one, "key", "left_semi").select("h", F.explode(terms_of(F.col("text"))).alias("t")).distinct())
+    terms = cut(words.groupBy("t").agg(F.count(F.lit(1)).alias("d"), *_set_name("h")).filter(F.col("d") >= support))
+    known = small(terms.select("t"), BROADCAST_ROWS)
+    counts = rows.select(F.explode(terms_of(F.col("text"))).alias("t")).join(known, "t").groupBy("t").agg(F.count(F.lit(1)).alias("c_t"))
+    rare = lambda c_e: F.log2("c_t") <= threshold * F.log2(c_e) + (1 - threshold) * F.log2(F.lit(n)) + 1e-9
+    terms = cut(terms.join(counts, "t").filter(rare(F.lit(most))).select("t", "c_t", F.xxhash64("x0", "x1", "d", "c_t").alias("tc")))
+    words = cut(spread_join(words, small(terms, BROADCAST_ROWS), ["t"], "h"))
+
+    met = classes.join(words.select("h", "tc", "c_t").distinct(), "h").filter(rare("c_e"))
+    pairs = met.groupBy("ec", "tc").agg(F.count(F.lit(1)).alias("d"), F.sum("m").alias("c_te"), F.min("c_e").alias("c_e"), F.min("c_t").alias("c_t")).filter(F.col("d") >= support)
     information = F.log2(F.lit(n) / F.col("c_e"))
     pmi = F.log2(F.lit(n) * F.col("c_te") / (F.col("c_t").cast("double") * F.col("c_e")))
-    return pairs.join(counts, "t").filter((information > 0) & (pmi >= threshold * information)).select("k", "v", "t")
+    telling = cut(pairs.filter(pmi >= threshold * information - 1e-9).select("ec", "tc"))
+    told = spread_join(classes.select("h", "ec"), small(telling, BROADCAST_ROWS), ["ec"], "h").select("h", "tc").distinct()
+    return cut(words.join(told, ["h", "tc"], "left_semi").select("h", "t"))
+
+
+def _term_spans(found: DataFrame, docs: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, terms): the places of the told terms of each text that no base span overlaps."""
+    first = cut(found.join(told.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("key").alias("key")))
+    rows = _texts(docs, id_col, text_col).join(small(first.select("key"), BROADCAST_ROWS), "key", "left_semi")
+    words = F.explode(_located(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)))
+    places = rows.select("h", words.alias("x")).select("h", "x.s", "x.e", F.lower("x.v").alias("t")).join(told, ["h", "t"], "left_semi").distinct()
+    base = found.join(small(first.select("key"), BROADCAST_ROWS), "key", "left_semi").select("h", F.explode("base").alias("x")).select("h", "x.s", "x.e", F.lit(None).cast("string").alias("t")).distinct()
+    # a term overlaps the base span that ends last among those that start before it, or the next one
+    own = lambda c: F.when(F.col("t").isNull(), F.col(c))
+    running = lambda *order: Window.partitionBy("h").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = places.select("h", "s", "e", "t").unionByName(base).withColumn("behind", F.max(own("e")).over(running("s", F.col("t").isNotNull())))
+    marked = marked.withColumn("ahead", F.min(own("s")).over(running(F.desc("s"), F.col("t").isNull())))
+    clear = marked.filter("t is not null and coalesce(behind <= s, true) and coalesce(ahead >= e, true)")
+    return clear.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.col("t").alias("v")))).alias("terms"))
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, email, ip, card, phone, base, terms) for every row; base and terms are arrays of (s, k, e, v) by start, k an index of ``KINDS``."""
     found = cut(_found(docs, id_col, text_col))
-    telling = _disclosing(found, docs, text_col, support, threshold)
-    seen = found.filter(F.size("near") > 0).select("key", F.explode("near").alias("n")).select("key", "n.k", "n.v", F.explode("n.terms").alias("x"))
-    hits = seen.select("key", "k", "v", F.col("x.v").alias("t"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).join(telling, ["k", "v", "t"], "left_semi")
-    terms = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e", F.col("t").alias("v")))).alias("terms"))
+    told = _telling(found, docs, id_col, text_col, support, threshold)
     none = F.array().cast("array<struct<s:int,k:int,e:int,v:string>>")
-    return found.drop("near").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none)).withColumnRenamed("id", id_col)
+    if told is None:
+        return found.drop("h").withColumn("terms", none).withColumnRenamed("id", id_col)
+    out = spread_join(found, cut(_term_spans(found, docs, told, id_col, text_col)), ["h"], "key", "left")
+    return out.drop("h").withColumn("terms", F.coalesce("terms", none)).withColumnRenamed("id", id_col)
 
 
 def span_list(spans: Column) -> Column:
@@ -163,22 +219,46 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(F.element_at(names, x["k"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
 
 
+def _tag(k: Column, v: Column) -> Column:
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    return F.when(k == 4, F.when(v.rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+
+
+def _replaced(rows: DataFrame) -> DataFrame:
+    """(key, clean) from (key, text, spans): overlapping spans are replaced as one, by the tag of the first. Texts are cut into blocks, so no span costs a walk through its text."""
+    spans = rows.select("key", F.explode("spans").alias("x")).select("key", "x.s", "x.e", F.struct("x.k", "x.v").alias("what"))
+    before = Window.partitionBy("key").orderBy("s", "what.k", "e")
+    fresh = F.coalesce(F.col("s") >= F.max("e").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min(F.when(F.col("fresh"), F.col("what"))).alias("what"))
+    cuts = runs.withColumn("b", F.explode(F.sequence(F.expr(f"s div {BLOCK}"), F.expr(f"(e - 1) div {BLOCK}"))))
+    low = F.col("b") * BLOCK
+    cuts = cuts.select(
+        "key", "b", F.greatest(F.col("s") - low, F.lit(0)).cast("int").alias("s"), F.least(F.col("e") - low, F.lit(BLOCK)).cast("int").alias("e"),
+        F.when(F.col("s") >= low, _tag(F.col("what.k"), F.col("what.v"))).otherwise("").alias("tag"),
+    )
+    cuts = cuts.groupBy("key", "b").agg(F.array_sort(F.collect_list(F.struct("s", "e", "tag"))).alias("cuts"))
+    blocks = rows.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("b", "piece"))
+    blocks = blocks.join(cuts, ["key", "b"], "left")
+    piece = F.col("piece")
+    step = lambda acc, x: F.struct(x["e"].alias("pos"), F.concat(acc["out"], F.substring(piece, acc["pos"] + 1, x["s"] - acc["pos"]), x["tag"]).alias("out"))
+    rest = lambda acc: F.concat(acc["out"], F.substring(piece, acc["pos"] + 1, F.lit(BLOCK)))
+    clean = F.aggregate("cuts", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, rest)
+    blocks = blocks.select("key", F.struct("b", F.coalesce(clean, piece).alias("piece")).alias("x"))
+    return blocks.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("clean"))
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each span replaced: base spans by their kind, terms by their class (a number, or a word); and ``n_spans``."""
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    spans = private_spans(docs, id_col, text_col, support, threshold).select(F.col("key").alias("__key"), F.array_sort(F.concat("base", "terms")).alias("__spans")).dropDuplicates(["__key"])
-    rows = docs.withColumn("__key", key).join(spans, "__key")
-    text = F.col(text_col)
-    tag = lambda x: F.when(x["k"] == 4, F.when(x["v"].rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")).otherwise(F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1)), F.lit("]")))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["pos"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), tag(x))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), out.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, rest)
-    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).withColumn("n_spans", F.size("__spans").cast("bigint")).drop("__key", "__spans")
+    key, clean, count = free(docs, "key"), free(docs, "clean"), "n_spans"
+    rows = docs.drop(count).withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    spans = private_spans(docs, id_col, text_col, support, threshold).select("key", F.concat("base", "terms").alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["key"])
+    spans = cut(spans)
+    texts = rows.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")).join(spans, "key").dropDuplicates(["key"])
+    done = _replaced(cut(texts)).join(spans.select("key", F.size("spans").cast("bigint").alias("n")), "key")
+    done = done.select(F.col("key").alias(key), F.col("clean").alias(clean), F.col("n").alias(count))
+    out = rows.join(done, key, "left").withColumn(text_col, F.coalesce(clean, F.col(text_col).cast("string"))).withColumn(count, F.coalesce(count, F.lit(0).cast("bigint")))
+    return out.select(*[c for c in docs.columns if c != count], count)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
