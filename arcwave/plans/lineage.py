@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever its file system is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder; ``df`` reads it, ``drop`` deletes it."""
 
@@ -34,9 +40,7 @@ class Table:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def cut(df: DataFrame) -> DataFrame:
