@@ -16,13 +16,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def spread_join(big: DataFrame, other: DataFrame, on: list[str], by: str, how: str = "inner", task_rows: int = TASK_ROWS) -> DataFrame:
+def spread_join(big: DataFrame, other: DataFrame, on: list[str], by: str, how: str = "inner", task_rows: int = TASK_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """``big.join(other, on, how)``; keys with over ``task_rows`` rows in ``big`` are dealt over tasks by the hash of ``by``.
 
     ``other``'s rows of such keys are repeated once a task. The heavy keys are counted with map-side combination and are at
-    most ``big``'s rows / ``task_rows``. ``big`` is read twice, so it should be a written table.
+    most ``big``'s rows / ``task_rows``. ``counts`` (on, n) spares that count, where it is known; else ``big`` is read twice, so
+    it should be a written table.
     """
-    heavy = cut(big.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("__parts")).filter("__parts > 1"))
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    heavy = cut(counts.filter(F.col("n") > task_rows).select(*on, F.ceil(F.col("n") / task_rows).cast("int").alias("__parts")))
     if heavy.isEmpty():
         return big.join(other, on, how)
     heavy = small(heavy)
