@@ -13,8 +13,10 @@ seed. These seeds are made only for the lengths that the benchmark has.
 Words are the lower-cased runs of letters and digits. A small bit table of the pairs (first word, last
 word) that all masks keep is folded into the plan; it spares the texts' other places the masks. It only
 skips places that cannot match, whatever the size of the benchmark. Items of fewer than ``min_words`` words
-(``SPAN`` unless told otherwise; the queries take 1) are left out. Null and empty texts are clean. Rows that repeat an id and text get one
-answer. The benchmark's seeds are broadcast up to ``BROADCAST_ROWS`` and joined by a shuffle beyond.
+(``SPAN`` unless told otherwise; the queries take 1) are left out. Null and empty texts are clean, as are all texts where the benchmark
+is empty; an empty table gives no rows. Rows that repeat an id and text get one answer; equal items of several ids are
+all found, and of several alignments the best counts. Texts of any length are read whole, as one array of 8 bytes a word.
+Columns of the input with names used here do not matter. The benchmark's seeds are broadcast up to ``BROADCAST_ROWS`` and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwave.plans.lineage import cut
+from arcwave.plans.names import free
 
 SPAN = 10
 MASKS = ("1101100101", "1011010011", "1100111001")
@@ -165,8 +168,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = SPAN) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_words).select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).join(found, "__key", "left_anti").select(docs.columns)
+    key = free(docs, "key")
+    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_words).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(found, key, "left_anti").select(docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
