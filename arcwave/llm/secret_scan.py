@@ -1,14 +1,17 @@
 """Secret scan: two patterns propose candidates, a random forest removes the false positives.
 
-Candidates are values assigned to a secret-like name, and long strings with a digit or inner capitals.
+Candidates are values assigned to a secret-like name, and all runs of key characters that hold a digit (from
+``SHORT`` characters on) or inner capitals (from ``LONG`` on): card and order numbers, identifiers, digests and file
+names are among them, and it is for the forest to tell them from keys.
 Each gets features of its length, its letters (classes, entropy, transitions between classes, and its
 likelihood as a chain of letter pairs), the share of it that dictionary words cover, the words beside it,
 and its path. The forest is Spark ML's, trained on labelled findings: rows of (before, value, after, path,
-label). ``labelled_findings`` draws such rows from the public shapes of keys, digests and identifiers; pass
+label). ``labelled_findings`` draws such rows from ``SHAPES``, the public shapes of keys and of what looks like them; pass
 a DataFrame of reviewed findings to replace it.
 
-Null and empty texts have no candidates; null paths are empty. Rows that repeat an id are scanned each
-on its own.
+Null and empty texts have no candidates, and an empty table gives no rows; null paths are empty. Rows that repeat an id are
+scanned each on its own; equal rows of a finding count once in ``redact``. A tie (probability 0.5) is a secret. Texts of any length are scanned whole; memory
+for one grows with its candidates. Input columns of any name come through ``redact`` as they are; ``scan`` reads only the three that it is told.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import re
 import string
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwave.plans.lineage import shared_dir
+from arcwave.plans.lineage import remove, shared_dir
+from arcwave.plans.names import free
 
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 TREES, DEPTH = 40, 9
@@ -36,7 +41,8 @@ FINDINGS = 6_000
 AROUND = 48
 
 ASSIGNED = re.compile(r"(?i)\b[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"',;]{6,})")
-LONG = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+SHORT, LONG = 8, 16
+RUN = re.compile(rf"[A-Za-z0-9+/=_-]{{{SHORT},}}")
 _PART = re.compile(r"[^=]+(?:={1,2}$)?")
 _NAMES = re.compile(r"(?i)token|secret|passw|api[_-]?key|access[_-]?key|private|auth|bearer|credential")
 _DIGEST = re.compile(r"(?i)sha-?\d|md5|commit|checksum|digest|hash|etag|revision|integrity|blob|uuid|guid|trace|request")
@@ -104,12 +110,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
         s += len(m[1]) - len(m[1].lstrip("="))
         if e - s >= 6:
             found.append((s, e))
-    for m in LONG.finditer(text):
+    for m in RUN.finditer(text):
         for part in _PART.finditer(m[0]):
             v = part[0]
-            if len(v) < (6 if part.start() else 16):
+            if len(v) < (6 if part.start() else SHORT):
                 continue
-            if any(c.isdigit() for c in v) and not v.isdigit() or _INNER.search(v):
+            if any(c.isdigit() for c in v) or len(v) >= LONG and _INNER.search(v):
                 found.append((m.start() + part.start(), m.start() + part.end()))
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -118,52 +124,98 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """(before, value, after, path, label) rows in the public shapes of keys (1) and of what looks like them (0)."""
+# What values and their surroundings look like: shape -> (label, drawn by a random generator).
+
+_HEXA, _ALNUM = "0123456789abcdef", string.ascii_letters + string.digits
+_PLAIN = "the value here was set for all of them in order with this one and then that from our last run".split()
+_SECRET_NAMES = ("token", "api_key", "apiKey", "secret", "client_secret", "password", "auth_token", "AWS_SECRET_ACCESS_KEY", "access_key")
+_OTHER_NAMES = ("id", "user_id", "order", "ref", "version", "name", "session", "build", "sku", "invoice", "track", "color", "file")
+_DIGEST_NAMES = ("sha256:", "sha1 ", "commit ", "checksum: ", "md5: ", 'etag: "', "digest = ", 'integrity="', "revision ", "trace id ", "uuid: ")
+_PATHS = ("src/app.py", "config/settings.yml", "deploy/env", "web", "notes.md", "src0", "")
+_COMPOUND = ("user", "account", "request", "handler", "factory", "service", "manager", "config", "builder", "stream", "version")
+_STAND_INS = ("your_api_key_here", "YOUR-TOKEN-HERE", "xxxxxxxxxxxxxxxx", "changeme1234", "example_token_1", "<redacted>", "${API_TOKEN}", "os.environ[TOKEN]", "dummy-secret-123", "process.env.SECRET_KEY")
+
+
+def _draw(rng: random.Random, alphabet: str, n: int) -> str:
+    return "".join(rng.choices(alphabet, k=n))
+
+
+def _prose(rng: random.Random) -> str:
+    return " ".join(rng.choices(_PLAIN, k=4)) if rng.random() < 0.5 else " ".join(_draw(rng, string.ascii_lowercase, rng.randint(2, 11)) for _ in range(4))
+
+
+def _assignment(rng: random.Random, names: tuple[str, ...] = _SECRET_NAMES) -> str:
+    name = rng.choice(names)
+    return (name.upper() if rng.random() < 0.15 else name) + rng.choice([" = ", "=", ": ", " := "])
+
+
+def _compound(rng: random.Random) -> str:
+    return "".join(w.title() for w in rng.choices(_COMPOUND, k=rng.randint(2, 4))) + rng.choice(["", "2", "V1", "_test"])
+
+
+def _uuid(rng: random.Random) -> str:
+    return "-".join(_draw(rng, _HEXA, k) for k in (8, 4, 4, 4, 12))
+
+
+def _word_and_number(rng: random.Random) -> str:
+    return _draw(rng, string.ascii_lowercase, rng.randint(2, 12)) + rng.choice(["", "-", "_"]) + _draw(rng, string.digits, rng.randint(1, 6)) + rng.choice(["", "-", "_", "/"]) + _draw(rng, string.ascii_lowercase, rng.randint(3, 12))
+
+
+def _date(rng: random.Random) -> str:
+    return rng.choice(["{}-{:02}-{:02}", "{}{:02}{:02}", "{}/{:02}/{:02}", "{}-{:02}-{:02}T10"]).format(rng.randint(1970, 2030), rng.randint(1, 12), rng.randint(1, 28))
+
+
+#: shape: (label, value, how it is led in, path or None for any). A lead of "assigned" names a secret, "bare" nothing, "mostly" mostly the first.
+SHAPES = {
+    "hex key": (1, lambda r: _draw(r, _HEXA, r.choice([32, 40, 40, 64])), "assigned", None),
+    "access id": (1, lambda r: "AKIA" + _draw(r, string.ascii_uppercase + string.digits, 16), "mostly", None),
+    "prefixed key": (1, lambda r: r.choice(["ghp_", "sk_live_", "xoxb-"]) + _draw(r, _ALNUM, r.choice([24, 36])), "mostly", None),
+    "deploy token": (1, lambda r: "glpat-" + _draw(r, _ALNUM + "_-", 20), "mostly", None),
+    "secret key": (1, lambda r: _draw(r, _ALNUM + "+/", 40), "assigned", None),
+    "password": (1, lambda r: _draw(r, _ALNUM + "!@#$%^&*", r.randint(10, 24)), "assigned", None),
+    "signed token": (1, lambda r: "eyJ" + _draw(r, _ALNUM + "_-", r.randint(40, 120)), "mostly", None),
+    "url-safe key": (1, lambda r: _draw(r, _ALNUM + "_-", r.randint(22, 64)), "assigned", None),
+    "digest": (0, lambda r: _draw(r, _HEXA, r.choice([32, 40, 64])), _DIGEST_NAMES, None),
+    "short commit": (0, lambda r: _draw(r, _HEXA, r.randint(8, 12)), ("commit ", "revision ", "", "at "), None),
+    "uuid": (0, _uuid, (*_DIGEST_NAMES, "id ", "key ", "id: "), None),
+    "identifier": (0, _compound, ("class ", "new ", "return ", "", "token = "), None),
+    "stand-in": (0, lambda r: r.choice(_STAND_INS), "assigned", None),
+    "word and number": (0, _word_and_number, "bare", None),
+    "file name": (0, lambda r: "-".join(r.choices(_PLAIN, k=5)) + r.choice(["-2", "-2024", "_v3", "/1"]), "bare", None),
+    "number": (0, lambda r: _draw(r, string.digits, r.randint(8, 19)), "bare", None),
+    "named number": (0, lambda r: _draw(r, string.digits, r.randint(8, 19)), "other", None),
+    "phone": (0, lambda r: "-".join(_draw(r, string.digits, k) for k in r.choice([(3, 3, 4), (1, 3, 3, 4), (4, 4, 4, 4)])), "bare", None),
+    "date": (0, _date, "bare", None),
+    "order id": (0, lambda r: _draw(r, string.ascii_uppercase, r.randint(2, 4)) + "-" + _draw(r, string.digits, r.randint(5, 10)), "other", None),
+    "named hex": (0, lambda r: _draw(r, _HEXA, r.choice([8, 16, 24, 32])), "other", None),
+    "integrity": (0, lambda r: _draw(r, _ALNUM + "+/", 86) + "==", (' integrity="sha512-',), "package-lock.json"),
+    "inline image": (0, lambda r: _draw(r, _ALNUM + "+/", r.randint(40, 200)), (" data:image/png;base64,",), None),
+    "fixture": (0, lambda r: _draw(r, _HEXA, 40), "assigned", "tests/fixtures/keys.py"),
+}
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = 11, shapes: Collection[str] = tuple(SHAPES)) -> list[tuple[str, str, str, str, int]]:
+    """(before, value, after, path, label) rows, keys (1) and what looks like them (0) in turn, each side's ``shapes`` in turn."""
     rng = random.Random(seed)
-    draw = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
-    hexa, word64 = "0123456789abcdef", string.ascii_letters + string.digits
-    plain = "the value here was set for all of them in order with this one and then that from our last run".split()
-    filler = lambda: " ".join(rng.choices(plain, k=4)) if rng.random() < 0.5 else " ".join(draw(string.ascii_lowercase, rng.randint(2, 11)) for _ in range(4))
-    names = ["token", "api_key", "apiKey", "secret", "client_secret", "password", "auth_token", "AWS_SECRET_ACCESS_KEY", "access_key"]
-    hashes = ["sha256:", "sha1 ", "commit ", "checksum: ", "md5: ", 'etag: "', "digest = ", 'integrity="', "revision ", "trace id ", "uuid: "]
-    paths = ["src/app.py", "config/settings.yml", "deploy/env", "web", "notes.md", "src0", ""]
-    compound = lambda: "".join(w.title() for w in rng.choices(["user", "account", "request", "handler", "factory", "service", "manager", "config", "builder", "stream", "version"], k=rng.randint(2, 4)))
-    uuid = lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12))
+    sides = [[k for k in SHAPES if k in shapes and SHAPES[k][0] == y] for y in (0, 1)]
     rows = []
     for i in range(n):
-        path, q = rng.choice(paths), rng.choice(['"', "'", ""])
-        tail = rng.choice([q + " ", q + "\n", q + "; ", q + "!! "]) + filler()
-        if i % 2:
-            kind = rng.randrange(6)
-            value = [lambda: draw(hexa, rng.choice([32, 40, 40, 64])), lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: rng.choice(["ghp_", "glpat-", "sk_live_", "xoxb-"]) + draw(word64, rng.choice([24, 36])), lambda: draw(word64 + "+/", 40), lambda: draw(word64 + "!@#$%^&*", rng.randint(10, 24)), lambda: "eyJ" + draw(word64 + "_-", rng.randint(40, 120))][kind]()
-            if rng.random() < 0.1:
-                value = value.upper()
-            name = rng.choice(names)
-            name = name.upper() if rng.random() < 0.15 else name
-            before = filler() + " " + (name + rng.choice([" = ", "=", ": ", " := "]) + q if kind in (0, 3, 4) or rng.random() < 0.7 else q)
-            rows.append((before, value, tail, path, 1))
-            continue
-        kind = rng.randrange(9)
-        assign = rng.choice(names) + rng.choice([" = ", ": ", "="]) + q
-        if kind == 0:
-            rows.append((filler() + " " + rng.choice(hashes), draw(hexa, rng.choice([32, 40, 64])), tail, path, 0))
-        elif kind == 1:
-            rows.append((filler() + " " + rng.choice(hashes + ["id ", "key "]), uuid(), tail, path, 0))
-        elif kind == 2:
-            rows.append((filler() + " " + rng.choice(["class ", "new ", "return ", "", assign]), compound() + rng.choice(["", "2", "V1", "_test"]), "(" + tail, path, 0))
-        elif kind == 3:
-            rows.append((filler() + " " + assign, rng.choice(["your_api_key_here", "YOUR-TOKEN-HERE", "xxxxxxxxxxxxxxxx", "changeme1234", "example_token_1", "<redacted>", "${API_TOKEN}", "os.environ[TOKEN]", "dummy-secret-123", "process.env.SECRET_KEY"]), tail, path, 0))
-        elif kind == 4:
-            rows.append((filler() + " ", draw(string.ascii_lowercase, rng.randint(6, 12)) + draw(string.digits, rng.randint(1, 4)) + rng.choice(["-", "_", "/"]) + draw(string.ascii_lowercase, rng.randint(5, 12)), " " + filler(), path, 0))
-        elif kind == 5:
-            rows.append((filler() + ' integrity="sha512-', draw(word64 + "+/", 86) + "==", tail, rng.choice(["package-lock.json", "yarn.lock", path]), 0))
-        elif kind == 6:
-            rows.append((filler() + " data:image/png;base64,", draw(word64 + "+/", rng.randint(40, 200)), tail, path, 0))
-        elif kind == 7:
-            rows.append((filler() + " " + assign, draw(hexa, 40), tail, rng.choice(["tests/fixtures/keys.py", "examples/test_auth.py", "docs/sample.md"]), 0))
+        side = sides[i % 2] or sides[1 - i % 2]
+        label, value, lead, path = SHAPES[side[i // 2 % len(side)]]
+        quote = rng.choice(['"', "'", ""])
+        if lead == "mostly":
+            lead = "assigned" if rng.random() < 0.7 else "bare"
+        if lead == "assigned":
+            before = _assignment(rng) + quote
+        elif lead == "other":
+            before = _assignment(rng, _OTHER_NAMES) + quote
         else:
-            rows.append((filler() + " ", "-".join(rng.choices(plain, k=5)) + rng.choice(["", "-2", "-2024"]), " " + filler(), path, 0))
+            before, quote = ("" if lead == "bare" else rng.choice(lead)), rng.choice(["", "", quote])
+            before += quote
+        drawn = value(rng)
+        drawn = drawn.upper() if rng.random() < 0.1 else drawn
+        tail = quote + rng.choice([" ", "\n", "; ", "!! ", ", ", "."]) + _prose(rng)
+        rows.append((_prose(rng) + " " + before, drawn, tail, path or rng.choice(_PATHS), label))
     return rows
 
 
@@ -192,7 +244,9 @@ def train(spark: SparkSession, findings: DataFrame | None = None, dictionary: st
     # written and read again: a fitted model drags its training summary, and with it the session, into tasks
     path = f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
     RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2).fit(described).write().save(path)
-    return RandomForestClassificationModel.load(path)
+    model = RandomForestClassificationModel.load(path)
+    remove(spark, path)
+    return model
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", dictionary: str = DICTIONARY) -> DataFrame:
@@ -222,13 +276,27 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with the secrets of ``found`` (from ``scan`` of the same docs) replaced; other columns stay."""
-    spans = found.filter("secret").groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(spans, "__key", "left")
-    text = F.col(text_col)
-    step = lambda acc, x: F.struct(x["end"].alias("pos"), F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), (x["start"] - acc["pos"]).cast("int")), F.lit(mark)).alias("out"))
-    last = lambda acc: F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), F.length(text)))
-    clean = F.aggregate("__spans", F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), step, last)
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).drop("__key", "__spans").select(docs.columns)
+    columns = docs.columns
+    key, spans, place = free(docs, "key"), free(docs, "spans"), columns.index(text_col)
+    marked = found.filter("secret").groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
+    rows = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(marked, key, "left").select(*columns, spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(place)
+            hit = pc.is_valid(b.column(len(b.columns) - 1))
+            if hit.true_count:
+                clean: list[str | None] = [None] * b.num_rows
+                for i in pc.indices_nonzero(hit).to_pylist():
+                    text, at, parts = texts[i].as_py(), 0, []
+                    for x in b.column(len(b.columns) - 1)[i].as_py():
+                        parts += [text[at : x["start"]], mark]
+                        at = x["end"]
+                    clean[i] = "".join([*parts, text[at:]])
+                texts = pc.if_else(hit, pa.array(clean, texts.type), texts)
+            yield pa.RecordBatch.from_arrays([texts if k == place else b.column(k) for k in range(len(columns))], columns)
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
