@@ -1,16 +1,19 @@
 """Sharding by balanced label propagation, under the law ``rows``: shard sizes are at most one row apart.
 
 Equal texts are one group; groups are linked if they share one of their ``TOKENS`` smallest 5-gram
-hashes. Labels start in ranges of the smallest hash. In each round half of the groups may ask to move to the label
+hashes. Labels start by each group's home: the hash that most groups share with it, lines shared by over 1 in ``8 * shards`` rows
+aside. In each round half of the groups may ask to move to the label
 where most of their linked rows are. Requests between two labels are met from the largest gain down, as far
 as the other direction or the free room (``SLACK`` over an even share) pays for them; gains are counted in
 classes, so a round's plan is a table of labels x labels x classes whatever the corpus. A request in the last
 class that fits in part is met for a share of it, by hash.
 
-At last rows stand in one global order (label, smallest hash, group, id) that is cut into equal runs. So
-the law holds exactly, and only groups at a cut, or larger than a shard, are split.
+At last rows stand in one global order (label, home, group, id) that is cut into equal runs. So
+the law holds exactly, what shares a home stays together, and only groups at a cut, or larger than a shard, are split.
 
-Null texts have size 1 and are equal to empty texts. Rows with equal ids are interchangeable where their texts are equal.
+Null texts have size 1 and are equal to empty texts; texts without words have no links. Rows with equal ids are interchangeable where
+their texts are equal; ties between shards go to the group's own, then to the smallest. An empty table gives no rows. Texts of any length
+are read whole, 1 MB or one longer text at a time. Input columns of any other name are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from arcwave.llm.ngram_join import text_sets
 from arcwave.operators.ranking import global_rank
 from arcwave.plans.lineage import Table, cut
+from arcwave.plans.spread import spread_join
 
 SHARDS = 8
 TOKENS = 4
@@ -85,14 +89,17 @@ def _quotas(table: list, sizes: dict[int, int], room: float) -> dict[tuple[int,
 
 
 def propagate(groups: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(g, w, t1, label) from (g, w, toks)."""
-    # the smallest hash is near 0 in a long text, so its rank among all hashes says nothing: mix it again
-    start = F.pmod(F.shiftright(F.xxhash64(F.coalesce(F.get("toks", F.lit(0)), F.col("g"))), 8), F.lit(shards)).cast("int")
-    now = Table(groups.select("g", "w", F.get("toks", F.lit(0)).alias("t1"), start.alias("label")))
+    """(g, w, t1, label) from (g, w, toks); t1 is the home."""
     posted = groups.select("g", "w", F.explode("toks").alias("tok"))
-    shared = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tok")
-    edges = cut(posted.join(shared, "tok"))
-    total = now.df.agg(F.sum("w")).first()[0] or 0
+    shared = cut(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("rows")).filter("n > 1"))
+    edges = cut(spread_join(posted, shared, ["tok"], "g", counts=shared))
+    total = groups.agg(F.sum("w")).first()[0] or 0
+    home = edges.filter(F.col("rows") * 8 * shards <= total).groupBy("g").agg(F.max(F.struct("n", "tok")).alias("home")).select("g", F.col("home.tok").alias("t1"))
+    edges = edges.select("g", "w", "tok")
+    placed = groups.join(home, "g", "left").select("g", "w", F.coalesce("t1", F.get("toks", F.lit(0)), F.col("g")).alias("t1"))
+    # the smallest hash is near 0 in a long text, so its rank among all hashes says nothing: mix it again
+    start = F.pmod(F.shiftright(F.xxhash64("t1"), 8), F.lit(shards)).cast("int")
+    now = Table(placed.select("g", "w", "t1", start.alias("label")))
     for turn in range(rounds):
         asked = Table(_requests(edges, now.df, shards, turn).withColumn("class", F.least(F.floor(F.log2(F.col("gain") + 1) * 2), F.lit(CLASSES - 1)).cast("int")))
         # at most shards * shards * CLASSES rows
