@@ -1,11 +1,16 @@
 """N-gram Jaccard self-join with signature trees, and its connected components.
 
-A text's set is its distinct word 5-grams. Rows with equal sets are one node. Nodes meet in buckets:
-each stands in the buckets of its ``SKETCH`` smallest shingle hashes (all of an exact prefix filter's
-tokens if those are fewer). Two sets of Jaccard similarity 0.75 have no bucket in common with
-probability under 0.25 ** 32, which is less than that of a collision among their 64-bit hashes. Nodes of
-full sketches leave buckets of over ``HOT`` nodes if they have at most ``SPARE`` such buckets: linked
-sets share over ``SPARE`` tokens but for odds under 1e-9, so a cooler bucket brings them together.
+A text's set is its distinct word 5-grams. Rows with equal sets are one node. Nodes meet in buckets of shared tokens.
+A set of at most ``FULL`` tokens posts an exact prefix: of two linked sets of n tokens or more, the first n - ceil(0.75 n) + 1
+tokens of each in any one order share one. The order is by hash, with the tokens that over ``HOT`` sets post behind all others: so a
+line that very many texts hold brings none of them together unless it makes up most of them.
+
+Larger sets post their ``SKETCH`` smallest tokens (those of up to ``FULL`` and over 4 * ``SKETCH`` tokens post these too, if their prefix
+changed). Two of them of Jaccard similarity 0.75 have no bucket in common with
+probability under 0.25 ** 32, which is less than that of a collision among their 64-bit hashes. They leave buckets of over ``HOT``
+nodes if they have at most ``SPARE`` such buckets: linked
+sets share over ``SPARE`` tokens but for odds under 1e-9, so a cooler bucket brings them together. ``exact=True`` posts exact
+prefixes for sets of all sizes instead (a quarter of all tokens), and none leaves a bucket.
 
 Inside a bucket a signature tree holds OR- and AND-combined token bitmaps and size ranges; a dual
 traversal drops node pairs whose largest possible overlap is too small, and leaves give candidate pairs.
@@ -16,8 +21,10 @@ components; round 2 returns to these buckets and takes every candidate between d
 link between components is left out. Buckets of over ``BLOCK`` nodes are cut into blocks: in round 1 each
 block stands alone beside one common node, in round 2 rows outside the bucket's main component meet all blocks.
 
-Null and empty texts, and texts without words, link with nothing, as do rows without an id. Each row is
-judged by its own text, also where ids repeat. Row keys are hashes of id and text.
+Null and empty texts, and texts without words, link with nothing, as do rows without an id. An empty table gives no rows. Each row is
+judged by its own text, also where ids repeat. Row keys are hashes of id and text. A pair at exactly the similarity links, and of ids
+that tie the smallest names the component. A task holds 1 MB of text, or one longer text, at a time. Input columns of any other name are
+not read by ``similar_components`` and come through ``keep_one`` as they are.
 """
 
 from __future__ import annotations
@@ -33,10 +40,13 @@ from pyspark.sql import Window
 from arcwave.llm.textkit import mix, shingle_hashes, text_chunks, word_hashes
 from arcwave.operators.components import connected_components
 from arcwave.plans.lineage import cut
+from arcwave.plans.names import free
+from arcwave.plans.spread import small, spread_join
 
 WORDS = 5
 NUM, DEN = 3, 4  # the similarity, as a fraction
 SKETCH = 32
+FULL = 4 * SKETCH * DEN // NUM
 HOT, SPARE = 1000, 4
 BLOCK = 2048
 LEAF, FAN = 32, 4
@@ -290,28 +300,30 @@ def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _emit(rows, [])
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n, k1, k2, toks, capped, bm, wide) for every row."""
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, exact: bool = False) -> DataFrame:
+    """(id, key, n, k1, k2, toks, want, capped, bm, wide) for every row; ``want`` is the length of the prefix, ``toks`` all tokens unless ``capped``."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k1, k2, toks, capped, maps, wide = [], [], [], [], [], [], []
+            n, k1, k2, toks, wants, capped, maps, wide = [], [], [], [], [], [], [], []
             for s in text_sets(b.column(2), words):
                 size = len(s)
                 n.append(size)
                 k1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if size else 0)
                 k2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5BF03635))).view(np.int64)) if size else 0)
                 want = prefix_length(size) if size else 0
-                toks.append(s[: min(want, SKETCH)].view(np.int64))
-                capped.append(want > SKETCH)
+                cap = size > FULL and not exact
+                toks.append((s[:SKETCH] if cap else s).view(np.int64))
+                wants.append(SKETCH if cap else want)
+                capped.append(cap)
                 maps.append(bitmap(s))
                 wide.append(bitmap(s, WIDE))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in toks])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *toks])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(capped, pa.bool_()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["id", "key", "n", "k1", "k2", "toks", "capped", "bm", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(wants, pa.int32()), pa.array(capped, pa.bool_()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["id", "key", "n", "k1", "k2", "toks", "want", "capped", "bm", "wide"])
 
-    return rows.mapInArrow(run, f"id {kind}, key bigint, n bigint, k1 bigint, k2 bigint, toks array<bigint>, capped boolean, bm binary, wide binary")
+    return rows.mapInArrow(run, f"id {kind}, key bigint, n bigint, k1 bigint, k2 bigint, toks array<bigint>, want int, capped boolean, bm binary, wide binary")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -321,7 +333,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of row keys whose whole texts link."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    wanted = small(ids, BROADCAST_IDS)
     held = cut(_keyed(docs, id_col, text_col).select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     both = pairs.join(held.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(held.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
 
@@ -342,27 +354,58 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, id_col: str, text_co
 
 
 def _buckets(rows: DataFrame, keys: list[str], run: Callable, columns: list[str]) -> DataFrame:
-    return rows.select(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, tok bigint")
+    # nodes in order: buckets of the same nodes then span them in the same way, so they verify the same pairs
+    return rows.select(columns).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a bigint, b bigint, tok bigint")
 
 
-def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _posted(reps: DataFrame) -> DataFrame:
+    """(node, capped, tok): the buckets of each node."""
+    prefix = cut(reps.select("node", "capped", F.explode(F.slice("toks", F.lit(1), F.col("want"))).alias("tok")))
+
+    def hot_in(tokens: DataFrame) -> DataFrame:
+        return tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("tok")
+
+    def holding(hot: DataFrame) -> DataFrame:
+        nodes = cut(prefix.filter("not capped").join(small(hot), "tok", "left_semi").select("node").distinct())
+        return cut(reps.join(small(nodes), "node", "left_semi").select("node", "n", "want", F.posexplode("toks").alias("at", "tok")))
+
+    hot = cut(hot_in(prefix))
+    if hot.isEmpty():
+        return prefix
+    # the order is fixed once for all nodes: what many post, and what many of those that post it hold
+    hot = cut(hot.unionByName(hot_in(holding(hot))).distinct())
+    changed = holding(hot).join(small(hot.withColumn("hot", F.lit(True))), "tok", "left")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("hot", F.lit(False)), "at"))  # all tokens of a set of bounded size
+    first = (place <= F.col("want")) | (F.col("n") > 4 * SKETCH) & (F.col("at") < SKETCH)
+    changed = cut(changed.withColumn("first", first).filter("first").select("node", F.lit(False).alias("capped"), "tok"))
+    same = prefix.join(small(cut(changed.select("node").distinct())), "node", "left_anti")
+    return cut(same.unionByName(changed))
+
+
+def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(id, key bigint, n_shingles bigint, component_id) for every row; component_id is the smallest id reachable by links."""
-    rows = cut(sketches(docs, words, id_col, text_col))
+    rows = cut(sketches(docs, words, id_col, text_col, exact))
     classes = cut(rows.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("least"), F.min("key").alias("node")))
-    reps = rows.filter("id is not null").join(classes.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "node")
-    reps = cut(reps.select("node", "n", "toks", "capped", "bm", "wide"))
-    posted = reps.select("node", "capped", F.explode("toks").alias("tok"))
+    nodes = small(classes.select(F.col("node").alias("key")), BROADCAST_IDS)
+    reps = cut(rows.filter("id is not null").select("key", "n", "toks", "want", "capped").join(nodes, "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "node"))
+
+    def maps(of: DataFrame, column: str) -> DataFrame:
+        """(node, n, map) of the nodes ``of``: only what meets another has its bitmap shuffled."""
+        wanted = small(cut(of.select(F.col("node").alias("key")).distinct()), BROADCAST_IDS)
+        return rows.select("key", "n", column).join(wanted, "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "node")
+
+    posted = _posted(reps)
     shared = cut(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    met = posted.join(shared, "tok").withColumn("hot", F.col("c") > HOT)
-    spare = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("node")) <= SPARE  # at most SKETCH rows a node
-    met = met.withColumn("leaves", F.col("capped") & F.col("hot") & spare).filter("not leaves").select("tok", "c", "node")
+    met = spread_join(posted, shared, ["tok"], "node", counts=shared.withColumnRenamed("c", "n")).withColumn("hot", F.col("c") > HOT)
+    spare = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("node")) <= SPARE  # the buckets of one node
+    met = cut(met.withColumn("leaves", F.col("capped") & F.col("hot") & spare).filter("not leaves").select("tok", "c", "node"))
     met = met.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     common = met.filter("blocks > 1").groupBy("tok").agg(F.min("node").alias("node")).withColumn("everywhere", F.lit(True))
     placed = met.join(common, ["tok", "node"], "left")
     placed = placed.withColumn("block", F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    placed = placed.join(reps.select("node", "n", "bm"), "node")
+    placed = placed.join(maps(met, "bm"), "node")
     found = cut(_buckets(placed, ["tok", "block"], first_round, ["tok", "block", "blocks", "node", "n", "bm"]))
     pairs = found.filter("tok is null").select("a", "b").distinct()
     links = cut(verified(docs, pairs, words, id_col, text_col))
@@ -381,7 +424,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
         spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
         as_row = split.withColumn("r", part("rs")).withColumn("q", spread("qs")).withColumn("col", F.lit(False))
         as_col = split.filter("minor").withColumn("q", part("qs")).withColumn("r", spread("rs")).withColumn("col", F.lit(True))
-        tasks = as_row.unionByName(as_col).join(reps.select("node", "n", "wide").join(buckets, "node"), "node")
+        tasks = as_row.unionByName(as_col).join(maps(named, "wide").join(buckets, "node"), "node")
         more = _buckets(tasks, ["tok", "r", "q"], second_round, ["tok", "r", "q", "col", "minor", "node", "n", "wide", "label", "toks"])
         more = cut(more.select("a", "b").distinct())
         if not more.isEmpty():
@@ -399,13 +442,14 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
 
 def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``: that of the smallest id, and of the smallest text key where it repeats. Rows without an id or without words stay."""
-    found = similar_components(docs, words, id_col, text_col)
-    grouped = found.filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
-    first = grouped.groupBy("component_id").agg(F.min(F.struct(id_col, "key")).alias("first")).select(F.col("first.key").alias("__key"))
-    loose = found.filter((F.col("n_shingles") == 0) | F.col(id_col).isNull()).select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    kept = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.unionByName(keyed.join(loose, "__key", "left_semi")).select(docs.columns)
+    name = free(docs, "key")
+    found = cut(similar_components(docs, words, id_col, text_col).withColumnsRenamed({id_col: "id", "key": name}))
+    grouped = found.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("id", name)).alias("first")).select(F.col(f"first.{name}").alias(name))
+    loose = found.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select(name).distinct()
+    keyed = docs.withColumn(name, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    kept = keyed.join(first, name, "left_semi").dropDuplicates([name])
+    return kept.unionByName(keyed.join(loose, name, "left_semi")).select(docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
