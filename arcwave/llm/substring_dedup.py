@@ -15,9 +15,11 @@ Spans are hashed over their lower-cased words and joined globally; the first occ
 key, place), stays, and every sentence that another occurrence covers is removed, in other documents or in
 the same one. Sentences are counted between the cuts of both kinds.
 
-Null texts count as empty; empty texts have no sentences and come back unchanged, as do texts with no repeat. Rows that
-repeat an id and text are one document and get one answer; rows with one id and other texts are apart.
-Spans are counted by hash with map-side combination first; only those that occur twice carry their places on.
+Null texts count as empty; empty texts have no sentences and come back unchanged, as do texts with no repeat; an empty table
+gives no rows. Rows that repeat an id and text are one document and get one answer; rows with one id and other texts are apart.
+Null ids come first. Texts of any length are cut whole. Input columns other than the id and the text are not read.
+Spans are named by 96 bits of two hashes, and counted by them with map-side combination first; only those that occur twice carry
+their places on, and a span that many rows hold is dealt over tasks.
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 
 from arcwave.llm.textkit import BASE, STEP, U64, mix, text_chunks, word_hashes
 from arcwave.plans.lineage import cut
+from arcwave.plans.spread import small, spread_join
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 MAX_WORDS = 8
 _RUN_BITS = 24
+_NAME = ["h", "g"]
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -89,12 +93,12 @@ def _least_runs(begin: np.ndarray, first: np.ndarray, min_sentences: int, min_wo
     return np.concatenate([begin[good], bounds[back[fits]]]), np.concatenate([bounds[stop[good]], bounds[1:][fits]])
 
 
-def spans(buf: np.ndarray, off: np.ndarray, min_sentences: int, min_words: int, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text row, word place inside the text, and number of words of every span."""
+def spans(buf: np.ndarray, off: np.ndarray, min_sentences: int, min_words: int, max_words: int) -> tuple[np.ndarray, ...]:
+    """Hash, text row, word place inside the text, number of words, and second hash of every span."""
     words, _, first, *cuts = sentences(buf, off, max_words)
     if not len(words):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.int32)
     begin, end_word = (np.concatenate(x) for x in zip(*[_least_runs(c, first, min_sentences, min_words) for c in cuts], strict=True))
     runs = np.unique(begin << _RUN_BITS | end_word - begin)
     begin, size = runs >> _RUN_BITS, runs & (1 << _RUN_BITS) - 1
@@ -106,9 +110,11 @@ def spans(buf: np.ndarray, off: np.ndarray, min_sentences: int, min_words: int,
     inverse = np.ones(len(words) + 1, np.uint64)
     inverse[1:] = _INVERSE
     inverse = np.multiply.accumulate(inverse)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1])])
-    hashes = mix((sums[end_word] - sums[begin]) * inverse[begin] + size.astype(np.uint64))
-    return hashes, row, begin - first[row], size
+    names = []
+    for value in (words, mix(words ^ STEP)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:-1])])
+        names.append(mix((sums[end_word] - sums[begin]) * inverse[begin] + size.astype(np.uint64)))
+    return names[0], row, begin - first[row], size, (names[1] >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,20 +125,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """(key bigint, runs array<bigint>): for each row key with a non-first repeated span, its spans as first word << 24 | words."""
     kind = docs.schema[id_col].dataType.simpleString()
+    if not (min_sentences >= 1 and min_words >= 1 and max_words >= 1 and min_words + (min_sentences + 1) * max_words < 1 << _RUN_BITS):
+        raise ValueError(f"spans have from 1 sentence and 1 word to 2 ** {_RUN_BITS} words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, end, buf, off in text_chunks(b.column(1)):
-                h, row, place, size = spans(buf, off, min_sentences, min_words, max_words)
+                h, row, place, size, g = spans(buf, off, min_sentences, min_words, max_words)
                 rows = pa.array(row + start)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(rows), b.column(2).take(rows), pa.array(place << _RUN_BITS | size)], ["h", "id", "key", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), b.column(0).take(rows), b.column(2).take(rows), pa.array(place << _RUN_BITS | size)], [*_NAME, "id", "key", "run"])
 
     rows = _keyed(docs, id_col, text_col)
-    found = rows.mapInArrow(run, f"h bigint, id {kind}, key bigint, run bigint")
-    repeated = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
-    hits = cut(found.join(repeated, "h"))
-    first = cut(hits.groupBy("h").agg(F.min(F.struct("id", "key", "run")).alias("first")).select("h", F.col("first.key").alias("k0"), F.col("first.run").alias("r0")))
-    other = hits.join(first, "h").filter("key <> k0 or run <> r0")
+    found = rows.mapInArrow(run, f"h bigint, g int, id {kind}, key bigint, run bigint")
+    repeated = cut(found.groupBy(*_NAME).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hits = cut(spread_join(found, small(repeated.select(*_NAME)), _NAME, "key", counts=repeated))
+    first = hits.groupBy(*_NAME).agg(F.min(F.struct("id", "key", "run")).alias("first")).select(*_NAME, F.col("first.key").alias("k0"), F.col("first.run").alias("r0"))
+    other = spread_join(hits, small(cut(first)), _NAME, "key", counts=repeated).filter("key <> k0 or run <> r0")
     return other.groupBy("key").agg(F.collect_set("run").alias("runs"))
 
 
