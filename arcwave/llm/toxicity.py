@@ -3,14 +3,21 @@
 Training takes at most ``TRAIN_PER_CLASS`` labelled texts of each class, those of the smallest hashes
 of doc_id among rows that are not held out. A word of a toxic text counts as a toxic token if one
 of its forms (the word, or its first or last letters) is tied to toxic texts by a likelihood-ratio
-test; the chain (forms, transitions, start) is then fitted to these token labels by its
-log-likelihood. Forward-backward gives each word's marginal; a text's score is a logistic function of
-what its marginals sum to, fitted to the text labels with weights that restore the classes' shares.
+test (token labels are derived from text labels in this way, as no table has them). The chain (form weights,
+transitions, start, bias) is then fitted to these token labels by gradient steps on its penalised log-likelihood: observed
+less expected counts of forms, of label pairs and of first labels, which forward-backward gives. The marginal of each word
+tags toxic spans; a text's score is a logistic function of
+what its marginals sum to and its largest, fitted to the labels of texts that the chain has not seen, with weights that restore
+the classes' shares.
 
 Labels, language, source and ids are never inputs of a score. Null and empty texts have no words and
 get the score of a text without toxic words. Null ids are not held out and are never trained on;
-repeated label rows count once, as toxic if any says so. Without labels of both classes all scores are 0.
-Memory: 1 MB of text (or one longer text) at a time in a task, and the bounded sample on the driver.
+repeated label rows count once, as toxic if any says so; of rows that repeat an id the smallest text trains. Without labels
+of both classes all scores are 0. An empty table gives no rows. A tie (score 0.5, or a marginal of 0.5) counts as toxic.
+Texts of any length are scored whole. The columns of the result must have names that the table lacks (``names``): columns
+of the same names are replaced.
+Memory: 1 MB of text (or one longer text) at a time in a task, and on the driver the sample, which is bounded in rows and in bytes:
+texts of over ``TRAIN_BYTES`` bytes are not trained on (they are scored like all others).
 """
 
 from __future__ import annotations
@@ -23,15 +30,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arcwave.plans.names import free
 from arcwave.llm.textkit import BASE, LOWER, U64, mix, powers, text_chunks, word_spans, word_starts
 
 TRAIN_PER_CLASS = 1500
+TRAIN_BYTES = 20_000
 MAX_FORMS = 4096
 MIN_TEXTS = 3
 TIED = 15.0  # likelihood ratio of a form that makes a token toxic
 USEFUL = 8.0  # and of one that gets a weight
 PREFIXES, SUFFIXES = (4, 5, 6), (4, 5)
-STEPS = 60
+STEPS = 40
+HELD = 4  # one in so many texts of the sample fits the text model, not the chain
 _SLOT_BITS = 22
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -64,15 +74,15 @@ def words_and_forms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first, forms
 
 
-def marginals(odds: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
-    """P(toxic) of each word by forward-backward. ``odds``: potentials of state 1 against 0; ``first``: each text's first word.
+def ratios(odds: np.ndarray, first: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """alpha(1) / alpha(0) and beta(1) / beta(0) of each word. ``odds``: potentials of state 1 against 0; ``first``: each text's first word.
 
     All texts form one chain that restarts at each text. It is cut into rows that run side by side: their
     2x2 products give the ratio at each row's start, and a second sweep fills the rows.
     """
     n = len(odds)
     if not n:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     t00, t01, t10, t11 = model["transition"]
     heads = np.zeros(n, bool)
     heads[first[:-1][np.diff(first) > 0]] = True
@@ -110,10 +120,43 @@ def marginals(odds: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
     nxt[:-1] = e[1:]
     nxt[-1] = np.append(e[0][1:], 1.0)
     backward = sweep(range(width - 1, -1, -1), lambda k: (np.where(tail[k], 1.0, t00), np.where(tail[k], 0.0, t01 * nxt[k]), np.where(tail[k], 1.0, t10), np.where(tail[k], 0.0, t11 * nxt[k])))
-    joint = (forward * backward).T.reshape(-1)[:n]
+    flat = lambda x: x.T.reshape(-1)[:n]
+    return flat(forward), flat(backward)
+
+
+def marginals(odds: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
+    """P(toxic) of each word by forward-backward."""
+    forward, backward = ratios(odds, first, model)
+    joint = forward * backward
     return joint / (1.0 + joint)
 
 
+def expected(odds: np.ndarray, first: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, float]:
+    """P(toxic) of each word, the expected numbers of the label pairs 00, 01, 10, 11, and of toxic first words."""
+    forward, backward = ratios(odds, first, model)
+    joint = forward * backward
+    p = joint / (1.0 + joint)
+    heads = first[:-1][np.diff(first) > 0]
+    inner = np.ones(len(odds), bool)
+    inner[heads] = False
+    k = np.flatnonzero(inner)
+    t00, t01, t10, t11 = model["transition"]
+    into = odds[k] * backward[k]
+    mass = np.stack([np.full(len(k), t00), t01 * into, t10 * forward[k - 1], t11 * forward[k - 1] * into])
+    return p, (mass / mass.sum(axis=0)).sum(axis=1), float(p[heads].sum())
+
+
+def gradient(label: np.ndarray, word: np.ndarray, form: np.ndarray, forms: int, odds: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
+    """Of the chain's log-likelihood: by form weights, bias, start, and the logs of the transitions 01, 10, 11."""
+    p, pairs, start = expected(odds, first, model)
+    heads = first[:-1][np.diff(first) > 0]
+    inner = np.ones(len(label), bool)
+    inner[heads] = False
+    seen = np.bincount((label[:-1] * 2 + label[1:])[inner[1:]], minlength=4)
+    gap = label - p
+    return np.concatenate([np.bincount(form, weights=gap[word], minlength=forms), [gap.sum(), label[heads].sum() - start], (seen - pairs)[1:]])
+
+
 def slots(keys: np.ndarray, seed: int) -> np.ndarray:
     return ((keys * U64(seed)) >> U64(64 - _SLOT_BITS)).astype(np.int64)
 
@@ -143,19 +186,38 @@ def active(forms: list[np.ndarray], keys: np.ndarray, seed: int, table: np.ndarr
 
 
 def _features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each text: log(1 + expected toxic words), and the largest marginal."""
+    """For each text: log(1 + expected toxic words), the largest log-odds of a word, and that expectation by the root of the length."""
     n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
+    count = np.diff(first)
+    row = np.repeat(np.arange(n), count)
     total = np.bincount(row, weights=np.where(p > 0.01, p, 0.0), minlength=n)
     top = np.zeros(n)
     np.maximum.at(top, row, p)
-    return np.stack([np.ones(n), np.log1p(total), top], 1)
+    top = np.clip(top, 1e-5, 1 - 1e-5)
+    return np.stack([np.ones(n), np.log1p(total), np.log(top / (1 - top)), total / np.sqrt(np.maximum(count, 1))], 1)
 
 
-def fit(texts: pa.ChunkedArray, toxic: np.ndarray, weights: np.ndarray) -> dict:
-    """The chain and the text model from labelled texts; ``weights`` restore the classes' shares."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps, halved until the penalised log-likelihood rises."""
+    value = lambda b: (weights * (y * (x @ b) - np.logaddexp(0, x @ b))).sum() - ridge / 2 * (b @ b)
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        slope = x.T @ (weights * (y - q)) - ridge * beta
+        bend = (x * (weights * np.maximum(q * (1 - q), 1e-9))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        move = np.linalg.solve(bend, slope)
+        while np.abs(move).max() > 1e-9 and value(beta + move) < value(beta):
+            move = move / 2
+        beta = beta + move
+        if np.abs(move).max() < 1e-7:
+            break
+    return beta
+
+
+def fit_chain(texts: pa.ChunkedArray, toxic: np.ndarray) -> dict:
+    """The chain from labelled texts; without texts of both classes, or forms tied to either, one that knows no form."""
     if not len(texts) or toxic.all() or not toxic.any():
-        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 1e-6, "transition": (0.5, 0.5, 0.5, 0.5), "start": 1.0, "text": (-50.0, 0.0, 0.0)}
+        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -20.0, "transition": (1.0, 1.0, 1.0, 1.0), "start": 1.0}
     chunks = [words_and_forms(buf, off) for _, _, buf, off in text_chunks(texts)]
     forms = [np.concatenate([c[3][k] for c in chunks]) for k in range(1 + len(PREFIXES) + len(SUFFIXES))]
     counts = np.concatenate([np.diff(c[2]) for c in chunks])
@@ -188,46 +250,51 @@ def fit(texts: pa.ChunkedArray, toxic: np.ndarray, weights: np.ndarray) -> dict:
     label = np.zeros(len(doc), bool)
     label[word[tied[form]]] = True
     label &= toxic[doc]
-    # the chain: gradient steps on the token log-likelihood, with an L2 prior
-    head = np.zeros(len(doc), bool)
-    head[first[:-1][counts > 0]] = True
-    inner = ~head
-    w, bias = np.zeros(len(keys)), np.log((label.sum() + 1.0) / (len(label) + 2.0))
-    pair = np.bincount((label[:-1] * 2 + label[1:])[inner[1:]], minlength=4) + 1.0
-    transition = pair / pair.sum() * 4  # fitted in closed form; the forms then explain what it leaves
-    transition = (1.0, float(transition[1] / transition[0] / np.exp(bias)), float(transition[2] / transition[0]), float(transition[3] / transition[0] / np.exp(bias)))
-    transition = tuple(min(max(x, 0.05), 20.0) for x in transition)
-    model = {"keys": keys, "transition": transition, "start": 1.0}
-    m1, m2 = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    support = np.maximum(np.bincount(form, minlength=len(keys)), 1.0)
+    # the chain: gradient steps (Adam) on the token log-likelihood, with an L2 prior
+    size = len(keys)
+    theta = np.zeros(size + 5)  # form weights, bias, start, log transitions 01, 10, 11
+    theta[size] = np.log((label.sum() + 1.0) / (len(label) + 2.0))
+    support = np.maximum(np.bincount(form, minlength=size), 1.0)
+    toxic_words = max(int(label.sum()), 1)
+    scale = np.concatenate([support, np.full(5, toxic_words)])
+    prior = np.concatenate([np.full(size, 0.1), [0.0], np.full(4, 1.0)])
+    m1, m2 = np.zeros(size + 5), np.zeros(size + 5)
+    unpacked = lambda: {"keys": keys, "weights": theta[:size], "bias": float(theta[size]), "start": float(np.exp(theta[size + 1])), "transition": (1.0, *np.exp(theta[size + 2 :]).tolist())}
     for step in range(1, STEPS + 1):
-        score = np.full(len(doc), bias)
-        np.add.at(score, word, w[form])
-        p = marginals(np.exp(np.clip(score, -40, 40)), first, model)
-        gap = label - p
-        grad = np.append((np.bincount(form, weights=gap[word], minlength=len(keys)) - 0.1 * w) / support, gap.sum() / max(label.sum(), 1))
+        score = theta[size] + np.bincount(word, weights=theta[form], minlength=len(doc))
+        grad = (gradient(label, word, form, size, np.exp(np.clip(score, -40, 40)), first, unpacked()) - prior * theta) / scale
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        move = 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-        w, bias = w + move[:-1], bias + move[-1]
-    model |= {"weights": w, "bias": float(bias)}
-    x = _features(score_words(forms, first, model, seed, table), first)
-    beta = np.zeros(3)
-    for _ in range(200):  # Newton steps with a ridge
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        g = x.T @ (weights * (toxic - q)) - 1e-2 * beta
-        h = (x * (weights * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + 1e-2 * np.eye(3)
-        move = np.linalg.solve(h, g)
-        beta += np.clip(move, -1, 1)
-        if np.abs(move).max() < 1e-8:
-            break
-    return model | {"text": tuple(float(v) for v in beta)}
+        theta = theta + 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        theta[size + 1 :] = np.clip(theta[size + 1 :], -8, 8)
+    model = unpacked()
+    return model
+
+
+def fit(texts: pa.ChunkedArray, toxic: np.ndarray, weights: np.ndarray) -> dict:
+    """The chain from ``1 - 1 / HELD`` of the labelled texts, and the text model from the others, whose words it has not seen; ``weights`` restore the classes' shares."""
+    toxic = np.asarray(toxic, bool)
+    held = np.zeros(len(toxic), bool)
+    for y in (False, True):
+        held[np.flatnonzero(toxic == y)[HELD - 1 :: HELD]] = True
+    if not toxic[held].any() or toxic[held].all():
+        held[:] = False
+    model = fit_chain(texts.filter(pa.array(~held)), toxic[~held])
+    if not len(model["keys"]):
+        return model | {"text": (-50.0, 0.0, 0.0, 0.0)}
+    use = held if held.any() else ~held
+    seed, table = slot_table(model["keys"])
+    x = []
+    for _, _, buf, off in text_chunks(texts.filter(pa.array(use))):
+        _, _, first, forms = words_and_forms(buf, off)
+        x.append(_features(score_words(forms, first, model, seed, table), first))
+    return model | {"text": tuple(fit_logistic(np.concatenate(x), toxic[use], weights[use]).tolist())}
 
 
 def score_words(forms: list[np.ndarray], first: np.ndarray, model: dict, seed: int, table: np.ndarray) -> np.ndarray:
     score = np.full(int(first[-1]), model["bias"])
     if len(model["keys"]):
         word, form = active(forms, model["keys"], seed, table)
-        np.add.at(score, word, model["weights"][form])
+        score += np.bincount(word, weights=model["weights"][form], minlength=len(score))
     return marginals(np.exp(np.clip(score, -40, 40)), first, model)
 
 
@@ -235,8 +302,8 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = TRAIN_PER_CLASS) -> dict:
-    """A model from the labelled rows that are not held out: at most ``per_class`` texts of each class reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> dict:
+    """A model from the labelled rows that are not held out: at most ``per_class`` texts of each class reach the driver, none of over ``most_bytes`` bytes."""
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("id")
@@ -244,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         part = known.filter(F.col("toxic") == y).orderBy(order, "id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and id is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and id is not null").filter(F.octet_length("text") <= most_bytes)
     # the sample is bounded by its parameter, so it may be broadcast and collected
     rows = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("id")
     toxic = np.array(rows["toxic"].to_pylist(), bool)
@@ -255,11 +322,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 _tables: dict[bytes, tuple[int, np.ndarray]] = {}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with score double, n_toxic bigint and toxic_spans (start:end in code points of the words tagged toxic, comma-joined); clashing columns are replaced."""
-    docs = docs.drop("score", "n_toxic", "toxic_spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_toxic", T.LongType()), T.StructField("toxic_spans", T.StringType())])
-    place, names = docs.columns.index(text_col), [*docs.columns, "score", "n_toxic", "toxic_spans"]
+NAMES = ("score", "n_toxic", "toxic_spans")
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with score double, n_toxic bigint and toxic_spans (start:end in code points of the words tagged toxic, comma-joined), under ``names``; clashing columns are replaced."""
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.LongType(), T.StringType()), strict=True)]])
+    place, columns = docs.columns.index(text_col), [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = model["keys"].tobytes()
@@ -284,11 +354,17 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     for i, s, e in zip(row.tolist(), (points[starts[tagged]] - base).tolist(), (points[ends[tagged]] - base).tolist(), strict=True):
                         lists[i].append(f"{s}:{e}")
                 spans += [",".join(x) for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores)), pa.array(np.concatenate(counts)), pa.array(spans, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores)), pa.array(np.concatenate(counts)), pa.array(spans, pa.string())], columns)
 
     return docs.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is under ``threshold``, with all their own columns."""
+    names = tuple(free(docs, n) for n in NAMES)
+    return score(docs, model, id_col, text_col, names).filter(F.col(names[0]) < threshold).select(docs.columns)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
