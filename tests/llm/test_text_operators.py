@@ -233,7 +233,7 @@ def test_spans_cover_every_run_of_sentences():
         passage = " ".join(sentence(rng.randint(2, 14)) for _ in range(8))
         texts = [f"{sentence(5)} {passage} {sentence(9)}", f"{sentence(11)} {sentence(3)} {passage} {sentence(4)}"]
         (_, _, buf, off), *_ = textkit.text_chunks(pa.array(texts))
-        h, row, place, size = substring_dedup.spans(buf, off, 2, 20, substring_dedup.MAX_WORDS)
+        h, row, place, size, _ = substring_dedup.spans(buf, off, 2, 20, substring_dedup.MAX_WORDS)
         shared = set(h[row == 0].tolist()) & set(h[row == 1].tolist())
         covered = {p + k for x, r, p, n in zip(h.tolist(), row, place, size, strict=True) if r == 0 and x in shared for k in range(n)}
         assert covered == set(range(5, 5 + len(passage.split())))
