@@ -1,7 +1,10 @@
 """A training-data pipeline over ``documents``: toxicity, near-copies, benchmark leaks, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and gets all that the stage before kept. The first four return the columns of
-``documents``; the last returns where each remaining document is packed.
+``documents``, whatever their names; the last returns where each remaining document is packed. In every stage rows with a
+null id or text and rows without words are clean: they stay, also where they repeat, and are packed with one token. An
+empty table, also of labels or benchmark items, gives an empty or unfiltered result and no error. Texts of any length are
+judged whole. Rows that repeat an id and a text are toxic, leaking or redacted alike, and one of them stays as the copy of its group.
 """
 
 from __future__ import annotations
@@ -19,8 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("score < 0.5").select(docs.columns)
+    return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
