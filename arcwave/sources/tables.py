@@ -70,5 +70,6 @@ def star(spark: SparkSession, n: int) -> Graph:
 
 def complete(spark: SparkSession, n: int) -> Graph:
     ids = spark.range(n)
-    pairs = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("to")).filter("id <> to")
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    pairs = ids.select("id", F.explode(every).alias("to")).filter("id <> to")
     return Graph.from_dense_edges(spark, n, pairs)
