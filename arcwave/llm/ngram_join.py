@@ -2,8 +2,8 @@
 
 A text's set is its distinct word 5-grams. Rows with equal sets are one node. Nodes meet in buckets of shared tokens.
 A set of at most ``FULL`` tokens posts an exact prefix: of two linked sets of n tokens or more, the first n - ceil(0.75 n) + 1
-tokens of each in any one order share one. The order is by hash, with the tokens that over ``HOT`` sets post behind all others: so a
-line that very many texts hold brings none of them together unless it makes up most of them.
+tokens of each in any one order share one. The order is by hash, with the tokens that over ``HOT`` sets post, mostly among colder ones,
+behind all others: so a line that very many texts hold brings none of them together unless it makes up most of them.
 
 Larger sets post their ``SKETCH`` smallest tokens (those of up to ``FULL`` and over 4 * ``SKETCH`` tokens post these too, if their prefix
 changed). Two of them of Jaccard similarity 0.75 have no bucket in common with
@@ -108,8 +108,8 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return fits & (DEN * ahi - (NUM + DEN) * lost_a >= NUM * blo) & (DEN * bhi - (NUM + DEN) * lost_b >= NUM * alo)
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of rows (places before sorting); with ``same``, each unordered pair once."""
+def dual_traversal(a: SignatureTree, b: SignatureTree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidate pairs of rows (places before sorting) and the most Jaccard similarity that each may have; with ``same``, each unordered pair once."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while len(i):
@@ -138,7 +138,8 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, same: bool) -> Iterator[t
             good &= np.tri(*good.shape, -1, dtype=bool).T
         r, c = np.nonzero(good)
         if len(r):
-            yield a.order[x][r], b.order[y][c]
+            overlap = most[r, c]
+            yield a.order[x][r], b.order[y][c], overlap / np.maximum(na[r] + nb[c] - overlap, 1)
 
 
 def _bits(maps: list[bytes], width: int) -> np.ndarray:
@@ -150,8 +151,8 @@ def _bits(maps: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def candidate_pairs(n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among rows ``left``, or between ``left`` and ``right``. Linkable sizes have widths equal or twofold, so widths meet in turn."""
+def candidate_pairs(n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates and their likeness among rows ``left``, or between ``left`` and ``right``. Linkable sizes have widths equal or twofold, so widths meet in turn."""
     width = np.fromiter((len(m) for m in maps), np.int64, len(maps))
     tree = lambda rows, w: SignatureTree(n[rows], _bits([maps[k] for k in rows.tolist()], w))
     other = left if right is None else right
@@ -159,41 +160,37 @@ def candidate_pairs(n: np.ndarray, maps: list[bytes], left: np.ndarray, right: n
         a = left[width[left] == w]
         if right is None:
             t = tree(a, w)
-            for x, y in dual_traversal(t, t, True):
-                yield a[x], a[y]
+            for x, y, like in dual_traversal(t, t, True):
+                yield a[x], a[y], like
         for v in ((2 * w,) if right is None else (w // 2, w, 2 * w)):
             b = other[width[other] == v]
             if len(b):
-                for x, y in dual_traversal(tree(a, min(v, w)), tree(b, min(v, w)), False):
-                    yield a[x], b[y]
+                for x, y, like in dual_traversal(tree(a, min(v, w)), tree(b, min(v, w)), False):
+                    yield a[x], b[y], like
 
 
-def spanning(m: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A breadth-first spanning forest of the graph of pairs (x, y) over m rows."""
-    near = np.zeros((m, m), bool)
-    near[x, y] = near[y, x] = True
+def spanning(m: int, x: np.ndarray, y: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph of pairs (x, y) over m rows, of the most likeness: its pairs are likely links, and buckets of much the same rows choose the same."""
+    weight = np.zeros((m, m), np.float32)
+    weight[x, y] = weight[y, x] = like
+    near, up = np.zeros(m, np.float32), np.full(m, -1)
     free = np.ones(m, bool)
     a, b = [], []
-    for root in range(m):
-        if not free[root]:
-            continue
-        free[root] = False
-        queue = [root]
-        for u in queue:
-            found = np.flatnonzero(near[u] & free)
-            if len(found):
-                free[found] = False
-                a.append(np.full(len(found), u))
-                b.append(found)
-                queue += found.tolist()
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-def _small_bucket(n: list[int], maps: list[bytes]) -> tuple[list[int], list[int]]:
-    """All candidates of a few rows, compared as integers."""
+    for _ in range(m):
+        v = int(np.argmax(np.where(free, near, -1)))
+        if near[v] > 0:
+            a.append(up[v])
+            b.append(v)
+        free[v] = False
+        better = free & (weight[v] > near)
+        near[better], up[better] = weight[v][better], v
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _small_bucket(n: list[int], maps: list[bytes]) -> tuple[list[int], list[int], list[float]]:
+    """All candidates of a few rows and their likeness, compared as integers."""
     whole = [int.from_bytes(m, "little") for m in maps]
-    a, b = [], []
+    a, b, like = [], [], []
     for i in range(len(n)):
         for j in range(i):
             x, y, p, q = i, j, n[i], n[j]
@@ -205,10 +202,12 @@ def _small_bucket(n: list[int], maps: list[bytes]) -> tuple[list[int], list[int]
             elif wv > wu:
                 v = (v & (1 << 8 * wu) - 1) | v >> 8 * wu
             shared = (u & v).bit_count()
-            if (NUM + DEN) * min(p - u.bit_count() + shared, q - v.bit_count() + shared) >= NUM * (p + q):
+            most = min(p - u.bit_count() + shared, q - v.bit_count() + shared)
+            if (NUM + DEN) * most >= NUM * (p + q):
                 a.append(i)
                 b.append(j)
-    return a, b
+                like.append(most / (p + q - most))
+    return a, b, like
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -259,13 +258,12 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if m > 1:
             node, maps = t.column(3).to_numpy(), t.column(5).to_pylist()
             if m <= 12:
-                x, y = _small_bucket(t.column(4).to_pylist(), maps)
-                x, y = np.array(x, np.int64), np.array(y, np.int64)
+                x, y, like = (np.array(v) for v in _small_bucket(t.column(4).to_pylist(), maps))
             else:
                 found = list(candidate_pairs(t.column(4).to_numpy(), maps, np.arange(m)))
-                x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            if len(x) > 4 * m:
-                x, y = spanning(m, x, y)
+                x, y, like = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            if len(x) > m:
+                x, y = spanning(m, x, y, like)
                 open_ += [tok] * (blocks == 1)
             if len(x):
                 rows.append((node[x], node[y]))
@@ -288,7 +286,7 @@ def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(left) or not len(right):
             continue
         rows, held, tok = [], {}, t.column(0)[0].as_py()
-        for x, y in candidate_pairs(n, maps, left, right):
+        for x, y, _ in candidate_pairs(n, maps, left, right):
             good = (label[x] != label[y]) & (~minor[x] | (node[x] < node[y]))
             x, y = x[good], y[good]
             for k in {*x.tolist(), *y.tolist()} - held.keys():
@@ -361,25 +359,23 @@ def _buckets(rows: DataFrame, keys: list[str], run: Callable, columns: list[str]
 def _posted(reps: DataFrame) -> DataFrame:
     """(node, capped, tok): the buckets of each node."""
     prefix = cut(reps.select("node", "capped", F.explode(F.slice("toks", F.lit(1), F.col("want"))).alias("tok")))
-
-    def hot_in(tokens: DataFrame) -> DataFrame:
-        return tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("tok")
-
-    def holding(hot: DataFrame) -> DataFrame:
-        nodes = cut(prefix.filter("not capped").join(small(hot), "tok", "left_semi").select("node").distinct())
-        return cut(reps.join(small(nodes), "node", "left_semi").select("node", "n", "want", F.posexplode("toks").alias("at", "tok")))
-
-    hot = cut(hot_in(prefix))
+    hot = cut(prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("tok", F.lit(1).alias("hot")))
     if hot.isEmpty():
         return prefix
-    # the order is fixed once for all nodes: what many post, and what many of those that post it hold
-    hot = cut(hot.unionByName(hot_in(holding(hot))).distinct())
-    changed = holding(hot).join(small(hot.withColumn("hot", F.lit(True))), "tok", "left")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("hot", F.lit(False)), "at"))  # all tokens of a set of bounded size
-    first = (place <= F.col("want")) | (F.col("n") > 4 * SKETCH) & (F.col("at") < SKETCH)
-    changed = cut(changed.withColumn("first", first).filter("first").select("node", F.lit(False).alias("capped"), "tok"))
-    same = prefix.join(small(cut(changed.select("node").distinct())), "node", "left_anti")
-    return cut(same.unionByName(changed))
+    # tokens of large groups of near copies stay in their place: the prefixes that hold them are mostly hot
+    share = F.avg(F.coalesce("hot", F.lit(0))).over(Window.partitionBy("node"))
+    seen = prefix.join(small(hot), "tok", "left").withColumn("share", share).filter("hot = 1")
+    line = cut(seen.groupBy("tok").agg(F.avg("share").alias("share")).filter("share <= 0.5").select("tok"))
+    # the order is fixed for all nodes; it changes the prefixes that hold such a token
+    changed = cut(prefix.filter("not capped").join(small(line), "tok", "left_semi").select("node").distinct())
+    if changed.isEmpty():
+        return prefix
+    held = reps.join(small(changed, BROADCAST_IDS), "node", "left_semi")
+    behind = held.select("node", F.explode("toks").alias("tok")).join(small(line), "tok").groupBy("node").agg(F.collect_set("tok").alias("line"))
+    ordered = F.slice(F.concat(F.array_except("toks", "line"), F.array_intersect("toks", "line")), F.lit(1), F.col("want"))
+    both = F.when(F.col("n") > 4 * SKETCH, F.array_union(ordered, F.slice("toks", 1, SKETCH))).otherwise(ordered)
+    moved = held.join(behind, "node").select("node", "capped", F.explode(both).alias("tok"))
+    return cut(prefix.join(small(changed, BROADCAST_IDS), "node", "left_anti").unionByName(moved))
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
@@ -396,7 +392,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
 
     posted = _posted(reps)
     shared = cut(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    met = spread_join(posted, shared, ["tok"], "node", counts=shared.withColumnRenamed("c", "n")).withColumn("hot", F.col("c") > HOT)
+    met = spread_join(posted, shared, ["tok"], "node", task_rows=4 * HOT, counts=shared.withColumnRenamed("c", "n")).withColumn("hot", F.col("c") > HOT)
     spare = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("node")) <= SPARE  # the buckets of one node
     met = cut(met.withColumn("leaves", F.col("capped") & F.col("hot") & spare).filter("not leaves").select("tok", "c", "node"))
     met = met.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))

@@ -115,8 +115,8 @@ def test_signature_tree_loses_no_pair():
     n = np.array([len(s) for s in sets])
     for factor in (1, 8):
         maps = [ngram_join.bitmap(s, factor) for s in sets]
-        found = {(min(a, b), max(a, b)) for x, y in ngram_join.candidate_pairs(n, maps, np.arange(200)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-        across = {(a, b) for x, y in ngram_join.candidate_pairs(n, maps, np.arange(100), np.arange(100, 200)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        found = {(min(a, b), max(a, b)) for x, y, _ in ngram_join.candidate_pairs(n, maps, np.arange(200)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        across = {(a, b) for x, y, _ in ngram_join.candidate_pairs(n, maps, np.arange(100), np.arange(100, 200)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
         linked = set()
         for a, b in itertools.combinations(range(200), 2):
             both = len(np.intersect1d(sets[a], sets[b]))
