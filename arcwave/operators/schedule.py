@@ -21,7 +21,7 @@ from arcwave.functions import kernels
 from arcwave.operators.condensation import Condensation
 from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.ranking import global_rank
-from arcwave.plans.lineage import Table, cut
+from arcwave.plans.lineage import Layers, Table, cut
 
 
 @dataclass(frozen=True)
@@ -151,12 +151,14 @@ def schedule(c: Condensation, strategy: str = "auto", control: ExecutionControl
 def evaluate_waves(s: Schedule, values: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Folds over the waves in order: ``step(members of a wave, values so far)`` gives rows that join the values.
 
-    Each wave is written before the next one starts, so a wave sees all earlier ones and none of its own.
+    Each wave is written before the next one starts, so a wave sees all earlier ones and none of its own. A wave writes its own
+    rows only; older ones are merged in layers.
     """
-    done = cut(values)
+    done = Layers()
+    done.add(values)
     for k in range(s.wave_count):
-        done = cut(done.unionByName(step(s.wave(k), done)))
-    return done
+        done.add(step(s.wave(k), done.df))
+    return done.df
 
 
 def longest_paths(c: Condensation, s: Schedule, weights: DataFrame) -> DataFrame:

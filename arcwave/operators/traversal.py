@@ -18,7 +18,7 @@ from arcwave.functions import kernels
 from arcwave.graph import Graph
 from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.ranking import global_rank
-from arcwave.plans.lineage import Table, cut
+from arcwave.plans.lineage import Layers, cut
 
 
 def _metered(graph: Graph, order: DataFrame, control: ExecutionControl) -> DataFrame:
@@ -37,29 +37,19 @@ def breadth_first(graph: Graph, start: int, control: ExecutionControl | None = N
         if strategy == "local" or size <= PART_EDGES:
             return _metered(graph, cut(_in_part(graph, part, start, "breadth")), control)
     spark = graph.edges.sparkSession
-    done = [Table(spark.createDataFrame([(0, start)], "pos bigint, dense bigint"))]
+    done = Layers()
+    newest = done.add(spark.createDataFrame([(0, start)], "pos bigint, dense bigint"))
     placed = 1
     while True:
-        level = done[-1].df.select("pos", F.col("dense").alias("src"))
+        level = newest.df.select("pos", F.col("dense").alias("src"))
         reached = graph.edges.join(level, "src").groupBy(F.col("dst").alias("dense")).agg(F.min("pos").alias("by"))
-        for t in done:  # files, so the plan stays flat; a vertex of an older level may come back at any distance
-            reached = reached.join(t.df.select("dense"), "dense", "left_anti")
-        new = Table(global_rank(reached, [F.col("by"), F.col("dense")], "k").select((F.col("k") + placed).alias("pos"), "dense"))
-        size = new.df.count()
+        for t in done.frames:  # a vertex of an older level may come back at any distance
+            reached = reached.join(t.select("dense"), "dense", "left_anti")
+        newest = done.add(global_rank(reached, [F.col("by"), F.col("dense")], "k").select((F.col("k") + placed).alias("pos"), "dense"))
+        size = newest.df.count()
         if not size:
-            break
+            return _metered(graph, done.df, control)
         placed += size
-        done.append(new)
-        if len(done) > 8:  # one file for what is done, and one for the last level
-            done = [Table(_union(done[:-1])), done[-1]]
-    return _metered(graph, _union(done), control)
-
-
-def _union(tables: list[Table]) -> DataFrame:
-    out = tables[0].df
-    for t in tables[1:]:
-        out = out.unionByName(t.df)
-    return out
 
 
 def _part_of(graph: Graph, start: int) -> tuple[DataFrame, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,32 @@ class Table:
         remove(self.spark, self.path)
 
 
+class Layers:
+    """Rows that come in steps, as written tables; two of one level are merged, so each row is written log2(steps) times at most."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, Table]] = []
+
+    def add(self, df: DataFrame) -> Table:
+        """Writes ``df``, which may read the layers, as the newest one, and merges older ones; the returned table stays until the next call."""
+        newest = Table(df)
+        while len(self.held) > 1 and self.held[-1][0] == self.held[-2][0]:
+            (_, new), (level, old) = self.held.pop(), self.held.pop()
+            self.held.append((level + 1, Table(old.df.unionByName(new.df))))
+            old.drop()
+            new.drop()
+        self.held.append((0, newest))
+        return newest
+
+    @property
+    def frames(self) -> list[DataFrame]:
+        return [t.df for _, t in self.held]
+
+    @property
+    def df(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.frames)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table: later plans start from the file, and a lost executor costs a reread only."""
     return Table(df).df
