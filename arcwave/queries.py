@@ -12,7 +12,8 @@ from arcwave.graph import FORWARD, REVERSE, Graph
 from arcwave.operators.schedule import Schedule, longest_paths
 from arcwave.operators.scc import Decomposition, decompose
 from arcwave.operators.traversal import breadth_first, depth_first, depth_first_forest
-from arcwave.sources import snapshot, tables
+from arcwave.plans.lineage import cut
+from arcwave.sources import parts, snapshot, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +40,9 @@ _RAW = {
     "copart": ("select p_partkey k from part", f"select s, t from (select l_partkey s, lead(l_partkey) over ({_LINES}) t, l_quantity q from lineitem) where q >= 48"),
     "cosupp": ("select s_suppkey k from supplier", f"select s, t from (select l_suppkey s, lead(l_suppkey) over ({_LINES}) t, l_quantity q, l_discount d from lineitem) where q >= 50 and d >= 0.09"),
     "handoff": ("select c_custkey k from customer", "select s, t from (select o_custkey s, lead(o_custkey) over (order by o_orderdate, o_orderkey) t, o_orderpriority p, o_orderstatus st from orders) where p = '1-URGENT' and st = 'F'"),
+    "copart_whole": ("select p_partkey k from part", f"select l_partkey s, lead(l_partkey) over ({_LINES}) t from lineitem"),
+    "cosupp_whole": ("select s_suppkey k from supplier", f"select l_suppkey s, lead(l_suppkey) over ({_LINES}) t from lineitem"),
+    "handoff_whole": ("select c_custkey k from customer", "select o_custkey s, lead(o_custkey) over (order by o_orderdate, o_orderkey) t from orders"),
     "dialogue": ("select conv_id * 1000 + turn k from conversations", "select conv_id * 1000 + turn s, lead(conv_id * 1000 + turn) over (partition by conv_id order by turn) t from conversations"),
     "event_types": ("select event_type k from events", "select event_type s, lead(event_type) over (partition by user_id order by ts, event_id) t from events"),
 }
@@ -157,11 +161,28 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("reachable_set", with_graph("copart", "select b as dense from reach", ", reach(b) as (select 0::bigint union select dst from reach join e on src = b)"))(lambda spark, sf_dir: breadth_first(_build(spark, sf_dir, "copart"), 0).select("dense"))
-query("dfs_preorder")(lambda spark, sf_dir: depth_first(_build(spark, sf_dir, "copart"), 0))
-query("dfs_forest")(lambda spark, sf_dir: depth_first_forest(_build(spark, sf_dir, "copart")))
+
+def _stack_sql(body: str, start: str, step: str) -> str:
+    """A depth-first walk in SQL: one row a turn with its stack and the vertices that were pushed; ``step`` gives (pos, v, root, rest, seen) of a turn."""
+    return with_graph("copart", body, f""",
+adj as materialized (select src, list(dst order by dst desc) out from e group by src),
+walk(pos, v, root, stack, seen) as (
+  {start} union all
+  select pos, v, root, rest || fresh, list_transform(seen, lambda x, i: x or list_contains(fresh, i - 1)) from (
+    select t.*, list_filter(coalesce(a.out, []::bigint[]), lambda w: not t.seen[w + 1]) fresh from ({step}) t left join adj a on a.src = t.v))""")
+
+
+_FLAGS = "(select list(dense = {0} order by dense) from v)"
+_POP = "select pos + 1 pos, list_last(stack) v, root, list_slice(stack, 1, -2) rest, seen from walk where len(stack) > 0"
+_NEXT = """select pos + 1 pos, list_position(seen, false) - 1 v, list_position(seen, false) - 1 root, []::bigint[] rest, list_transform(seen, lambda x, i: x or i = list_position(seen, false)) seen
+from walk where len(stack) = 0 and list_contains(seen, false)"""
+query("dfs_preorder", _stack_sql("select pos::bigint pos, v::bigint dense from walk where pos >= 0", f"select -1::bigint, -1::bigint, 0::bigint, [0::bigint], {_FLAGS.format(0)}", _POP))(lambda spark, sf_dir: depth_first(_build(spark, sf_dir, "copart"), 0))
+query("dfs_forest", _stack_sql("select pos::bigint pos, root::bigint root, v::bigint dense from walk where pos >= 0", f"select -1::bigint, -1::bigint, -1::bigint, []::bigint[], {_FLAGS.format(-1)}", f"{_POP} union all {_NEXT}"))(
+    lambda spark, sf_dir: depth_first_forest(_build(spark, sf_dir, "copart"))
+)
 
 # components and their quotient
-for _name in ("copart", "cosupp", "handoff", "event_types"):
+for _name in ("copart", "cosupp", "handoff", "event_types", "copart_whole", "cosupp_whole", "handoff_whole"):
     query(f"scc_membership_{_name}", with_graph(_name, "select dense, component from mem", _SCC))(lambda spark, sf_dir, n=_name: _decomposed(spark, sf_dir, n).membership)
     query(f"scc_components_{_name}", with_graph(_name, "select * from comp", _SCC))(lambda spark, sf_dir, n=_name: _decomposed(spark, sf_dir, n).components)
 query("scc_membership_distributed", with_graph("copart", "select dense, component from mem", _SCC))(lambda spark, sf_dir: decompose(_build(spark, sf_dir, "copart"), "distributed").membership)
@@ -171,6 +192,8 @@ query("scc_is_acyclic", with_graph("dialogue", "select not exists (select 1 from
 query("scc_fiber_of", with_graph("copart", "select dense from mem where component = (select component from mem where dense = 3)", _SCC))(lambda spark, sf_dir: (lambda d: d.fiber(d.component_of(3)))(_decomposed(spark, sf_dir, "copart")))
 query("scc_validate_report", "select unnest(['total', 'in domain', 'fibers contiguous', 'fiber sizes', 'order by least member', 'cycle flags', 'quotient complete', 'quotient sound']) law, 0::bigint broken")(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").violations())
 query("condensation_edges", with_graph("copart", "select src, dst from q", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").condensation.edges)
+query("condensation_successors", with_graph("cosupp", "select dst from q where src = 5", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.successors(5))
+query("condensation_predecessors", with_graph("cosupp", "select src from q where dst = 5", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.predecessors(5))
 query("condensation_reverse", with_graph("copart", "select dst src, src dst from q", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").condensation.transposed())
 
 
@@ -186,7 +209,7 @@ turn(c, r, p) as (
   select component, 0::bigint, (row_number() over (order by component) - 1)::bigint from ranks where rank = 0 union all
   select dst, r, ((select count(*) from ranks where rank < r) + row_number() over (order by mp, dst) - 1)::bigint from (
     select q.dst, max(t.r) + 1 r, max(t.p) mp from turn t join q on q.src = t.c join ranks k on k.component = q.dst where k.rank = t.r + 1 group by q.dst))"""
-for _name in ("copart", "cosupp"):
+for _name in ("copart", "cosupp", "copart_whole", "handoff_whole"):
     query(f"ranks_{_name}", with_graph(_name, "select component, rank from ranks", _RANK))(lambda spark, sf_dir, n=_name: _scheduled(spark, sf_dir, n)[1].table.select("component", "rank"))
     query(f"topological_order_{_name}", with_graph(_name, "select p topo_pos, c component from turn", _RANK + _TOPO))(lambda spark, sf_dir, n=_name: _scheduled(spark, sf_dir, n)[1].table.select("topo_pos", "component"))
 query("topological_order_distributed", with_graph("cosupp", "select p topo_pos, c component from turn", _RANK + _TOPO))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.schedule("distributed").table.select("topo_pos", "component"))
@@ -239,6 +262,26 @@ def snapshot_decode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.decode_snapshot(spark, snapshot.encode_snapshot(_build(spark, sf_dir, "cosupp"), PROFILE), PROFILE).edges
 
 
+@query("snapshot_chunks_decoded", with_graph("copart_whole", "select src, dst from e"))
+def snapshot_chunks_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as chunks and read back from them, without a value of all bytes."""
+    return snapshot.decode_chunks(cut(snapshot.snapshot_chunks(_build(spark, sf_dir, "copart_whole"), PROFILE)), PROFILE).edges
+
+
+@query("snapshot_verified_edges", with_graph("cosupp", "select src, dst from e"))
+def snapshot_verified_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = snapshot.encode_snapshot(_build(spark, sf_dir, "cosupp"), PROFILE)
+    return snapshot.decode_verified_snapshot(spark, data, PROFILE, snapshot.digest_snapshot(data, PROFILE, "queries"), "queries").edges
+
+
+@query("import_parts", with_graph("copart_whole", "select src, dst from e"))
+def import_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph's own rows, both directions, imported with all checks."""
+    g = _build(spark, sf_dir, "copart_whole")
+    nodes = g.vertices.select(F.col("dense").alias("pos"), "stable")
+    return parts.from_parts(nodes, parts.Rows(g.offsets(FORWARD), g.targets(FORWARD)), parts.Rows(g.offsets(REVERSE), g.targets(REVERSE))).edges
+
+
 @query("snapshot_length", with_graph("copart", "select 80 + 4 * (nv + 1 + ne) snapshot_bytes, 10 + 4 * nv + 3 * ne decode_work_bound, 2 * nv + 1 + ne decode_heap_words from (select (select count(*) from v) nv, (select count(*) from e) ne)"))
 def snapshot_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _build(spark, sf_dir, "copart")

@@ -2,7 +2,7 @@
 
 A snapshot is an 80-byte header, V + 1 offsets and E targets, all little-endian. ``snapshot_chunks`` makes it as an
 ordered table of byte chunks of bounded size, so a large graph never meets in one row; ``encode_snapshot`` joins them
-for a graph that fits. Decoding checks every gate in a fixed order before it builds anything.
+for a graph that fits; ``decode_chunks`` reads the table in tasks. Decoding checks every gate in a fixed order before it builds anything.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from arcwave.errors import SnapshotError
 from arcwave.functions.blake3 import derive_key
-from arcwave.graph import FORWARD, U32_MAX, Graph
+from arcwave.graph import FORWARD, U32_MAX, Graph, running_sum
 from arcwave.sources.parts import Rows, from_parts
 
 # Fixed values of the format.
@@ -91,6 +91,11 @@ def encode_snapshot(graph: Graph, profile: bytes) -> bytes:
 
 def admit(data: bytes, profile: bytes, limits: SnapshotLimits) -> tuple[int, int]:
     """The counts of a snapshot whose header and length pass every gate."""
+    return _admit(data, len(data), profile, limits)
+
+
+def _admit(data: bytes, total: int, profile: bytes, limits: SnapshotLimits) -> tuple[int, int]:
+    """The same of a snapshot of ``total`` bytes that begins with ``data``."""
     _require_profile(profile)
 
     def gate(good: bool, kind: str) -> None:
@@ -106,10 +111,10 @@ def admit(data: bytes, profile: bytes, limits: SnapshotLimits) -> tuple[int, int
     gate(own == profile, "Profile")
     gate(vertices <= limits.max_vertices, "VertexLimit")
     gate(edges <= limits.max_edges, "EdgeLimit")
-    gate(len(data) <= limits.max_bytes, "ByteLimit")
+    gate(total <= limits.max_bytes, "ByteLimit")
     gate(length == payload_length(vertices, edges), "PayloadLength")
-    gate(len(data) >= HEADER_BYTES + length, "Truncated")
-    gate(len(data) == HEADER_BYTES + length, "Trailing")
+    gate(total >= HEADER_BYTES + length, "Truncated")
+    gate(total == HEADER_BYTES + length, "Trailing")
     return vertices, edges
 
 
@@ -118,6 +123,28 @@ def decode_snapshot(spark: SparkSession, data: bytes, profile: bytes, limits: Sn
     vertices, edges = admit(data, profile, limits or SnapshotLimits())
     step = 4 * CHUNK_WORDS
     chunks = [(at // 4, bytearray(data[HEADER_BYTES + at : HEADER_BYTES + at + step])) for at in range(0, payload_length(vertices, edges), step)]
+    return _decoded(spark.createDataFrame(chunks, "at bigint, part binary"), vertices)
+
+
+def decode_chunks(chunks: DataFrame, profile: bytes, limits: SnapshotLimits | None = None) -> Graph:
+    """The graph of what ``snapshot_chunks`` made: (chunk, bytes), the header in chunk 0 and whole words in the others.
+
+    The driver sees the header and the number of bytes; words are read in tasks, a chunk at a time.
+    """
+    head = chunks.filter("chunk = 0").select("bytes").first()
+    total = chunks.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    vertices, _ = _admit(bytes(head["bytes"]) if head else b"", total, profile, limits or SnapshotLimits())
+    body = chunks.filter("chunk > 0")
+    if not body.filter("length(bytes) % 4 <> 0").isEmpty():
+        raise SnapshotError("Truncated")
+    sized = running_sum(body.select("chunk", (F.length("bytes") / 4).cast("bigint").alias("words")), "chunk", "words", "end")
+    placed = body.join(sized.select("chunk", (F.col("end") - F.col("words")).alias("at")), "chunk")
+    return _decoded(placed.select("at", F.col("bytes").alias("part")), vertices)
+
+
+def _decoded(parts: DataFrame, vertices: int) -> Graph:
+    """The graph of payload parts (at, part), each from word ``at``."""
+    spark = parts.sparkSession
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +152,7 @@ def decode_snapshot(spark: SparkSession, data: bytes, profile: bytes, limits: Sn
                 values = np.frombuffer(part, "<u4").astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(values))), pa.array(values)], ["pos", "word"])
 
-    cells = spark.createDataFrame(chunks, "at bigint, part binary").mapInArrow(words, "pos bigint, word bigint")
+    cells = parts.mapInArrow(words, "pos bigint, word bigint")
     offsets = cells.filter(F.col("pos") <= vertices).select("pos", F.col("word").alias("offset"))
     targets = cells.filter(F.col("pos") > vertices).select((F.col("pos") - vertices - 1).alias("pos"), F.col("word").alias("target"))
     nodes = spark.range(vertices).select(F.col("id").alias("pos"), F.col("id").alias("stable"))

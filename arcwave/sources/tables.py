@@ -34,14 +34,36 @@ def cosupp(spark: SparkSession, sf_dir: str) -> Inputs:
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> Inputs:
-    """Customers; from an urgent finished order's customer to that of the next order in time. The order is global, so rows are ranked first."""
+    """Customers; from an urgent finished order's customer to that of the next order in time."""
+    pairs = _handed(_read(spark, sf_dir, "orders"), "o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), pairs
+
+
+def _handed(orders: DataFrame, keep: str = "true") -> DataFrame:
+    """(s, t) of consecutive orders. The order is global, so rows are ranked first."""
     from arcwave.operators.ranking import global_rank
 
-    orders = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    placed = global_rank(orders, [F.col("o_orderdate"), F.col("o_orderkey")], "r")
+    columns = orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    placed = global_rank(columns, [F.col("o_orderdate"), F.col("o_orderkey")], "r")
     after = placed.select((F.col("r") - 1).alias("r"), F.col("o_custkey").alias("t"))
-    pairs = placed.filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").join(after, "r").select(F.col("o_custkey").alias("s"), "t")
-    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), pairs
+    return placed.filter(keep).join(after, "r").select(F.col("o_custkey").alias("s"), "t")
+
+
+def copart_whole(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Parts; from each part to the next part of its order, over every line."""
+    pairs = _pairs(_read(spark, sf_dir, "lineitem"), F.col("l_partkey"), Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), pairs
+
+
+def cosupp_whole(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Suppliers; from each line's supplier to that of the next line of its order, over every line."""
+    pairs = _pairs(_read(spark, sf_dir, "lineitem"), F.col("l_suppkey"), Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER))
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), pairs
+
+
+def handoff_whole(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Customers; from each order's customer to that of the next order in time, over every order."""
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), _handed(_read(spark, sf_dir, "orders"))
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> Inputs:
