@@ -409,13 +409,14 @@ def similar_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
     again = cut(found.filter("tok is not null").select("tok").distinct())
     if not again.isEmpty():
         label = connected_components(links).select("node", F.col("component").alias("label"))
-        named = met.join(again, "tok", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = met.join(small(again), "tok", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = cut(named)
         buckets = named.groupBy("node").agg(F.collect_list("tok").alias("toks"))  # at most SKETCH a node
         counts = named.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("tok").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all")).filter("main.n < all")
-        main = main.select("tok", F.col("main.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rs"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("qs"))
-        split = named.join(main, "tok").withColumn("minor", F.col("label") != F.col("most"))
+        main = main.select("tok", F.col("main.label").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rs"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("qs"), F.col("all").alias("n"))
+        main = cut(main)  # one row a bucket
+        split = spread_join(named, main.drop("n"), ["tok"], "node", task_rows=4 * HOT, counts=main.select("tok", "n")).withColumn("minor", F.col("label") != F.col("most"))
         part = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
         spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
         as_row = split.withColumn("r", part("rs")).withColumn("q", spread("qs")).withColumn("col", F.lit(False))
