@@ -36,6 +36,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE_PAIRS = 4_000_000
 TASK_PAIRS = 4_000_000
 ID_BITS = 16
+CHUNK_LINKS = 500_000
 
 # the pre-tokenizer of byte-level BPE files; a fixed value
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,13 +204,29 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_model: str = PIECE_MO
     return rows.mapInArrow(run, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary").withColumnRenamed("id", id_col)
 
 
+def link_chunks(column: pa.Array, limit: int = CHUNK_LINKS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, pairs, offsets) of runs of rows with about ``limit`` packed pairs together; a longer row stands alone."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    if not n:
+        return
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1] // 4
+    held = np.frombuffer(data, np.uint32, count=int(off[-1])) if data is not None else np.zeros(0, np.uint32)
+    first = 0
+    while first < n:
+        end = max(first + 1, int(np.searchsorted(off, off[first] + limit, side="right")) - 1)
+        yield first, end, held[off[first] : off[end]], off[first : end + 1] - off[first]
+        first = end
+
+
 def pair_counts(linked: DataFrame) -> DataFrame:
     """(pair bigint, n bigint, best boolean) from a column ``links``: how many links hold each pair of ids, and whether its B id has no pair with more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for b in batches:
-            fresh, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32), return_counts=True)
+        for _, _, links, _ in (x for b in batches for x in link_chunks(b.column(0))):
+            fresh, n = np.unique(links, return_counts=True)
             held, at = np.unique(np.concatenate([held, fresh]), return_inverse=True)
             count = np.bincount(at, weights=np.concatenate([count, n]), minlength=len(held)).astype(np.int64)
             if len(held) >= TASK_PAIRS:
@@ -241,17 +258,15 @@ def _summed(known: Any) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = known.value
         for b in batches:
-            packed = b.column("links").to_pylist()
-            links = np.frombuffer(b"".join(packed), np.uint32)
-            kinds, at = np.unique(links, return_inverse=True)
-            place = np.minimum(np.searchsorted(pairs, kinds), len(pairs) - 1)
-            hit = pairs[place] == kinds
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
-            more = {}
-            for name, values in (("count_sum", counts[place] * hit), ("n_best", best[place] & hit)):
-                sums = np.concatenate([[0], np.cumsum(values[at], dtype=np.int64)])
-                more[name] = pa.array(b.column(name).to_numpy() + np.diff(sums[ends]), pa.int64())
-            yield pa.RecordBatch.from_arrays([more.get(n, b.column(n)) for n in b.schema.names], b.schema.names)
+            more: dict[str, list[np.ndarray]] = {"count_sum": [], "n_best": []}
+            for _, _, links, ends in link_chunks(b.column("links")):
+                kinds, at = np.unique(links, return_inverse=True)
+                place = np.minimum(np.searchsorted(pairs, kinds), len(pairs) - 1)
+                hit = pairs[place] == kinds
+                for name, values in (("count_sum", counts[place] * hit), ("n_best", best[place] & hit)):
+                    more[name].append(np.diff(np.concatenate([[0], np.cumsum(values[at], dtype=np.int64)])[ends]))
+            sums = {n: pa.array(b.column(n).to_numpy() + np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for n, x in more.items()}
+            yield pa.RecordBatch.from_arrays([sums.get(n, b.column(n)) for n in b.schema.names], b.schema.names)
 
     return run
 
