@@ -8,12 +8,17 @@ exactly at the limit. Nothing is returned from a run that does not fit.
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from arcwave.errors import Cancelled, WorkLimitExceeded
 
 UNLIMITED = 2**64 - 1
+POLL_SECONDS = 0.2
 RADIX_BUCKETS = 2048  # of the work model's sort; a fixed value
 
 
@@ -39,6 +44,37 @@ class ExecutionControl:
         if self.cancellation is not None and self.cancellation.is_set():
             raise Cancelled(consumed)
 
+    @contextmanager
+    def running(self, spark: SparkSession) -> Iterator[None]:
+        """Jobs of the block end soon after the event is set, those that run too, and the block ends with ``Cancelled``.
+
+        The block's jobs carry a tag, and a thread that waits for the event interrupts that tag.
+        """
+        if self.cancellation is None:
+            yield
+            return
+        tag, over = f"arcwave-{uuid.uuid4().hex}", threading.Event()
+
+        def watch() -> None:
+            while not over.wait(POLL_SECONDS):
+                if self.cancellation.is_set():
+                    spark.interruptTag(tag)  # again each time: a job may start between two looks
+
+        spark.addTag(tag)
+        thread = threading.Thread(target=watch, daemon=True)
+        thread.start()
+        try:
+            yield
+        except Exception as e:
+            if self.cancellation.is_set() and not isinstance(e, Cancelled):
+                raise Cancelled(0) from e
+            raise
+        finally:
+            over.set()
+            thread.join()
+            spark.removeTag(tag)
+        self.check()
+
     def admit(self, charges: Iterable[tuple[int, bool]]) -> int:
         """Walks (amount, in unit steps) charges; the total, or the error of the first that does not fit."""
         used = 0

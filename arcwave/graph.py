@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from arcwave.errors import DenseIdOutOfRange, EdgeDomainOverflow, EdgeInputLimitExceeded, UnknownEndpoint, VertexDomainOverflow, VertexInputLimitExceeded
 from arcwave.operators.ranking import global_rank, with_position
-from arcwave.plans.lineage import cut
+from arcwave.plans.lineage import cut, sorted_table
+from arcwave.plans.spread import spread_join
 
 U32_MAX = 2**32 - 1
 FORWARD, REVERSE = "Forward", "Reverse"
@@ -36,6 +37,16 @@ class BuildOptions:
     build_reverse: bool = True
 
 
+@dataclass(frozen=True)
+class GraphIndex:
+    """The graph's tables once more, each sorted by the column that its lookups ask for, so that Parquet's statistics leave one page of rows to read."""
+
+    by_dense: DataFrame
+    by_stable: DataFrame
+    by_src: DataFrame
+    by_dst: DataFrame | None
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -43,6 +54,7 @@ class Graph:
     vertex_count: int
     edge_count: int
     has_reverse: bool = True
+    index: GraphIndex | None = field(default=None, compare=False)
 
     # construction
 
@@ -87,6 +99,11 @@ class Graph:
     def with_reverse(self) -> Graph:
         return replace(self, has_reverse=True)
 
+    def indexed(self) -> Graph:
+        """The same graph with tables for lookups: one range sort for each, worth it from a few lookups on."""
+        by = lambda df, *keys: sorted_table(df, keys)
+        return replace(self, index=GraphIndex(by(self.vertices, "dense"), by(self.vertices, "stable"), by(self.edges, "src", "dst"), by(self.edges, "dst", "src") if self.has_reverse else None))
+
     # projections and lookups
 
     def nodes(self) -> DataFrame:
@@ -96,12 +113,14 @@ class Graph:
         return self.edges.orderBy("src", "dst")
 
     def dense_id(self, key: Any) -> int | None:
-        row = self.vertices.filter(F.col("stable") == F.lit(key)).select("dense").first()
+        held = self.index.by_stable if self.index else self.vertices
+        row = held.filter(F.col("stable") == F.lit(key)).select("dense").first()
         return row["dense"] if row else None
 
     def stable_id(self, dense: int) -> Any:
         self.require(dense)
-        return self.vertices.filter(F.col("dense") == dense).first()["stable"]
+        held = self.index.by_dense if self.index else self.vertices
+        return held.filter(F.col("dense") == dense).first()["stable"]
 
     def require(self, dense: int) -> None:
         if not 0 <= dense < self.vertex_count:
@@ -109,14 +128,17 @@ class Graph:
 
     def successors(self, dense: int) -> DataFrame:
         self.require(dense)
-        return self.edges.filter(F.col("src") == dense).select("dst").orderBy("dst")
+        held = self.index.by_src if self.index else self.edges
+        return held.filter(F.col("src") == dense).select("dst").orderBy("dst")
 
     def predecessors(self, dense: int) -> DataFrame | None:
         self.require(dense)
-        return self.edges.filter(F.col("dst") == dense).select("src").orderBy("src") if self.has_reverse else None
+        held = (self.index and self.index.by_dst) or self.edges
+        return held.filter(F.col("dst") == dense).select("src").orderBy("src") if self.has_reverse else None
 
     def contains_edge(self, src: int, dst: int) -> bool:
-        return not self.edges.filter((F.col("src") == src) & (F.col("dst") == dst)).isEmpty()
+        held = self.index.by_src if self.index else self.edges
+        return not held.filter((F.col("src") == src) & (F.col("dst") == dst)).isEmpty()
 
     def directed(self, direction: str = FORWARD) -> DataFrame:
         """The edges, or their transpose."""
@@ -124,7 +146,10 @@ class Graph:
 
     def adjacency(self, direction: str = FORWARD) -> DataFrame:
         """(src, dst, pos): each neighbour with its place in the ascending row of its vertex."""
-        return self.directed(direction).withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")).cast("bigint") - 1)
+        placed = global_rank(self.directed(direction), [F.col("src"), F.col("dst")], "at")
+        rows = cut(placed.groupBy("src").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n")))
+        met = spread_join(placed, rows.select("src", "start"), ["src"], "dst", counts=rows.select("src", "n"))
+        return met.select("src", "dst", (F.col("at") - F.col("start")).alias("pos"))
 
     def offsets(self, direction: str = FORWARD) -> DataFrame:
         """(pos 0..V, offset) of the compressed rows."""
@@ -138,9 +163,17 @@ class Graph:
         return global_rank(self.directed(direction), [F.col("src"), F.col("dst")], "pos").select("pos", F.col("dst").alias("target"))
 
     def same_as(self, other: Graph) -> bool:
-        """Equality of keys, edges and the reverse flag."""
+        """Equality of keys, edges and the reverse flag: counts, then fingerprints, and a join of all rows only where these agree."""
         differ = lambda a, b: not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty()
-        return self.has_reverse == other.has_reverse and (self.vertex_count, self.edge_count) == (other.vertex_count, other.edge_count) and not differ(self.vertices, other.vertices) and not differ(self.edges, other.edges)
+        if self.has_reverse != other.has_reverse or (self.vertex_count, self.edge_count) != (other.vertex_count, other.edge_count):
+            return False
+        if sorted(map(tuple, self.fingerprints().collect())) != sorted(map(tuple, other.fingerprints().collect())):
+            return False
+        return not differ(self.vertices, other.vertices) and not differ(self.edges, other.edges)
+
+    def fingerprints(self) -> DataFrame:
+        """(part, n, low, high) of vertices and edges: equal for equal sets whatever the order, found in one pass without a shuffle of rows."""
+        return fingerprint(self.vertices.select("dense", "stable"), "vertices").unionByName(fingerprint(self.edges.select("src", "dst"), "edges"))
 
     def renamed(self, mapping: DataFrame) -> Graph:
         """The graph with each key replaced by ``mapping(stable, name)``, canonical again; the mapping must be a bijection on the keys."""
@@ -149,6 +182,13 @@ class Graph:
         return Graph.from_edges(named.select("name"), self.edges.join(ends("src"), "src").join(ends("dst"), "dst").select("n_src", "n_dst"))
 
 
+def fingerprint(rows: DataFrame, part: str) -> DataFrame:
+    """(part, n, low, high): the number of rows and the sums of both halves (15 hex digits each) of their MD5, an order-free mark of a multiset."""
+    digest = F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns]))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring("m", at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return rows.select(digest.alias("m")).agg(F.count(F.lit(1)).alias("n"), half(1).alias("low"), half(16).alias("high")).select(F.lit(part).alias("part"), "n", "low", "high")
+
+
 def running_sum(df: DataFrame, key: str, value: str, name: str, chunk: int = 65_536) -> DataFrame:
     """Inclusive running sum of ``value`` in the order of the dense 0-based ``key``: windows inside chunks of keys, and one over the chunks' sums."""
     part = df.withColumn("__c", F.expr(f"{key} div {chunk}"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwave.errors import ComponentIdOutOfRange, InvalidPartition
-from arcwave.plans.lineage import cut
+from arcwave.plans.lineage import cut, sorted_table
 
 if TYPE_CHECKING:
     from arcwave.control import ExecutionControl
@@ -24,6 +24,12 @@ class Condensation:
     edges: DataFrame
     component_count: int
     edge_count: int
+    by_src: DataFrame | None = field(default=None, compare=False)
+    by_dst: DataFrame | None = field(default=None, compare=False)
+
+    def indexed(self) -> Condensation:
+        """The same quotient with its edges sorted once for each direction of lookups."""
+        return replace(self, by_src=sorted_table(self.edges, ("src", "dst")), by_dst=sorted_table(self.edges, ("dst", "src")))
 
     def require(self, component: int) -> None:
         if not 0 <= component < self.component_count:
@@ -31,11 +37,11 @@ class Condensation:
 
     def successors(self, component: int) -> DataFrame:
         self.require(component)
-        return self.edges.filter(F.col("src") == component).select("dst").orderBy("dst")
+        return (self.by_src or self.edges).filter(F.col("src") == component).select("dst").orderBy("dst")
 
     def predecessors(self, component: int) -> DataFrame:
         self.require(component)
-        return self.edges.filter(F.col("dst") == component).select("src").orderBy("src")
+        return (self.by_dst or self.edges).filter(F.col("dst") == component).select("src").orderBy("src")
 
     def ordered_edges(self) -> DataFrame:
         return self.edges.orderBy("src", "dst")

@@ -1,17 +1,18 @@
 """Strongly connected components in canonical order, their cycle flags, and the exact quotient.
 
 ``local`` runs a linear-time helper on each weakly connected part, in parallel over parts. ``distributed`` uses
-joins alone: trimming, then colouring (the largest ancestor's id floods forward, and each colour's root floods back
-inside its colour). ``auto`` takes the first where every part fits one task. Both give the same tables, as ids are
-assigned afterwards: a component's id is the rank of its least member.
+joins alone (``joins.py``): contraction of chains and floods with shortcuts, in rounds that grow with the logarithm of the depth. ``auto``
+takes the first where every part fits one task. Both give the same tables, as ids are
+assigned afterwards: a component's id is the rank of its least member. A giant component is one key of some joins; its rows are
+dealt over tasks there, as component sizes are known.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwave.control import ExecutionControl, decomposition_charges
@@ -19,12 +20,12 @@ from arcwave.errors import ComponentIdOutOfRange, InvalidPartition
 from arcwave.functions import kernels
 from arcwave.graph import Graph, running_sum
 from arcwave.operators.condensation import Condensation, quotient
+from arcwave.operators.joins import Rounds, components_by_joins, flooded
 from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.profile import WorkProfile
 from arcwave.operators.ranking import global_rank
-from arcwave.plans.lineage import Table, cut
-
-TRIM_ROUNDS = 4
+from arcwave.plans.lineage import Scope, cut, sorted_table
+from arcwave.plans.spread import spread_join
 
 
 def _local(parts: DataFrame) -> DataFrame:
@@ -36,46 +37,6 @@ def _local(parts: DataFrame) -> DataFrame:
     return each_part(parts, run, "dense bigint, least bigint, open_slots bigint, frame_slots bigint")
 
 
-def _flood(value: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, c) with c raised to the largest c that reaches v along ``edges``, to a fixpoint."""
-    now = Table(value)
-    while True:
-        heard = edges.join(now.df.select(F.col("v").alias("src"), F.col("c").alias("new")), "src").groupBy(F.col("dst").alias("v")).agg(F.max("new").alias("new"))
-        new = Table(now.df.join(heard, "v", "left").select("v", F.greatest("c", F.coalesce("new", "c")).alias("c"), (F.coalesce("new", "c") > F.col("c")).alias("up")))
-        now.drop()
-        now = Table(new.df.select("v", "c")) if new.df.filter("up").isEmpty() else new
-        if now is not new:
-            new.drop()
-            return now.df
-
-
-def _distributed(edges: DataFrame) -> DataFrame:
-    """(dense, least) for vertices on some cycle of two or more vertices; the others are alone."""
-    left = cut(edges.filter("src <> dst"))
-    found: DataFrame | None = None
-    while not left.isEmpty():
-        for _ in range(TRIM_ROUNDS):  # bounded: a long chain is left to the colours
-            sources, sinks = left.select(F.col("src").alias("v")), left.select(F.col("dst").alias("v"))
-            both = sources.intersect(sinks)
-            left = left.join(both.withColumnRenamed("v", "src"), "src", "left_semi").join(both.withColumnRenamed("v", "dst"), "dst", "left_semi")
-        left = cut(left)
-        if left.isEmpty():
-            break
-        ends = left.select(F.col("src").alias("v")).unionByName(left.select(F.col("dst").alias("v"))).distinct()
-        colour = _flood(ends.withColumn("c", F.col("v")), left)
-        tinted = left.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
-        left = cut(tinted.filter("cs = cd").select("src", "dst"))
-        # the root of a colour reaches all of it; whatever reaches the root inside the colour is its component
-        back = _flood(colour.select("v", (F.col("v") == F.col("c")).cast("bigint").alias("c")), left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        member = back.filter("c = 1").select("v").join(colour, "v")
-        group = cut(member.select(F.col("v").alias("dense"), F.min("v").over(Window.partitionBy("c")).alias("least")))
-        found = group if found is None else found.unionByName(group)
-        gone = group.select(F.col("dense").alias("v"))
-        left = left.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti")
-        left = cut(left)
-    return found if found is not None else edges.limit(0).select(F.col("src").alias("dense"), F.col("dst").alias("least"))
-
-
 @dataclass(frozen=True)
 class Decomposition:
     """membership(dense, component); components(component, member_start, member_end, member_count, cyclic, self_cycle, multi_vertex_cycle)."""
@@ -85,6 +46,12 @@ class Decomposition:
     components: DataFrame
     condensation: Condensation
     profile: WorkProfile
+    rounds: Rounds | None = None
+    by_component: DataFrame | None = field(default=None, compare=False)
+
+    def indexed(self) -> Decomposition:
+        """The same decomposition with its tables sorted for lookups by vertex and by component."""
+        return replace(self, membership=sorted_table(self.membership, ("dense",)), by_component=sorted_table(self.membership, ("component", "dense")), components=sorted_table(self.components, ("component",)), condensation=self.condensation.indexed())
 
     @property
     def component_count(self) -> int:
@@ -92,9 +59,7 @@ class Decomposition:
 
     def fibers(self) -> DataFrame:
         """(pos, component, dense): members in ascending order inside ascending components."""
-        place = F.row_number().over(Window.partitionBy("component").orderBy("dense")) - 1
-        inside = self.membership.withColumn("k", place)
-        return inside.join(self.components.select("component", "member_start"), "component").select((F.col("member_start") + F.col("k")).alias("pos"), "component", "dense")
+        return global_rank(self.membership, [F.col("component"), F.col("dense")], "pos").select("pos", "component", "dense")
 
     def component_of(self, dense: int) -> int:
         self.graph.require(dense)
@@ -106,7 +71,7 @@ class Decomposition:
 
     def fiber(self, component: int) -> DataFrame:
         self._require(component)
-        return self.membership.filter(F.col("component") == component).select("dense").orderBy("dense")
+        return (self.by_component or self.membership).filter(F.col("component") == component).select("dense").orderBy("dense")
 
     def cyclic_components(self) -> DataFrame:
         return self.components.filter("cyclic")
@@ -136,6 +101,7 @@ class Decomposition:
             "cycle flags": flags.filter(F.col("cyclic") != ((F.col("n") > 1) | F.coalesce("loop", F.lit(False)))),
             "quotient complete": cross.exceptAll(q.select("src", "dst")),
             "quotient sound": q.select("src", "dst").exceptAll(cross),
+            "strongly connected": self.unconnected(),
         }
         out = None
         for law, rows in laws.items():
@@ -143,6 +109,20 @@ class Decomposition:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def unconnected(self) -> DataFrame:
+        """(component, unreached, unreaching) of components that are none: how many members the largest one doesn't reach by edges inside, and how many don't reach it."""
+        m = self.membership
+        ends = self.graph.edges.filter("src <> dst").join(m.select(F.col("dense").alias("src"), F.col("component").alias("cs")), "src").join(m.select(F.col("dense").alias("dst"), F.col("component").alias("cd")), "dst")
+        inner = cut(ends.filter("cs = cd").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        members = m.select(F.col("dense").alias("v"))
+        there = flooded(members, inner, Rounds()).withColumnRenamed("c", "there")
+        back = flooded(members, inner.select(F.col("b").alias("a"), F.col("a").alias("b")), Rounds()).withColumnRenamed("c", "back")
+        last = m.groupBy("component").agg(F.max("dense").alias("last"), F.count(F.lit(1)).alias("n"))
+        last = cut(last)
+        seen = m.select(F.col("dense").alias("v"), "component").join(there, "v").join(back, "v")
+        seen = spread_join(cut(seen), last.select("component", "last"), ["component"], "v", counts=last.select("component", "n"))
+        return seen.groupBy("component").agg(F.count_if(F.col("there") != F.col("last")).alias("unreached"), F.count_if(F.col("back") != F.col("last")).alias("unreaching")).filter("unreached + unreaching > 0")
+
     def validate(self) -> None:
         broken = self.violations().filter("broken > 0").orderBy("law").first()
         if broken:
@@ -150,33 +130,52 @@ class Decomposition:
         self.condensation.validate()
 
 
-def decompose(graph: Graph, strategy: str = "auto", control: ExecutionControl | None = None, part_edges: int = PART_EDGES) -> Decomposition:
-    """The strongly connected components of ``graph``, or an error of ``control`` and nothing."""
-    control = control or ExecutionControl()
-    control.check()
-    control.admit(decomposition_charges(graph.vertex_count, graph.edge_count, 0, 0, 0)[:2])  # a bound known before any job
-    peaks: tuple[int | None, int | None] = (None, None)
-    if strategy not in ("auto", "local", "distributed"):
-        raise ValueError(f"no strategy {strategy!r}")
-    parts, most, _ = parted(graph.edges, graph.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
-    if parts is not None and (strategy == "local" or most <= part_edges):
-        raw = cut(_local(parts))
-        top = raw.agg(F.max("open_slots").alias("o"), F.max("frame_slots").alias("f")).first()
-        alone = min(graph.vertex_count, 1)
-        peaks = (max(top["o"] or 0, alone), max(top["f"] or 0, alone))
-    else:
-        raw = _distributed(graph.edges)
-    named = graph.vertices.select("dense").join(raw.select("dense", "least"), "dense", "left").select("dense", F.coalesce("least", "dense").alias("least"))
-    named = cut(named)
+def _tables(graph: Graph, named: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame, Condensation, int]:
+    """Membership, components, quotient and the number of crossing edges, from (dense, least) of every vertex."""
     sized = named.groupBy("least").agg(F.count(F.lit(1)).alias("member_count"))
-    order = global_rank(sized, [F.col("least")], "component")
-    membership = cut(named.join(order.select("least", "component"), "least").select("dense", "component"))
+    order = cut(global_rank(sized, [F.col("least")], "component"))
+    membership = scope.keep(cut(spread_join(named, order.select("least", "component"), ["least"], "dense", counts=order.select("least", F.col("member_count").alias("n"))).select("dense", "component")))
     loops = graph.edges.filter("src = dst").select(F.col("src").alias("dense")).join(membership, "dense").select("component").distinct().withColumn("loop", F.lit(True))
     sums = running_sum(order.select("component", "member_count"), "component", "member_count", "member_end")
     loop = F.coalesce("loop", F.lit(False))
     many = F.col("member_count") > 1
-    components = cut(sums.join(loops, "component", "left").select("component", (F.col("member_end") - F.col("member_count")).alias("member_start"), "member_end", "member_count", (many | loop).alias("cyclic"), (~many & loop).alias("self_cycle"), many.alias("multi_vertex_cycle")))
+    components = scope.keep(cut(sums.join(loops, "component", "left").select("component", (F.col("member_end") - F.col("member_count")).alias("member_start"), "member_end", "member_count", (many | loop).alias("cyclic"), (~many & loop).alias("self_cycle"), many.alias("multi_vertex_cycle"))))
     condensation, candidates = quotient(graph, membership, components.count())
+    condensation = replace(condensation, edges=scope.keep(condensation.edges))
+    return membership, components, condensation, candidates
+
+
+def regrouped(d: Decomposition, groups: DataFrame) -> Decomposition:
+    """``d`` with the groups of (dense, component) in place of its components, and all tables made to fit: for checks of what ``violations`` finds."""
+    with Scope() as scope:
+        least = groups.groupBy("component").agg(F.min("dense").alias("least"))
+        named = cut(groups.join(least, "component").select("dense", "least"))
+        membership, components, condensation, _ = _tables(d.graph, named, scope)
+    return replace(d, membership=membership, components=components, condensation=condensation)
+
+
+def decompose(graph: Graph, strategy: str = "auto", control: ExecutionControl | None = None, part_edges: int = PART_EDGES) -> Decomposition:
+    """The strongly connected components of ``graph``, or an error of ``control`` and nothing: no table stays but those of the result."""
+    control = control or ExecutionControl()
+    control.check()
+    control.admit(decomposition_charges(graph.vertex_count, graph.edge_count, 0, 0, 0)[:2])  # a bound known before any job
+    if strategy not in ("auto", "local", "distributed"):
+        raise ValueError(f"no strategy {strategy!r}")
+    with Scope() as scope, control.running(graph.edges.sparkSession):
+        peaks: tuple[int | None, int | None] = (None, None)
+        rounds = None
+        parts, most, _ = parted(graph.edges, graph.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
+        if parts is not None and (strategy == "local" or most <= part_edges):
+            raw = cut(_local(parts))
+            top = raw.agg(F.max("open_slots").alias("o"), F.max("frame_slots").alias("f")).first()
+            alone = min(graph.vertex_count, 1)
+            peaks = (max(top["o"] or 0, alone), max(top["f"] or 0, alone))
+        else:
+            rounds = Rounds()
+            raw = components_by_joins(graph.edges, rounds)
+        named = graph.vertices.select("dense").join(raw.select("dense", "least"), "dense", "left").select("dense", F.coalesce("least", "dense").alias("least"))
+        named = cut(named)
+        membership, components, condensation, candidates = _tables(graph, named, scope)
     profile = WorkProfile(graph.vertex_count, graph.edge_count, condensation.component_count, candidates, condensation.edge_count, *peaks)
     control.admit(decomposition_charges(*profile.counts))
-    return Decomposition(graph, membership, components, condensation, profile)
+    return Decomposition(graph, membership, components, condensation, profile, rounds)

@@ -3,7 +3,7 @@
 The canonical order is that of a first-in-first-out queue of released components. Its positions never fall with the
 rank, and inside a rank they sort by (position of the releasing predecessor, id). So the order is lexicographic in the
 chain of releasing predecessors. ``local`` takes one batch of parts at its queue's word, and finds the order across
-tasks by doubling: chains of 2, 4, 8... ids are named by their sorted rank, in log2(waves) sorts. ``distributed`` peels one rank at a time with joins and a global ranking.
+tasks by doubling. ``distributed`` finds ranks and order by joins (``levels.py``) in far fewer jobs than there are ranks.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwave.control import ExecutionControl, schedule_charges
-from arcwave.errors import CondensationCycle
+from arcwave.errors import CondensationCycle, RankOverflow
 from arcwave.functions import kernels
+from arcwave.graph import U32_MAX
 from arcwave.operators.condensation import Condensation
+from arcwave.operators.joins import Rounds
+from arcwave.operators.levels import longest_ranks, named, queue_order
 from arcwave.operators.parts import PART_EDGES, each_part, parted
 from arcwave.operators.ranking import global_rank
-from arcwave.plans.lineage import Layers, Table, cut
+from arcwave.plans.lineage import Layers, Scope, cut
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class Schedule:
     component_count: int
     edge_count: int
     wave_count: int
+    rounds: Rounds | None = None
 
     @property
     def logical_work(self) -> int:
@@ -70,20 +74,6 @@ class Schedule:
         return (self.wave(k) for k in order)
 
 
-def _named_by_doubling(released: DataFrame, waves: int) -> DataFrame:
-    """(component, rank, topo_pos) from (component, rank, by)."""
-    now = Table(released.select("component", "rank", F.col("by").alias("up"), F.col("component").alias("name")))
-    reach = 1
-    while reach < waves:
-        up = now.df.select(F.col("component").alias("up"), F.col("name").alias("upper"), F.col("up").alias("next"))
-        pairs = now.df.join(up, "up", "left").select("component", "rank", F.col("next").alias("up"), F.coalesce("upper", F.lit(-1)).alias("upper"), "name")
-        ranked = global_rank(pairs.select("upper", "name").distinct(), [F.col("upper"), F.col("name")], "new")
-        new = Table(pairs.join(ranked, ["upper", "name"]).select("component", "rank", "up", F.col("new").alias("name")))
-        now.drop()
-        now, reach = new, reach * 2
-    return global_rank(now.df, [F.col("rank"), F.col("name"), F.col("component")], "topo_pos").select("component", "rank", "topo_pos")
-
-
 def _local(c: Condensation, parts: DataFrame, one_task: bool) -> tuple[DataFrame, int]:
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())
@@ -103,49 +93,36 @@ def _local(c: Condensation, parts: DataFrame, one_task: bool) -> tuple[DataFrame
     if one_task:  # components without edges have rank 0, where the queue goes by id
         key = F.when(F.col("rank") == 0, F.col("component")).otherwise(F.col("turn"))
         return global_rank(released, [F.col("rank"), key, F.col("component")], "topo_pos").select("component", "rank", "topo_pos"), waves
-    return _named_by_doubling(released, waves), waves
-
-
-def _distributed(c: Condensation) -> tuple[DataFrame, int]:
-    spark = c.edges.sparkSession
-    every = spark.range(c.component_count).withColumnRenamed("id", "component")
-    left = Table(c.edges.groupBy(F.col("dst").alias("component")).agg(F.count(F.lit(1)).alias("open")))
-    wave = every.join(left.df, "component", "left_anti").withColumn("by", F.lit(-1).cast("bigint"))
-    done: list[Table] = []
-    placed = 0
-    while True:
-        ranked = global_rank(wave, [F.col("by"), F.col("component")], "k").select("component", F.lit(len(done)).cast("bigint").alias("rank"), (F.col("k") + placed).alias("topo_pos"))
-        table = Table(ranked)
-        size = table.df.count()
-        if not size:
-            break
-        done.append(table)
-        placed += size
-        heard = c.edges.join(table.df.select(F.col("component").alias("src"), "topo_pos"), "src").groupBy(F.col("dst").alias("component")).agg(F.count(F.lit(1)).alias("n"), F.max("topo_pos").alias("by"))
-        met = Table(left.df.join(heard, "component", "left").select("component", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), "by"))
-        left.drop()
-        left = Table(met.df.filter("open > 0").select("component", "open"))
-        wave = met.df.filter("open = 0").select("component", "by")
-    if placed < c.component_count:
-        raise CondensationCycle()
-    out = every.limit(0).select("component", F.col("component").alias("rank"), F.col("component").alias("topo_pos"))
-    for t in done:
-        out = out.unionByName(t.df)
-    return out, len(done)
+    order = named(released.select(F.col("component").alias("v"), "rank", F.col("by").alias("up")), waves)
+    return order.select(F.col("v").alias("component"), "rank", F.col("pos").alias("topo_pos")), waves
+
+
+def _distributed(c: Condensation, rounds: Rounds) -> tuple[DataFrame, int]:
+    found = longest_ranks(c.edges, c.component_count, rounds)
+    waves = (found.agg(F.max("rank")).first()[0] or 0) + 1 if c.component_count else 0
+    every = c.edges.sparkSession.range(c.component_count).select(F.col("id").alias("v"))
+    ranks = cut(every.join(found, "v", "left").select("v", F.coalesce("rank", F.lit(0)).alias("rank")))
+    order = queue_order(c.edges, ranks, waves, rounds)
+    return order.select(F.col("v").alias("component"), "rank", F.col("pos").alias("topo_pos")), waves
 
 
 def schedule(c: Condensation, strategy: str = "auto", control: ExecutionControl | None = None, part_edges: int = PART_EDGES) -> Schedule:
     """The schedule of ``c``, or an error of ``control`` and nothing."""
     control = control or ExecutionControl()
     control.check()
-    parts, most, one_task = parted(c.edges, c.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
-    if parts is not None and (strategy == "local" or most <= part_edges):
-        table, waves = _local(c, parts, one_task)
-    else:
-        table, waves = _distributed(c)
-    control.admit(schedule_charges(c.component_count, c.edge_count, waves))
-    placed = cut(global_rank(table, [F.col("rank"), F.col("component")], "wave_pos").select("component", "rank", "topo_pos", "wave_pos"))
-    return Schedule(placed, c.component_count, c.edge_count, waves)
+    rounds = None
+    with Scope() as scope, control.running(c.edges.sparkSession):
+        parts, most, one_task = parted(c.edges, c.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
+        if parts is not None and (strategy == "local" or most <= part_edges):
+            table, waves = _local(c, parts, one_task)
+        else:
+            rounds = Rounds()
+            table, waves = _distributed(c, rounds)
+        if waves > U32_MAX:
+            raise RankOverflow()
+        control.admit(schedule_charges(c.component_count, c.edge_count, waves))
+        placed = scope.keep(cut(global_rank(table, [F.col("rank"), F.col("component")], "wave_pos").select("component", "rank", "topo_pos", "wave_pos")))
+    return Schedule(placed, c.component_count, c.edge_count, waves, rounds)
 
 
 def evaluate_waves(s: Schedule, values: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +33,44 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_open: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
+
+
+class Scope:
+    """Deletes, when the block ends or fails, all tables that were written in it but those kept; these belong to the scope around it, if any."""
+
+    def __init__(self) -> None:
+        self.tables: list[Table] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _open.set((*_open.get(), self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open.reset(self._token)
+        for t in self.tables:
+            t.drop()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that outlives the block: its own, where it is one's ``df``, else a new one."""
+        table = next((t for t in self.tables if t.df is df), None) or Table(df)
+        if table in self.tables:
+            self.tables.remove(table)
+        around = _open.get()[:-1]
+        if around:
+            around[-1].tables.append(table)
+        return table.df
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder; ``df`` reads it, ``drop`` deletes it."""
 
-    def __init__(self, df: DataFrame) -> None:
+    def __init__(self, df: DataFrame, **options: object) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        if _open.get():
+            _open.get()[-1].tables.append(self)  # first, so that a failed write goes too
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -73,3 +106,13 @@ class Layers:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table: later plans start from the file, and a lost executor costs a reread only."""
     return Table(df).df
+
+
+#: Rows of a page of a sorted table: what a lookup reads at least.
+PAGE_ROWS = 2_048
+
+
+def sorted_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` as a written table sorted by ``keys``: files are ranges of keys, and a filter on the first key reads the pages that may hold it."""
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return Table(ranged, **{"parquet.page.row.count.limit": PAGE_ROWS, "parquet.block.size": 32 << 20}).df

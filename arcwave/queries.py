@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwave.control import decomposition_charges, outcome, schedule_charges
-from arcwave.graph import FORWARD, REVERSE, Graph
+from arcwave.graph import FORWARD, REVERSE, Graph, fingerprint
 from arcwave.operators.schedule import Schedule, longest_paths
-from arcwave.operators.scc import Decomposition, decompose
-from arcwave.operators.traversal import breadth_first, depth_first, depth_first_forest
-from arcwave.plans.lineage import cut
-from arcwave.sources import parts, snapshot, tables
+from arcwave.operators.scc import Decomposition, decompose, regrouped
+from arcwave.operators.traversal import breadth_first, depth_first, depth_first_forest, levels_from
+from arcwave.plans.lineage import cut, shared_dir
+from arcwave.sources import datasource, parts, snapshot, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +45,8 @@ _RAW = {
     "copart_whole": ("select p_partkey k from part", f"select l_partkey s, lead(l_partkey) over ({_LINES}) t from lineitem"),
     "cosupp_whole": ("select s_suppkey k from supplier", f"select l_suppkey s, lead(l_suppkey) over ({_LINES}) t from lineitem"),
     "handoff_whole": ("select c_custkey k from customer", "select o_custkey s, lead(o_custkey) over (order by o_orderdate, o_orderkey) t from orders"),
-    "dialogue": ("select conv_id * 1000 + turn k from conversations", "select conv_id * 1000 + turn s, lead(conv_id * 1000 + turn) over (partition by conv_id order by turn) t from conversations"),
+    "dialogue": ("select printf('%019d:%019d', conv_id, turn) k from conversations", "select printf('%019d:%019d', conv_id, turn) s, lead(printf('%019d:%019d', conv_id, turn)) over (partition by conv_id order by turn) t from conversations"),
+    "journeys": ("select user_id || ':' || event_type k from events", "select user_id || ':' || event_type s, lead(user_id || ':' || event_type) over (partition by user_id order by ts, event_id) t from events"),
     "event_types": ("select event_type k from events", "select event_type s, lead(event_type) over (partition by user_id order by ts, event_id) t from events"),
 }
 
@@ -130,8 +133,8 @@ query("csr_forward_targets", with_graph("copart", "select (row_number() over (or
 query("csr_reverse_targets", with_graph("copart", "select (row_number() over (order by dst, src) - 1)::bigint pos, src target from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").targets(REVERSE))
 query("adjacency_lists", with_graph("copart", "select src, dst, (row_number() over (partition by src order by dst) - 1)::bigint pos from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").adjacency())
 query("predecessor_lists", with_graph("copart", "select dst src, src dst, (row_number() over (partition by dst order by src) - 1)::bigint pos from e"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").adjacency(REVERSE))
-query("successors_of", with_graph("copart", "select dst from e where src = 7"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").successors(7))
-query("predecessors_of", with_graph("copart", "select src from e where dst = 7"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart").predecessors(7))
+query("successors_of", with_graph("copart_whole", "select dst from e where src = 7"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart_whole").indexed().successors(7))
+query("predecessors_of", with_graph("copart_whole", "select src from e where dst = 7"))(lambda spark, sf_dir: _build(spark, sf_dir, "copart_whole").indexed().predecessors(7))
 
 
 @query("stable_lookup", with_graph("cosupp", "select (select k from v where dense = 7) as stable, (select dense from v where k = (select k from v where dense = 7)) dense, exists (select 1 from e where src = 7 and dst = 8) has_edge"))
@@ -160,6 +163,9 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breadth_first(_build(spark, sf_dir, "copart"), 0, strategy="distributed")
 
 
+query("bfs_levels_whole", with_graph("copart_whole", "select lvl::bigint as level, v as dense from walk", """,
+walk(v, lvl) using key (v) as (
+  select 0::bigint, 0 union select e.dst, max(w.lvl) + 1 from walk w join e on e.src = w.v where not exists (select 1 from recurring.walk r where r.v = e.dst) group by e.dst)"""))(lambda spark, sf_dir: levels_from(_build(spark, sf_dir, "copart_whole"), 0)[0].select("level", "dense"))
 query("reachable_set", with_graph("copart", "select b as dense from reach", ", reach(b) as (select 0::bigint union select dst from reach join e on src = b)"))(lambda spark, sf_dir: breadth_first(_build(spark, sf_dir, "copart"), 0).select("dense"))
 
 def _stack_sql(body: str, start: str, step: str) -> str:
@@ -182,15 +188,47 @@ query("dfs_forest", _stack_sql("select pos::bigint pos, root::bigint root, v::bi
 )
 
 # components and their quotient
-for _name in ("copart", "cosupp", "handoff", "event_types", "copart_whole", "cosupp_whole", "handoff_whole"):
+for _name in ("copart", "cosupp", "handoff", "event_types", "copart_whole", "cosupp_whole", "handoff_whole", "journeys"):
     query(f"scc_membership_{_name}", with_graph(_name, "select dense, component from mem", _SCC))(lambda spark, sf_dir, n=_name: _decomposed(spark, sf_dir, n).membership)
     query(f"scc_components_{_name}", with_graph(_name, "select * from comp", _SCC))(lambda spark, sf_dir, n=_name: _decomposed(spark, sf_dir, n).components)
 query("scc_membership_distributed", with_graph("copart", "select dense, component from mem", _SCC))(lambda spark, sf_dir: decompose(_build(spark, sf_dir, "copart"), "distributed").membership)
+for _name in ("copart_whole", "journeys"):
+    query(f"scc_membership_{_name}_joins", with_graph(_name, "select dense, component from mem", _SCC))(lambda spark, sf_dir, n=_name: decompose(_build(spark, sf_dir, n), "distributed").membership)
 query("scc_fibers", with_graph("copart", "select (row_number() over (order by component, dense) - 1)::bigint pos, component, dense from mem", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").fibers())
 query("scc_cyclic", with_graph("cosupp", "select component, member_count, self_cycle from comp where cyclic", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").cyclic_components().select("component", "member_count", "self_cycle"))
 query("scc_is_acyclic", with_graph("dialogue", "select not exists (select 1 from comp where cyclic) acyclic", _SCC))(lambda spark, sf_dir: spark.createDataFrame([(_decomposed(spark, sf_dir, "dialogue").is_acyclic(),)], "acyclic boolean"))
 query("scc_fiber_of", with_graph("copart", "select dense from mem where component = (select component from mem where dense = 3)", _SCC))(lambda spark, sf_dir: (lambda d: d.fiber(d.component_of(3)))(_decomposed(spark, sf_dir, "copart")))
-query("scc_validate_report", "select unnest(['total', 'in domain', 'fibers contiguous', 'fiber sizes', 'order by least member', 'cycle flags', 'quotient complete', 'quotient sound']) law, 0::bigint broken")(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").violations())
+query("scc_validate_report", "select unnest(['total', 'in domain', 'fibers contiguous', 'fiber sizes', 'order by least member', 'cycle flags', 'quotient complete', 'quotient sound', 'strongly connected']) law, 0::bigint broken")(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").violations())
+
+
+# decompositions that are broken on purpose: what the checks find
+def _law_counts(counts: dict[str, str]) -> str:
+    laws = ("total", "in domain", "fibers contiguous", "fiber sizes", "order by least member", "cycle flags", "quotient complete", "quotient sound", "strongly connected")
+    return " union all ".join(f"select '{law}' law, ({counts.get(law, 'select 0')})::bigint broken" for law in laws)
+
+
+@query("scc_merged_report", with_graph("cosupp", _law_counts({"strongly connected": "select count(distinct g) from pairs where not linked"}), _SCC + """,
+grp as materialized (select dense, component // 2 g from mem),
+held as materialized (select a.g, src, dst from e join grp a on a.dense = src join grp b on b.dense = dst where a.g = b.g),
+inside(g, a, b) as (select g, src, dst from held union select i.g, i.a, h.dst from inside i join held h on h.g = i.g and h.src = i.b),
+pairs as materialized (select x.g, exists (select 1 from inside i where i.a = x.dense and i.b = y.dense) linked from grp x join grp y on x.g = y.g and x.dense <> y.dense)"""))
+def scc_merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each two neighbouring components taken for one, all tables made to fit: only strong connectivity fails."""
+    d = _decomposed(spark, sf_dir, "cosupp")
+    return regrouped(d, d.membership.select("dense", F.expr("component div 2").alias("component"))).violations()
+
+
+@query("scc_broken_report", with_graph("cosupp", _law_counts({
+    "fibers contiguous": "select count(*) from comp where component > 0 and (component - 1) % 5 = 0", "fiber sizes": "select count(*) from comp where component % 5 = 0",
+    "cycle flags": "select count(*) from comp where component % 3 = 0", "quotient complete": "select count(*) from q where (src + dst) % 4 = 0",
+}), _SCC))
+def scc_broken_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of ranges, cycle flags and edges of the quotient changed by rule."""
+    d = _decomposed(spark, sf_dir, "cosupp")
+    c = d.components.withColumn("member_end", F.col("member_end") + (F.col("component") % 5 == 0).cast("int")).withColumn("cyclic", F.col("cyclic") != (F.col("component") % 3 == 0))
+    return replace(d, components=c, condensation=replace(d.condensation, edges=d.condensation.edges.filter("(src + dst) % 4 <> 0"))).violations()
+
+
 query("condensation_edges", with_graph("copart", "select src, dst from q", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "copart").condensation.edges)
 query("condensation_successors", with_graph("cosupp", "select dst from q where src = 5", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.successors(5))
 query("condensation_predecessors", with_graph("cosupp", "select src from q where dst = 5", _SCC))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.predecessors(5))
@@ -209,10 +247,14 @@ turn(c, r, p) as (
   select component, 0::bigint, (row_number() over (order by component) - 1)::bigint from ranks where rank = 0 union all
   select dst, r, ((select count(*) from ranks where rank < r) + row_number() over (order by mp, dst) - 1)::bigint from (
     select q.dst, max(t.r) + 1 r, max(t.p) mp from turn t join q on q.src = t.c join ranks k on k.component = q.dst where k.rank = t.r + 1 group by q.dst))"""
-for _name in ("copart", "cosupp", "copart_whole", "handoff_whole"):
+for _name in ("copart", "cosupp", "copart_whole", "handoff_whole", "journeys", "dialogue"):
     query(f"ranks_{_name}", with_graph(_name, "select component, rank from ranks", _RANK))(lambda spark, sf_dir, n=_name: _scheduled(spark, sf_dir, n)[1].table.select("component", "rank"))
     query(f"topological_order_{_name}", with_graph(_name, "select p topo_pos, c component from turn", _RANK + _TOPO))(lambda spark, sf_dir, n=_name: _scheduled(spark, sf_dir, n)[1].table.select("topo_pos", "component"))
 query("topological_order_distributed", with_graph("cosupp", "select p topo_pos, c component from turn", _RANK + _TOPO))(lambda spark, sf_dir: _decomposed(spark, sf_dir, "cosupp").condensation.schedule("distributed").table.select("topo_pos", "component"))
+for _name in ("journeys", "dialogue"):
+    query(f"schedule_{_name}_joins", with_graph(_name, "select p topo_pos, c component, r as rank from turn", _RANK + _TOPO))(
+        lambda spark, sf_dir, n=_name: decompose(_build(spark, sf_dir, n), "distributed").condensation.schedule("distributed").table.select("topo_pos", "component", "rank")
+    )
 query("waves", with_graph("copart", "select rank wave, (sum(n) over (order by rank) - n)::bigint wave_start, (sum(n) over (order by rank))::bigint wave_end, n size from (select rank, count(*) n from ranks group by rank)", _RANK))(lambda spark, sf_dir: _scheduled(spark, sf_dir, "copart")[1].waves())
 query("wave_members", with_graph("copart", "select (row_number() over (order by rank, component) - 1)::bigint wave_pos, component from ranks", _RANK))(lambda spark, sf_dir: _scheduled(spark, sf_dir, "copart")[1].table.select("wave_pos", "component"))
 query("wave_offsets", with_graph("copart", 'select 0::bigint pos, 0::bigint "offset" union all select rank + 1, (sum(n) over (order by rank))::bigint from (select rank, count(*) n from ranks group by rank)', _RANK))(lambda spark, sf_dir: _scheduled(spark, sf_dir, "copart")[1].wave_offsets())
@@ -268,6 +310,14 @@ def snapshot_chunks_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.decode_chunks(cut(snapshot.snapshot_chunks(_build(spark, sf_dir, "copart_whole"), PROFILE)), PROFILE).edges
 
 
+@query("snapshot_source_edges", with_graph("copart_whole", "select src, dst from e"))
+def snapshot_source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read as a Spark data source, in byte ranges."""
+    path = f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    datasource.write_snapshot(_build(spark, sf_dir, "copart_whole"), path, PROFILE)
+    return datasource.read_snapshot(spark, path, PROFILE, bytes_a_task=1 << 16).edges
+
+
 @query("snapshot_verified_edges", with_graph("cosupp", "select src, dst from e"))
 def snapshot_verified_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = snapshot.encode_snapshot(_build(spark, sf_dir, "cosupp"), PROFILE)
@@ -297,11 +347,23 @@ def renamed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.renamed(g.vertices.select("stable", (-F.col("stable")).alias("name"))).edges
 
 
-@query("enumeration_invariance", "select true same")
+_PRINT = """select '{0}' part, count(*) n, coalesce(sum(('0x' || substr(m, 1, 15))::bigint), 0)::varchar low, coalesce(sum(('0x' || substr(m, 16, 15))::bigint), 0)::varchar high from (select md5({1}) m from {2})"""
+
+
+@query("enumeration_invariance", with_graph("cosupp", _PRINT.format("vertices", "dense || ',' || k", "v") + " union all " + _PRINT.format("edges", "src || ',' || dst", "e")))
 def enumeration_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the graph of shuffled and repeated inputs."""
     nodes, pairs = tables.cosupp(spark, sf_dir)
     shuffled = Graph.from_edges(nodes.unionByName(nodes).orderBy(F.desc("k")), pairs.unionByName(pairs).orderBy(F.xxhash64("s", "t")))
-    return spark.createDataFrame([(shuffled.same_as(_build(spark, sf_dir, "cosupp")),)], "same boolean")
+    return shuffled.fingerprints()
+
+
+@query("mirror_fingerprints", with_graph("copart_whole", _PRINT.format("forward", "src || ',' || dst", "e") + " union all " + _PRINT.format("backward", "dst || ',' || src", "e")))
+def mirror_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of both directions as compressed rows give them."""
+    g = _build(spark, sf_dir, "copart_whole")
+    back = parts.Rows(g.offsets(REVERSE), g.targets(REVERSE)).edges()
+    return fingerprint(g.edges, "forward").unionByName(fingerprint(back.select("src", "dst"), "backward"))
 
 
 _EVIDENCE = ("protected_signer", "protected_head", "gates_passed", "portable_tool_closure", "formal_source_matches_binding", "draft_created", "assets_complete", "registry_matches")

@@ -67,11 +67,18 @@ def handoff_whole(spark: SparkSession, sf_dir: str) -> Inputs:
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> Inputs:
-    """Turns of conversations, each to the next."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("k"))
+    """Turns of conversations, each to the next; a key is both numbers, with zeros in front so that it sorts as they do."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.format_string("%019d:%019d", "conv_id", "turn").alias("k"))
     return turns.select("k"), _pairs(turns, F.col("k"), Window.partitionBy("conv_id").orderBy("turn"))
 
 
+def journeys(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Kinds of events of each user (keys "user:kind"), each to the kind of the user's next event, over every event: as many parts as users."""
+    events = _read(spark, sf_dir, "events")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    return events.select(key.alias("k")), _pairs(events, key, Window.partitionBy("user_id").orderBy("ts", "event_id"))
+
+
 def event_types(spark: SparkSession, sf_dir: str) -> Inputs:
     """Kinds of events (string keys), each to the kind of its user's next event."""
     events = _read(spark, sf_dir, "events")
