@@ -48,19 +48,20 @@ class ExecutionControl:
     def running(self, spark: SparkSession) -> Iterator[None]:
         """Jobs of the block end soon after the event is set, those that run too, and the block ends with ``Cancelled``.
 
-        The block's jobs carry a tag, and a thread that waits for the event interrupts that tag.
+        The block's jobs carry a tag, and a thread that waits for the event cancels the jobs with that tag.
         """
         if self.cancellation is None:
             yield
             return
+        context = spark.sparkContext
         tag, over = f"arcwave-{uuid.uuid4().hex}", threading.Event()
 
         def watch() -> None:
             while not over.wait(POLL_SECONDS):
                 if self.cancellation.is_set():
-                    spark.interruptTag(tag)  # again each time: a job may start between two looks
+                    context.cancelJobsWithTag(tag)  # again each time: a job may start between two looks
 
-        spark.addTag(tag)
+        context.addJobTag(tag)
         thread = threading.Thread(target=watch, daemon=True)
         thread.start()
         try:
@@ -72,7 +73,7 @@ class ExecutionControl:
         finally:
             over.set()
             thread.join()
-            spark.removeTag(tag)
+            context.removeJobTag(tag)
         self.check()
 
     def admit(self, charges: Iterable[tuple[int, bool]]) -> int:

@@ -15,6 +15,7 @@ Vertices take scrambled names, so that no order of the input lines up with the o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,10 @@ _BACK = pow(FACTOR, -1, 1 << 32)
 WORTH = 0.8
 
 
+def _counted() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1))}
+
+
 def scrambled(c: Column) -> Column:
     return F.pmod(c * F.lit(FACTOR), F.lit(1 << 32))
 
@@ -60,27 +65,29 @@ def doubled(links: DataFrame, rounds: Rounds) -> DataFrame:
     ``last`` is the last vertex of v's chain that has a link of its own, where ``ended``; on a cycle nothing ends, and ``least`` is its smallest vertex.
     """
     after = links.select(F.col("v").alias("w"))
-    now = Table(links.join(after, F.col("nxt") == F.col("w"), "left").select("v", F.coalesce("w", "v").alias("last"), F.col("w").isNull().alias("ended"), F.least("v", F.coalesce("w", "v")).alias("least")))
-    reach, count = 1, now.df.count()
-    while reach < 2 * count and not now.df.filter("not ended").isEmpty():
+    watch = {"n": F.count(F.lit(1)), "open": F.count_if(~F.col("ended"))}
+    now = Table(links.join(after, F.col("nxt") == F.col("w"), "left").select("v", F.coalesce("w", "v").alias("last"), F.col("w").isNull().alias("ended"), F.least("v", F.coalesce("w", "v")).alias("least")), watch)
+    reach, count = 1, now.seen["n"] or 0
+    while reach < 2 * count and now.seen["open"]:
         rounds.double += 1
         step = now.df.select(F.col("v").alias("w"), F.col("last").alias("to"), F.col("ended").alias("e"), F.col("least").alias("l"))
         moved = now.df.filter("not ended").join(step, F.col("last") == F.col("w")).select("v", F.col("to").alias("last"), F.col("e").alias("ended"), F.least("least", "l").alias("least"))
-        new = Table(now.df.filter("ended").unionByName(moved))
+        new = Table(now.df.filter("ended").unionByName(moved), watch)
         now.drop()
         now, reach = new, 2 * reach
     return now.df
 
 
-def _contracted(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame | None, tuple[DataFrame, DataFrame] | None]:
-    """(edges left, (v, rep) of isolated cycles, (chains (v, last), their ends (last, h, t)))."""
+def _contracted(edges: DataFrame, rounds: Rounds) -> tuple[Table, DataFrame | None, tuple[DataFrame, DataFrame] | None]:
+    """(edges left, counted, (v, rep) of isolated cycles, (chains (v, last), their ends (last, h, t)))."""
     rounds.contract += 1
     one, none = F.lit(1), F.lit(0)
     ends = edges.select(F.col("a").alias("v"), one.alias("outs"), none.alias("ins"), F.col("b").alias("nxt")).unionByName(edges.select(F.col("b").alias("v"), none.alias("outs"), one.alias("ins"), F.lit(None).cast("bigint").alias("nxt")))
-    degrees = Table(ends.groupBy("v").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.max("nxt").alias("nxt"))).df
+    table = Table(ends.groupBy("v").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.max("nxt").alias("nxt")), {"links": F.count_if((F.col("outs") == 1) & (F.col("ins") == 1))})
+    degrees = table.df
     links = degrees.filter("outs = 1 and ins = 1").select("v", "nxt")
     keep, cycles, folds = degrees.select("v", "outs", "ins", F.lit(None).cast("bigint").alias("last")), None, None
-    if not links.isEmpty():
+    if table.seen["links"]:
         chains = doubled(links, rounds)
         cycles = chains.filter("not ended").select("v", F.col("least").alias("rep"))
         keep = degrees.join(chains.select("v", "last"), "v", "left").select("v", "outs", "ins", "last")
@@ -94,7 +101,7 @@ def _contracted(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame
         joined = Table(heads.join(tails, "last").select("last", "h", "t")).df
         folds = (chains.filter("ended").select("v", "last"), joined)
         plain = plain.unionByName(joined.filter("h <> t").select(F.col("h").alias("a"), F.col("t").alias("b"))).distinct()
-    return Table(plain).df, cycles, folds
+    return Table(plain, _counted()), cycles, folds
 
 
 def flooded(vertices: DataFrame, edges: DataFrame, rounds: Rounds) -> DataFrame:
@@ -107,15 +114,15 @@ def flooded(vertices: DataFrame, edges: DataFrame, rounds: Rounds) -> DataFrame:
         best = now.df.select("v", "c", F.col("c").alias("own")).unionByName(heard).groupBy("v").agg(F.max("c").alias("c"), F.max("own").alias("own"))
         # a shortcut for each colour whose own colour is larger: few in the end, where most vertices share a colour
         tops = now.df.select("c").distinct().join(now.df.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c").filter("cc > c")
-        new = Table(best.join(tops, "c", "left").select("v", F.coalesce("cc", "c").alias("c"), "own"))
+        new = Table(best.join(tops, "c", "left").select("v", F.coalesce("cc", "c").alias("c"), "own"), {"up": F.count_if(F.col("c") > F.col("own"))})
         now.drop()
         now = new
-        if now.df.filter("c > own").isEmpty():
+        if not now.seen["up"]:
             return now.df.select("v", "c")
 
 
-def _coloured(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
-    """(edges left, (v, rep) of every colour's component)."""
+def _coloured(edges: DataFrame, rounds: Rounds) -> tuple[Table, DataFrame]:
+    """(edges left, counted, (v, rep) of every colour's component)."""
     rounds.colour += 1
     ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     colour = flooded(ends, edges, rounds)
@@ -125,27 +132,34 @@ def _coloured(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     both = Table(colour.join(back.withColumnRenamed("c", "d"), "v").select("v", F.col("c").alias("rep"), (F.col("c") == F.col("d")).alias("same"))).df
     rest = both.filter("not same").select("v")
     left = inside.join(rest.select(F.col("v").alias("a")), "a", "left_semi").join(rest.select(F.col("v").alias("b")), "b", "left_semi")
-    return Table(left).df, both.filter("same").select("v", "rep")
+    return Table(left, _counted()), both.filter("same").select("v", "rep")
 
 
-def components_by_joins(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
-    """(dense, least) for every vertex whose component has two or more; ``edges`` has distinct (src, dst) of dense ids."""
+def components_by_joins(edges: DataFrame, rounds: Rounds | None = None, core_edges: int = 0, core: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(dense, least) for every vertex whose component has two or more; ``edges`` has distinct (src, dst) of dense ids.
+
+    Once at most ``core_edges`` edges are left, ``core`` takes them, (a, b), in one task and gives (v, rep); by default nothing is left to it.
+    """
     rounds = rounds if rounds is not None else Rounds()
-    left = Table(edges.filter("src <> dst").select(scrambled(F.col("src")).alias("a"), scrambled(F.col("dst")).alias("b"))).df
+    table = Table(edges.filter("src <> dst").select(scrambled(F.col("src")).alias("a"), scrambled(F.col("dst")).alias("b")), _counted())
     found, folds = Layers(), []
-    count = left.count()
+    count = table.seen["n"] or 0
     while count:
+        if core is not None and count <= core_edges:
+            found.add(core(table.df))
+            rounds.notes.append(f"{count} edges in one task")
+            break
         before = count
-        left, cycles, fold = _contracted(left, rounds)
+        table, cycles, fold = _contracted(table.df, rounds)
         if cycles is not None:
             found.add(cycles)
             folds.append(fold)
-        count = left.count()
+        count = table.seen["n"] or 0
         rounds.notes.append(f"contracted {before} edges to {count}")
         if count > WORTH * before:
-            left, group = _coloured(left, rounds)
+            table, group = _coloured(table.df, rounds)
             found.add(group)
-            rounds.notes.append(f"coloured {count} edges, {(count := left.count())} left")
+            rounds.notes.append(f"coloured {count} edges, {(count := table.seen['n'] or 0)} left")
     if not found.held:
         return edges.limit(0).select(F.col("src").alias("dense"), F.col("dst").alias("least"))
     for chains, ends in reversed(folds):

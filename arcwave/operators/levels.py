@@ -33,15 +33,16 @@ DEEP = 256
 
 def depths(picks: DataFrame, size: int, rounds: Rounds) -> DataFrame:
     """(v, d), written: how many picks (v, up) lie above each v; vertices without a pick are not in it."""
-    now = Table(picks.select("v", "up", F.lit(1).cast("bigint").alias("d")))
+    watch = {"open": F.count("up")}
+    now = Table(picks.select("v", "up", F.lit(1).cast("bigint").alias("d")), watch)
     reach = 1
-    while not now.df.filter("up is not null").isEmpty():
+    while now.seen["open"]:
         if reach > 2 * size:
             raise CondensationCycle()
         rounds.double += 1
         above = now.df.select(F.col("v").alias("w"), F.col("up").alias("next"), F.col("d").alias("more"))
         moved = now.df.filter("up is not null").join(above, F.col("up") == F.col("w"), "left")
-        new = Table(now.df.filter("up is null").unionByName(moved.select("v", F.col("next").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))))
+        new = Table(now.df.filter("up is null").unionByName(moved.select("v", F.col("next").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))), watch)
         now.drop()
         now, reach = new, 2 * reach
     return now.df.select("v", "d")
@@ -55,10 +56,10 @@ def longest_ranks(edges: DataFrame, size: int, rounds: Rounds | None = None) ->
         now = depths(picks.df, size, rounds)
         rounds.contract += 1
         offers = edges.join(now.select(F.col("v").alias("src"), "d"), "src", "left").groupBy(F.col("dst").alias("v")).agg(F.max(F.struct((F.coalesce("d", F.lit(0)) + 1).alias("d"), "src")).alias("best"))
-        better = Table(offers.join(now, "v").filter(F.col("best.d") > F.col("d")).select("v", F.col("best.src").alias("better"), F.col("best.d").alias("d")))
-        if better.df.isEmpty():
+        better = Table(offers.join(now, "v").filter(F.col("best.d") > F.col("d")).select("v", F.col("best.src").alias("better"), F.col("best.d").alias("d")), {"n": F.count(F.lit(1)), "top": F.max("d")})
+        if not better.seen["n"]:
             return now.select("v", F.col("d").alias("rank"))
-        if better.df.filter(F.col("d") >= size).limit(1).count():
+        if better.seen["top"] >= size:
             raise CondensationCycle()
         new = Table(picks.df.join(better.df.select("v", "better"), "v", "left").select("v", F.coalesce("better", "up").alias("up")))
         picks.drop()
@@ -78,9 +79,11 @@ def walked(edges: DataFrame, start: DataFrame, pick: Callable[[Column], Column],
     ``dense``, vertices of earlier plans; ``after`` is told the rows of each plan. A vertex that one plan reaches on several levels counts on the first.
     """
     done = Layers()
-    now = done.add(start.select("pos", "dense", F.lit(0).cast("bigint").alias("level"))).df
+    watch = {"n": F.count(F.lit(1)), "top": F.max("level")}
+    table = done.add(start.select("pos", "dense", F.lit(0).cast("bigint").alias("level")), watch)
+    now = table.df
     after(now)
-    placed, level, plans = now.count(), 0, 0
+    placed, level, plans = table.seen["n"] or 0, 0, 0
     while placed:
         plans += 1
         front = now.filter(F.col("level") == level).select("dense", _word(F.col("pos")).alias("key"))
@@ -91,8 +94,8 @@ def walked(edges: DataFrame, start: DataFrame, pick: Callable[[Column], Column],
             found.append(front.withColumn("hop", F.lit(hop)))
         first = reduce(DataFrame.unionByName, found).groupBy("dense").agg(F.min("hop").alias("hop"), pick(F.struct("hop", "key") if pick is F.min else F.struct(-F.col("hop"), "key")).alias("best"))
         ranked = global_rank(first.select("dense", "hop", F.col("best.key").alias("key")), [F.col("hop"), F.col("key")], "k")
-        now = done.add(ranked.select((F.col("k") + placed).alias("pos"), "dense", (F.col("hop") + level).cast("bigint").alias("level"))).df
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("top")).first()
+        table = done.add(ranked.select((F.col("k") + placed).alias("pos"), "dense", (F.col("hop") + level).cast("bigint").alias("level")), watch)
+        now, seen = table.df, table.seen
         if not seen["n"]:
             break
         after(now)
@@ -105,15 +108,16 @@ def walked(edges: DataFrame, start: DataFrame, pick: Callable[[Column], Column],
 
 def named(picked: DataFrame, waves: int, rounds: Rounds | None = None) -> DataFrame:
     """(v, rank, pos) from (v, rank, up): the order by rank, then by the picks' sequence of ids, by doubling."""
-    now = Table(picked.select("v", "rank", "up", F.col("v").alias("name")))
+    watch = {"open": F.count("up")}
+    now = Table(picked.select("v", "rank", "up", F.col("v").alias("name")), watch)
     reach = 1
-    while reach < waves and not now.df.filter("up is not null").isEmpty():
+    while reach < waves and now.seen["open"]:
         if rounds is not None:
             rounds.double += 1
         above = now.df.select(F.col("v").alias("up"), F.col("name").alias("upper"), F.col("up").alias("next"))
         pairs = cut(now.df.join(above, "up", "left").select("v", "rank", F.col("next").alias("up"), F.coalesce("upper", F.lit(-1)).alias("upper"), "name"))
         ranked = global_rank(pairs.select("upper", "name").distinct(), [F.col("upper"), F.col("name")], "new")
-        new = Table(pairs.join(ranked, ["upper", "name"]).select("v", "rank", "up", F.col("new").alias("name")))
+        new = Table(pairs.join(ranked, ["upper", "name"]).select("v", "rank", "up", F.col("new").alias("name")), watch)
         now.drop()
         now, reach = new, reach * 2
     return global_rank(now.df, [F.col("rank"), F.col("name"), F.col("v")], "pos").select("v", "rank", "pos")
@@ -139,7 +143,8 @@ def queue_order(edges: DataFrame, ranks: DataFrame, waves: int, rounds: Rounds |
             return order
         rounds.contract += 1
         best = rivals.join(order.select(F.col("v").alias("src"), "pos"), "src").groupBy(F.col("dst").alias("v")).agg(F.max(F.struct("pos", "src")).alias("best")).select("v", F.col("best.src").alias("better"))
-        new = cut(picks.join(best, "v", "left").select("v", F.coalesce("better", "up").alias("up"), (F.coalesce("better", "up") != F.col("up")).alias("moved")))
-        if new.filter("moved").isEmpty():
+        new = picks.join(best, "v", "left").select("v", F.coalesce("better", "up").alias("up"), (F.coalesce("better", "up") != F.col("up")).alias("moved"))
+        table = Table(new, {"moved": F.count_if("moved")})
+        if not table.seen["moved"]:
             return order
-        picks = new.select("v", "up")
+        picks = table.df.select("v", "up")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,25 +12,52 @@ from pyspark.sql import functions as F
 from arcwave.operators.components import connected_components
 from arcwave.plans.lineage import cut
 
-#: Most edges of a part that one task may take: some 100 MB of Python lists.
-PART_EDGES = 500_000
+#: Most edges of a part that one task may take, and of a batch of small parts on average: some tens of MB of Python lists.
+PART_EDGES = 100_000
 
 
-def parted(edges: DataFrame, edge_count: int, part_edges: int = PART_EDGES) -> tuple[DataFrame, int, bool]:
-    """(part, src, dst), the edges of the largest part, and whether it is all one task.
+@dataclass(frozen=True)
+class Parts:
+    """(part, src, dst) in batches of whole weakly connected parts, and the edges (src, dst) of parts that are too large for a task."""
 
-    Tasks take whole weakly connected parts. A graph within one task's bound is one batch of parts, so its parts need no names;
-    else each edge gets the least vertex of its part.
+    batches: DataFrame
+    large: DataFrame | None
+    single: bool
+
+
+def parted(edges: DataFrame, edge_count: int, part_edges: int = PART_EDGES, whole: bool = False) -> Parts:
+    """The edges by weakly connected parts.
+
+    A graph within one task's bound is one batch, so its parts need no names. Else parts of at most ``part_edges`` edges are dealt by hash over
+    batches of that many edges on average, so that 10**8 small parts are not 10**8 calls; larger ones are left to joins.
     """
     if edge_count <= part_edges:
-        return edges.select(F.lit(0).cast("bigint").alias("part"), "src", "dst"), edge_count, True
+        return Parts(edges.select(F.lit(0).cast("bigint").alias("part"), "src", "dst"), None, True)
     part = connected_components(edges, "src", "dst")
     named = edges.join(part.select(F.col("node").alias("src"), F.col("component").alias("part")), "src", "left")
-    parts = cut(named.select(F.coalesce("part", "src").alias("part"), "src", "dst"))  # a lone vertex with a self-loop is its own part
-    row = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return parts, row["n"] or 0, False
+    named = cut(named.select(F.coalesce("part", "src").alias("part"), "src", "dst"))  # a lone vertex with a self-loop is its own part
+    sizes = cut(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    large = cut(sizes.filter(F.col("n") > part_edges).select("part"))  # at most edge_count / part_edges rows
+    batches = max(1, edge_count // max(part_edges, 1))
+    if whole or large.isEmpty():
+        rest, big = named, None
+    else:
+        rest = named.join(F.broadcast(large), "part", "left_anti")
+        big = cut(named.join(F.broadcast(large), "part", "left_semi").select("src", "dst"))
+    return Parts(rest.select(F.pmod(F.xxhash64("part"), F.lit(batches)).alias("part"), "src", "dst"), big, False)
+
+
+def part_of(edges: DataFrame, edge_count: int, vertex: int, part_edges: int = PART_EDGES) -> tuple[DataFrame, int]:
+    """(part, src, dst) of the weakly connected part of ``vertex``, or of a graph within one task's bound; and how many edges it has."""
+    if edge_count <= part_edges:
+        return parted(edges, edge_count, part_edges).batches, edge_count
+    part = connected_components(edges, "src", "dst")
+    home = part.filter(F.col("node") == vertex).select("component").limit(1)
+    held = cut(part.join(F.broadcast(home), "component", "left_semi").select(F.col("node").alias("src")))
+    own = cut(edges.filter(F.col("src") == vertex).unionByName(edges.filter(F.col("src") != vertex).join(held, "src", "left_semi")))  # a vertex without links has no part
+    return own.select(F.lit(0).cast("bigint").alias("part"), "src", "dst"), own.count()
 
 
 def each_part(parts: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``kernel`` over the edges of each part. Parts are independent, so they spread over the cluster."""
+    """``kernel`` over the edges of each batch of parts. Batches are independent, so they spread over the cluster."""
     return parts.groupBy("part").applyInArrow(kernel, schema)

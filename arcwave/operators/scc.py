@@ -1,8 +1,8 @@
 """Strongly connected components in canonical order, their cycle flags, and the exact quotient.
 
-``local`` runs a linear-time helper on each weakly connected part, in parallel over parts. ``distributed`` uses
-joins alone (``joins.py``): contraction of chains and floods with shortcuts, in rounds that grow with the logarithm of the depth. ``auto``
-takes the first where every part fits one task. Both give the same tables, as ids are
+``local`` runs a linear-time helper on batches of weakly connected parts, in parallel over batches.
+``distributed`` uses joins alone (``joins.py``): contraction of chains and floods with shortcuts, in rounds that grow with the logarithm of the
+depth. ``auto`` takes the first for parts that fit a task and joins for the others, until what is left of them fits one. All give the same tables, as ids are
 assigned afterwards: a component's id is the rank of its least member. A giant component is one key of some joins; its rows are
 dealt over tasks there, as component sizes are known.
 """
@@ -37,6 +37,12 @@ def _local(parts: DataFrame) -> DataFrame:
     return each_part(parts, run, "dense bigint, least bigint, open_slots bigint, frame_slots bigint")
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """(v, rep) of the (a, b) that contraction has left, few enough for one task."""
+    parts = edges.select(F.lit(0).cast("bigint").alias("part"), F.col("a").alias("src"), F.col("b").alias("dst"))
+    return _local(parts).select(F.col("dense").alias("v"), F.col("least").alias("rep"))
+
+
 @dataclass(frozen=True)
 class Decomposition:
     """membership(dense, component); components(component, member_start, member_end, member_count, cyclic, self_cycle, multi_vertex_cycle)."""
@@ -164,15 +170,20 @@ def decompose(graph: Graph, strategy: str = "auto", control: ExecutionControl |
     with Scope() as scope, control.running(graph.edges.sparkSession):
         peaks: tuple[int | None, int | None] = (None, None)
         rounds = None
-        parts, most, _ = parted(graph.edges, graph.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
-        if parts is not None and (strategy == "local" or most <= part_edges):
-            raw = cut(_local(parts))
-            top = raw.agg(F.max("open_slots").alias("o"), F.max("frame_slots").alias("f")).first()
-            alone = min(graph.vertex_count, 1)
-            peaks = (max(top["o"] or 0, alone), max(top["f"] or 0, alone))
-        else:
+        parts = parted(graph.edges, graph.edge_count, part_edges, strategy == "local") if strategy != "distributed" else None
+        if parts is None:
             rounds = Rounds()
             raw = components_by_joins(graph.edges, rounds)
+        else:
+            small = cut(_local(parts.batches))
+            raw = small.select("dense", "least")
+            if parts.large is None:
+                top = small.agg(F.max("open_slots").alias("o"), F.max("frame_slots").alias("f")).first()
+                alone = min(graph.vertex_count, 1)
+                peaks = (max(top["o"] or 0, alone), max(top["f"] or 0, alone))
+            else:
+                rounds = Rounds()
+                raw = raw.unionByName(components_by_joins(parts.large, rounds, part_edges, _core))
         named = graph.vertices.select("dense").join(raw.select("dense", "least"), "dense", "left").select("dense", F.coalesce("least", "dense").alias("least"))
         named = cut(named)
         membership, components, condensation, candidates = _tables(graph, named, scope)

@@ -2,8 +2,9 @@
 
 The canonical order is that of a first-in-first-out queue of released components. Its positions never fall with the
 rank, and inside a rank they sort by (position of the releasing predecessor, id). So the order is lexicographic in the
-chain of releasing predecessors. ``local`` takes one batch of parts at its queue's word, and finds the order across
-tasks by doubling. ``distributed`` finds ranks and order by joins (``levels.py``) in far fewer jobs than there are ranks.
+chain of releasing predecessors. ``local`` takes one batch of parts at its queue's word, and finds the order across batches by
+doubling. ``distributed`` finds ranks and order by joins (``levels.py``) in far fewer jobs than there are ranks. ``auto`` takes the first for parts
+that fit a task and joins for the others.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from arcwave.graph import U32_MAX
 from arcwave.operators.condensation import Condensation
 from arcwave.operators.joins import Rounds
 from arcwave.operators.levels import longest_ranks, named, queue_order
-from arcwave.operators.parts import PART_EDGES, each_part, parted
+from arcwave.operators.parts import PART_EDGES, Parts, each_part, parted
 from arcwave.operators.ranking import global_rank
 from arcwave.plans.lineage import Layers, Scope, cut
 
@@ -74,7 +75,9 @@ class Schedule:
         return (self.wave(k) for k in order)
 
 
-def _local(c: Condensation, parts: DataFrame, one_task: bool) -> tuple[DataFrame, int]:
+def _local(parts: DataFrame) -> DataFrame:
+    """(component, rank, by, turn) of batches of whole parts."""
+
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())
         rank, by, turns = kernels.ranks(g)
@@ -84,25 +87,29 @@ def _local(c: Condensation, parts: DataFrame, one_task: bool) -> tuple[DataFrame
         return pa.table({"component": g.ids, "rank": rank, "by": pa.array([None if b < 0 else int(g.ids[b]) for b in by], pa.int64()), "turn": turn, "cycle": [len(turns) < g.n] * g.n})
 
     found = cut(each_part(parts, run, "component bigint, rank bigint, by bigint, turn bigint, cycle boolean"))
-    seen = found.agg(F.max("rank").alias("top"), F.bool_or("cycle").alias("cycle")).first()
-    if seen["cycle"]:
+    if not found.filter("cycle").isEmpty():
         raise CondensationCycle()
-    every = c.edges.sparkSession.range(c.component_count).withColumnRenamed("id", "component")
-    released = every.join(found.drop("cycle"), "component", "left").select("component", F.coalesce("rank", F.lit(0)).alias("rank"), "by", "turn")
-    waves = (seen["top"] or 0) + 1 if c.component_count else 0
-    if one_task:  # components without edges have rank 0, where the queue goes by id
-        key = F.when(F.col("rank") == 0, F.col("component")).otherwise(F.col("turn"))
-        return global_rank(released, [F.col("rank"), key, F.col("component")], "topo_pos").select("component", "rank", "topo_pos"), waves
-    order = named(released.select(F.col("component").alias("v"), "rank", F.col("by").alias("up")), waves)
-    return order.select(F.col("v").alias("component"), "rank", F.col("pos").alias("topo_pos")), waves
+    return found.drop("cycle")
 
 
-def _distributed(c: Condensation, rounds: Rounds) -> tuple[DataFrame, int]:
-    found = longest_ranks(c.edges, c.component_count, rounds)
-    waves = (found.agg(F.max("rank")).first()[0] or 0) + 1 if c.component_count else 0
+def _placed(c: Condensation, parts: Parts | None, rounds: Rounds) -> tuple[DataFrame, int]:
+    """(component, rank, topo_pos) and the number of waves; without ``parts`` by joins alone."""
     every = c.edges.sparkSession.range(c.component_count).select(F.col("id").alias("v"))
-    ranks = cut(every.join(found, "v", "left").select("v", F.coalesce("rank", F.lit(0)).alias("rank")))
-    order = queue_order(c.edges, ranks, waves, rounds)
+    small = _local(parts.batches) if parts else None
+    if parts and parts.large is None:
+        ranked, by, turn = small.select(F.col("component").alias("v"), "rank"), small.select(F.col("component").alias("v"), "by"), small.select(F.col("component").alias("v"), "turn")
+    else:
+        ranked = longest_ranks(parts.large if parts else c.edges, c.component_count, rounds)
+        ranked = ranked.unionByName(small.select(F.col("component").alias("v"), "rank")) if parts else ranked
+    waves = (ranked.agg(F.max("rank")).first()[0] or 0) + 1 if c.component_count else 0
+    ranks = cut(every.join(ranked, "v", "left").select("v", F.coalesce("rank", F.lit(0)).alias("rank")))
+    if parts is None or parts.large is not None:
+        order = queue_order(c.edges, ranks, waves, rounds)
+    elif parts.single:  # components without edges have rank 0, where the queue goes by id
+        key = F.when(F.col("rank") == 0, F.col("v")).otherwise(F.col("turn"))
+        order = global_rank(ranks.join(turn, "v", "left"), [F.col("rank"), key, F.col("v")], "pos")
+    else:
+        order = named(ranks.join(by, "v", "left").select("v", "rank", F.col("by").alias("up")), waves, rounds)
     return order.select(F.col("v").alias("component"), "rank", F.col("pos").alias("topo_pos")), waves
 
 
@@ -110,14 +117,10 @@ def schedule(c: Condensation, strategy: str = "auto", control: ExecutionControl
     """The schedule of ``c``, or an error of ``control`` and nothing."""
     control = control or ExecutionControl()
     control.check()
-    rounds = None
+    rounds = Rounds()
     with Scope() as scope, control.running(c.edges.sparkSession):
-        parts, most, one_task = parted(c.edges, c.edge_count, part_edges) if strategy != "distributed" else (None, 0, False)
-        if parts is not None and (strategy == "local" or most <= part_edges):
-            table, waves = _local(c, parts, one_task)
-        else:
-            rounds = Rounds()
-            table, waves = _distributed(c, rounds)
+        parts = parted(c.edges, c.edge_count, part_edges, strategy == "local") if strategy != "distributed" else None
+        table, waves = _placed(c, parts, rounds)
         if waves > U32_MAX:
             raise RankOverflow()
         control.admit(schedule_charges(c.component_count, c.edge_count, waves))

@@ -18,7 +18,7 @@ from arcwave.errors import GroupTooLarge
 from arcwave.functions import kernels
 from arcwave.graph import Graph
 from arcwave.operators.levels import HOPS, walked
-from arcwave.operators.parts import PART_EDGES, each_part, parted
+from arcwave.operators.parts import PART_EDGES, each_part, part_of, parted
 from arcwave.operators.ranking import global_rank
 from arcwave.plans.lineage import Scope, Table, cut
 
@@ -82,13 +82,7 @@ class Bitmaps:
 
 
 def _part_of(graph: Graph, start: int) -> tuple[DataFrame, int]:
-    """The edges of the part of ``start``, or of the batch that it is in; and how many they are."""
-    parts, size, one_task = parted(graph.edges, graph.edge_count)
-    if one_task:
-        return parts, size
-    home = parts.filter((F.col("src") == start) | (F.col("dst") == start)).select("part").limit(1)
-    part = parts.join(F.broadcast(home), "part", "left_semi")
-    return part, part.count()
+    return part_of(graph.edges, graph.edge_count, start)
 
 
 def _in_part(graph: Graph, part: DataFrame, start: int, kind: str) -> DataFrame:
@@ -124,8 +118,10 @@ def depth_first_forest(graph: Graph, control: ExecutionControl | None = None) ->
     control = control or ExecutionControl()
     if graph.vertex_count:
         control.check()
-    parts, size, _ = parted(graph.edges, graph.edge_count)
-    _bounded(size)
+    found = parted(graph.edges, graph.edge_count)
+    if found.large is not None:
+        _bounded(found.large.count())
+    parts = found.batches
 
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())

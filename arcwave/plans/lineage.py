@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from contextvars import ContextVar
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -63,15 +63,22 @@ class Scope:
 
 
 class Table:
-    """A DataFrame written as Parquet in the shared folder; ``df`` reads it, ``drop`` deletes it."""
+    """A DataFrame written as Parquet in the shared folder; ``df`` reads it, ``drop`` deletes it.
 
-    def __init__(self, df: DataFrame, **options: object) -> None:
+    ``watch`` names aggregates that are taken while the rows are written, so that they cost no job of their own; they are in ``seen``.
+    """
+
+    def __init__(self, df: DataFrame, watch: dict[str, Column] | None = None, **options: object) -> None:
         self.spark = df.sparkSession
+        eye = Observation()
+        if watch:
+            df = df.observe(eye, *[c.alias(name) for name, c in watch.items()])
         self.path = f"{shared_dir(self.spark).rstrip('/')}/table-{uuid.uuid4().hex}"
         if _open.get():
             _open.get()[-1].tables.append(self)  # first, so that a failed write goes too
         df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.seen = {name: eye.get.get(name) for name in watch} if watch else {}
 
     def drop(self) -> None:
         remove(self.spark, self.path)
@@ -83,9 +90,9 @@ class Layers:
     def __init__(self) -> None:
         self.held: list[tuple[int, Table]] = []
 
-    def add(self, df: DataFrame) -> Table:
+    def add(self, df: DataFrame, watch: dict[str, Column] | None = None) -> Table:
         """Writes ``df``, which may read the layers, as the newest one, and merges older ones; the returned table stays until the next call."""
-        newest = Table(df)
+        newest = Table(df, watch)
         while len(self.held) > 1 and self.held[-1][0] == self.held[-2][0]:
             (_, new), (level, old) = self.held.pop(), self.held.pop()
             self.held.append((level + 1, Table(old.df.unionByName(new.df))))
