@@ -15,7 +15,8 @@ and no pair is left out.
 Equal vectors are one class with a multiplicity.
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of other
 lengths than their partner; vectors without an id link with nothing too and are kept. Rows that repeat an id and a
-vector count once as partners. A cosine of exactly the threshold links; equally near pivots count in the order of their sample; of ids the
+vector count once as partners. A cosine links if dot / (norm * norm), each in doubles, is the threshold or more, so one of exactly the threshold links
+where that formula does not round it below; equally near pivots count in the order of their sample; of ids the
 smallest names a component. An empty table gives no rows. Vectors may have any length; tasks hold some ``2 * BLOCK`` of them. Input columns
 of any other name are not read.
 """
@@ -37,6 +38,7 @@ SHARED = 2
 BLOCK = 2048
 MIN_PIVOTS, MAX_PIVOTS = 32, 16_384
 SPREAD = 2_654_435_761
+BAND = 1e-9
 
 
 def pivot_count(n: int) -> int:
@@ -50,6 +52,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which rounds nothing, so that squares neither overflow nor vanish."""
+    x = np.asarray(x, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of ``a`` and of ``b`` (both scaled) whether dot / (norm * norm) in doubles is ``threshold`` or more.
+
+    A product of unit vectors decides, but for pairs within ``BAND`` of the threshold, which are computed in the order of that formula:
+    there rounding before the product would decide.
+    """
+    far = _unit(a) @ _unit(b).T
+    near = far >= threshold
+    x, y = np.nonzero(np.abs(far - threshold) <= BAND)
+    for k in range(0, len(x), 8192):
+        p, q = a[x[k : k + 8192]], b[y[k : k + 8192]]
+        dot, norms = (p * q).sum(axis=1), np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))
+        near[x[k : k + 8192], y[k : k + 8192]] = dot / norms >= threshold
+    return near
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1)
@@ -83,7 +107,7 @@ def linked_in_lists(table: pa.Table, threshold: float, shared: int) -> pa.Table:
     table = table.sort_by("rep")
     rep, mult, block = (table.column(c).to_numpy() for c in ("rep", "mult", "block"))
     perm = np.sort(_matrix(table.column("perm").combine_chunks()), axis=1)
-    unit = _unit(_matrix(table.column("embedding").combine_chunks()))
+    vectors = _scaled(_matrix(table.column("embedding").combine_chunks()))
     row, at = np.nonzero((perm > pivot) & (dealt(perm, parts) == sub))
     q = perm[row, at]
     order = np.argsort(q, kind="stable")  # rows stay ascending in a list
@@ -99,7 +123,7 @@ def linked_in_lists(table: pa.Table, threshold: float, shared: int) -> pa.Table:
         right = left if i == j else held[block[held] == j]
         for start in range(0, len(left), 512):
             a = left[start : start + 512]
-            near = unit[a] @ unit[right].T >= threshold
+            near = near_pairs(vectors[a], vectors[right], threshold)
             if i == j:
                 near &= a[:, None] < right[None, :]
             x, y = np.nonzero(near)

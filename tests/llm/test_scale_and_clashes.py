@@ -112,6 +112,30 @@ def test_comparisons_grow_with_the_vectors():
     assert work[1] / work[0] < 2 * 8
 
 
+def test_cosines_at_the_threshold(spark, monkeypatch):
+    """Integer vectors, many of them with a cosine of exactly 0.9: links are those of dot / (norm * norm) in doubles."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = random.Random(9)
+    vectors = {(10, 0, 0, 0), (9, 3, 3, 1), (1, 0, 0, 0), (0, 10, 0, 0), (3, 9, 1, 3)}
+    for x in itertools.product(range(-9, 10), repeat=3):  # (9, x) and (10, 0, 0, 0) have 9 / 10 if the squares of x sum to 19
+        if sum(c * c for c in x) == 19:
+            vectors.add((9, *x))
+    while len(vectors) < 150:
+        vectors.add(tuple(rng.randrange(-6, 10) for _ in range(4)))
+    held = [v for v in sorted(vectors) if any(v)]
+    norm = [math.sqrt(sum(c * c for c in v)) for v in held]
+    linked = lambda i, j: i != j and sum(a * b for a, b in zip(held[i], held[j], strict=True)) / (norm[i] * norm[j]) >= 0.9
+    want = {i: sum(linked(i, j) for j in range(len(held))) for i in range(len(held))}
+    ties = [(i, j) for i in range(len(held)) for j in range(len(held)) if 100 * sum(a * b for a, b in zip(held[i], held[j], strict=True)) ** 2 == 81 * sum(c * c for c in held[i]) * sum(c * c for c in held[j]) and linked(i, j)]
+    assert len(ties) > 20
+    rows = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(held)], "vec_id bigint, embedding array<double>")
+    # four axes are few: every pivot describes every vector, so recall is not in play
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(rows, prefix=12).collect()}
+    assert got == want
+    scaled = embedding_dedup.near_pairs(embedding_dedup._scaled(np.array(held) * 1e300), embedding_dedup._scaled(np.array(held) * 1e-300), 0.9)
+    assert all(scaled[i, j] == linked(i, j) for i in range(len(held)) for j in range(len(held)) if i != j)
+
+
 def test_crowded_lists_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(12, 8)), 12, axis=0) + 0.05 * rng.normal(size=(144, 8))
