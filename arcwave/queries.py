@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from arcwave.control import decomposition_charges, outcome, schedule_charges
 from arcwave.graph import FORWARD, REVERSE, Graph, fingerprint
+from arcwave.functions import tables as table_functions
+from arcwave.operators import bands, colours
 from arcwave.operators.schedule import Schedule, longest_paths
 from arcwave.operators.scc import Decomposition, decompose, regrouped
 from arcwave.operators.traversal import breadth_first, depth_first, depth_first_forest, levels_from
@@ -270,6 +272,57 @@ def evaluate_waves_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_paths(d.condensation, s, d.components.select("component", (F.col("component") % 7 + 1).alias("weight")))
 
 
+_LEDGER = """with v as (select o_orderkey k, (row_number() over (order by o_orderkey) - 1)::bigint component, (row_number() over (order by o_orderdate, o_orderkey) - 1)::bigint p from orders)"""
+
+
+@query("schedule_ledger_joins", f"{_LEDGER} select component, p as rank, p topo_pos, p wave_pos from v")
+def schedule_ledger_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many ranks as orders, found by joins."""
+    return decompose(_build(spark, sf_dir, "ledger"), "distributed").condensation.schedule("distributed").table
+
+
+@query("evaluate_bands_ledger", f"{_LEDGER} select component, (sum(k % 7 + 1) over (order by p))::bigint as value from v")
+def evaluate_bands_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one component at a time over as many waves as orders, in a job for each ten thousand of them."""
+    d = _decomposed(spark, sf_dir, "ledger")
+    payload = d.membership.join(d.graph.vertices, "dense").select("component", (F.col("stable") % 7 + 1).alias("weight"))
+    return bands.evaluate(d.condensation, d.condensation.schedule(), payload, lambda c, own, seen: own["weight"] + max((x for _, x in seen), default=0), "bigint")[0]
+
+
+@query("evaluate_bands_copart", with_graph("copart", "select c component, max(w) as value from pathw group by c", _RANK + """,
+pathw(c, w) as (select component, component % 7 + 1 from comp union select q.dst, w + q.dst % 7 + 1 from pathw join q on q.src = pathw.c)"""))
+def evaluate_bands_copart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over waves of many sizes, with bands that a wave may fill alone."""
+    d, s = _scheduled(spark, sf_dir, "copart")
+    weights = d.components.select("component", (F.col("component") % 7 + 1).alias("weight"))
+    return bands.evaluate(d.condensation, s, weights, lambda c, own, seen: own["weight"] + max((x for _, x in seen), default=0), "bigint", 200)[0]
+
+
+# SQL alone
+_JOURNEYS_SQL = """SELECT part, vertex, least, cyclic FROM graph_components(TABLE(
+  SELECT user_id AS part, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM parquet.`{0}/events.parquet`
+) PARTITION BY part)"""
+_TURNS_SQL = """SELECT part, vertex, rank FROM graph_ranks(TABLE(
+  SELECT conv_id AS part, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM parquet.`{0}/conversations.parquet`
+) PARTITION BY part)"""
+
+
+@query("sql_components", """with recursive e as materialized (select distinct user_id u, event_type s, lead(event_type) over (partition by user_id order by ts, event_id) t from events),
+reach(u, a, b) as (select u, s, t from e where t is not null union select r.u, r.a, e.t from reach r join e on e.u = r.u and e.s = r.b where e.t is not null),
+v as (select distinct u, s from e),
+m as (select v.u, v.s, (select min(x.b) from reach x join reach y on y.u = x.u and y.a = x.b and y.b = x.a where x.u = v.u and x.a = v.s) l from v)
+select u::varchar part, s vertex, least(s, coalesce(l, s)) "least", l is not null cyclic from m""")
+def sql_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql(_JOURNEYS_SQL.format(sf_dir))
+
+
+@query("sql_ranks", "select conv_id::varchar part, turn::varchar vertex, (row_number() over (partition by conv_id order by turn) - 1)::bigint as rank from conversations")
+def sql_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql(_TURNS_SQL.format(sf_dir))
+
+
 # work
 query("work_profile", with_graph("copart", f"""select nv vertex_count, ne edge_count, nc component_count, nr quotient_candidate_count, nq quotient_edge_count,
 nv root_checks, nv discoveries, ne edge_inspections, nv frame_finishes, nv active_pops, nv canonical_assignments,
@@ -347,6 +400,31 @@ def renamed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.renamed(g.vertices.select("stable", (-F.col("stable")).alias("name"))).edges
 
 
+def _wl_sql(rounds: int) -> str:
+    mark = "('0x' || substr(md5(c), 1, 15))::bigint"
+    steps = [", w0 as materialized (select dense, '' c from v)"]
+    for k in range(rounds):
+        side = lambda own, other: f"(select {own} dense, sum({mark})::varchar s from e join w{k} on w{k}.dense = {other} group by {own})"  # noqa: E731, B023
+        steps.append(f""", w{k + 1} as materialized (select w{k}.dense, md5(c || '|' || coalesce(o.s, '0') || '|' || coalesce(i.s, '0')) c
+from w{k} left join {side("src", "dst")} o on o.dense = w{k}.dense left join {side("dst", "src")} i on i.dense = w{k}.dense)""")
+    return "".join(steps)
+
+
+@query("colours_renamed", with_graph("cosupp_whole", f"select c colour, count(*) n from w{colours.ROUNDS} group by c", _wl_sql(colours.ROUNDS)))
+def colours_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of the renamed graph; the SQL refines the graph under its first names."""
+    g = _build(spark, sf_dir, "cosupp_whole")
+    return colours.histogram(g.renamed(g.vertices.select("stable", F.sha2(F.col("stable").cast("string"), 256).alias("name"))))
+
+
+@query("components_renamed", with_graph("copart", "select component, (dense_rank() over (order by max(dense) desc) - 1)::bigint renamed, count(*) n from mem group by component", _SCC))
+def components_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys negated: the bijection between the components of both graphs, with the members that are in both."""
+    g = _build(spark, sf_dir, "copart")
+    mapping = g.vertices.select("stable", (-F.col("stable")).alias("name"))
+    return colours.induced(decompose(g), decompose(g.renamed(mapping)), mapping)
+
+
 _PRINT = """select '{0}' part, count(*) n, coalesce(sum(('0x' || substr(m, 1, 15))::bigint), 0)::varchar low, coalesce(sum(('0x' || substr(m, 16, 15))::bigint), 0)::varchar high from (select md5({1}) m from {2})"""
 
 

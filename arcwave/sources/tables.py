@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwave.graph import Graph
+from arcwave.operators.ranking import global_rank
 
 Inputs = tuple[DataFrame, DataFrame]
 
@@ -41,8 +42,6 @@ def handoff(spark: SparkSession, sf_dir: str) -> Inputs:
 
 def _handed(orders: DataFrame, keep: str = "true") -> DataFrame:
     """(s, t) of consecutive orders. The order is global, so rows are ranked first."""
-    from arcwave.operators.ranking import global_rank
-
     columns = orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")
     placed = global_rank(columns, [F.col("o_orderdate"), F.col("o_orderkey")], "r")
     after = placed.select((F.col("r") - 1).alias("r"), F.col("o_custkey").alias("t"))
@@ -66,6 +65,14 @@ def handoff_whole(spark: SparkSession, sf_dir: str) -> Inputs:
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), _handed(_read(spark, sf_dir, "orders"))
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Orders, each to the next one in time, over every order: one path as long as the table."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    placed = global_rank(orders, [F.col("o_orderdate"), F.col("o_orderkey")], "r")
+    after = placed.select((F.col("r") - 1).alias("r"), F.col("o_orderkey").alias("t"))
+    return orders.select(F.col("o_orderkey").alias("k")), placed.join(after, "r").select(F.col("o_orderkey").alias("s"), "t")
+
+
 def dialogue(spark: SparkSession, sf_dir: str) -> Inputs:
     """Turns of conversations, each to the next; a key is both numbers, with zeros in front so that it sorts as they do."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.format_string("%019d:%019d", "conv_id", "turn").alias("k"))
