@@ -245,6 +245,24 @@ def test_propagation_keeps_links_together(spark):
     assert at_last <= cut(0)
 
 
+def test_propagation_brings_links_together(spark):
+    """Rings of groups in which neighbours share tokens but no token is shared by most, so homes differ inside a ring: labels must move."""
+    rng = random.Random(3)
+    rings, size = 30, 20
+    token = [[rng.randrange(1 << 60) for _ in range(size)] for _ in range(rings)]
+    rows = [(1000 * r + i, 1, [token[r][(i + k) % size] for k in range(4)]) for r in range(rings) for i in range(size)]
+    groups = spark.createDataFrame(rows, "g bigint, w bigint, toks array<bigint>")
+
+    def cut(rounds):
+        label = {r["g"]: r["label"] for r in sharding.propagate(groups, 4, rounds).collect()}
+        assert len(label) == len(rows)
+        pairs = [(1000 * r + i, 1000 * r + (i + d) % size) for r in range(rings) for i in range(size) for d in (1, 2, 3)]
+        return sum(label[a] != label[b] for a, b in pairs) / len(pairs)
+
+    before, after = cut(0), cut(8)
+    assert before > 0.5 and after < 0.75 * before, (before, after)
+
+
 # 7: every alignment over the bound
 
 
