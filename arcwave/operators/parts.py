@@ -13,7 +13,7 @@ from arcwave.operators.components import connected_components
 from arcwave.plans.lineage import cut
 
 #: Most edges of a part that one task may take, and of a batch of small parts on average: some tens of MB of Python lists.
-PART_EDGES = 100_000
+PART_EDGES = 200_000
 
 
 @dataclass(frozen=True)
