@@ -16,7 +16,6 @@ are not the best under these names are taken again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +71,14 @@ def _word(c: Column) -> Column:
     return F.unhex(F.lpad(F.hex(c), 8, "0"))
 
 
-def walked(edges: DataFrame, start: DataFrame, pick: Callable[[Column], Column], unseen: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], None], hops: int = HOPS) -> tuple[DataFrame, int, int]:
+def walked(edges: DataFrame, start: DataFrame, pick: Callable[[Column], Column], seen_before: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], None], hops: int = HOPS) -> tuple[DataFrame, int, int]:
     """((pos, dense, level), levels, plans): level after level from ``start`` (pos, dense) along (src, dst).
 
-    ``pick`` is the aggregate that chooses among the sequences that reach a vertex (``F.min`` or ``F.max``); ``unseen`` drops, from rows with a column
-    ``dense``, vertices of earlier plans; ``after`` is told the rows of each plan. A vertex that one plan reaches on several levels counts on the first.
+    ``pick`` is the aggregate that chooses among the sequences that reach a vertex (``F.min`` or ``F.max``); ``seen_before`` adds to rows with a column
+    ``dst`` whether an earlier plan reached it, as ``__seen``; ``after`` is told the rows of each plan.
     """
     done = Layers()
+    ends = edges.select(F.col("src").alias("__src"), "dst")
     watch = {"n": F.count(F.lit(1)), "top": F.max("level")}
     table = done.add(start.select("pos", "dense", F.lit(0).cast("bigint").alias("level")), watch)
     now = table.df
@@ -86,14 +86,17 @@ def walked(edges: DataFrame, start: DataFrame, pick: Callable[[Column], Column],
     placed, level, plans = table.seen["n"] or 0, 0, 0
     while placed:
         plans += 1
-        front = now.filter(F.col("level") == level).select("dense", _word(F.col("pos")).alias("key"))
-        found = []
-        for hop in range(1, hops + 1):
-            heard = edges.join(front.withColumnRenamed("dense", "src"), "src").groupBy(F.col("dst").alias("dense")).agg(pick("key").alias("key"))
-            front = unseen(heard).select("dense", F.concat("key", _word(F.col("dense"))).alias("key"))
-            found.append(front.withColumn("hop", F.lit(hop)))
-        first = reduce(DataFrame.unionByName, found).groupBy("dense").agg(F.min("hop").alias("hop"), pick(F.struct("hop", "key") if pick is F.min else F.struct(-F.col("hop"), "key")).alias("best"))
-        ranked = global_rank(first.select("dense", "hop", F.col("best.key").alias("key")), [F.col("hop"), F.col("key")], "k")
+        sign, least = (1, F.min) if pick is F.min else (-1, F.max)
+        found = now.filter(F.col("level") == level).select("dense", F.lit(0).alias("hop"), _word(F.col("pos")).alias("key"))
+        for hop in range(hops):
+            # each row stays, and the newest ones bring their targets; what comes twice counts on its first level
+            met = seen_before(found.join(ends, (F.col("dense") == F.col("__src")) & (F.col("hop") == hop), "left"))
+            fresh = F.struct(F.col("dst").alias("dense"), (F.col("hop") + 1).alias("hop"), F.concat("key", _word(F.col("dst"))).alias("key"))
+            both = F.array(F.struct("dense", "hop", "key"), F.when(F.col("dst").isNotNull() & ~F.col("__seen"), fresh))
+            best = met.select(F.explode(both).alias("x")).filter("x is not null").groupBy(F.col("x.dense").alias("dense")).agg(least(F.struct((sign * F.col("x.hop")).alias("hop"), F.col("x.key").alias("key"))).alias("best"))
+            found = best.select("dense", (sign * F.col("best.hop")).alias("hop"), F.col("best.key").alias("key"))
+        rows = Table(found.filter("hop > 0"))  # a range sort samples its input, which would run the hops twice
+        ranked = global_rank(rows.df, [F.col("hop"), F.col("key")], "k")
         table = done.add(ranked.select((F.col("k") + placed).alias("pos"), "dense", (F.col("hop") + level).cast("bigint").alias("level")), watch)
         now, seen = table.df, table.seen
         if not seen["n"]:
@@ -130,7 +133,7 @@ def queue_order(edges: DataFrame, ranks: DataFrame, waves: int, rounds: Rounds |
     tight = cut(edges.join(low, "src").join(high, "dst").filter("high = low + 1").select("src", "dst"))
     if waves <= deep:
         start = global_rank(ranks.filter("rank = 0"), [F.col("v")], "pos").select("pos", F.col("v").alias("dense"))
-        order, _, plans = walked(tight, start, F.max, lambda df: df, lambda df: None)
+        order, _, plans = walked(tight, start, F.max, lambda df: df.withColumn("__seen", F.lit(False)), lambda df: None)
         rounds.contract += plans
         return order.select(F.col("dense").alias("v"), F.col("level").alias("rank"), "pos")
     picks = cut(tight.groupBy(F.col("dst").alias("v")).agg(F.max("src").alias("up")))

@@ -53,7 +53,7 @@ def levels_from(graph: Graph, start: int, hops: int = HOPS) -> tuple[DataFrame,
     graph.require(start)
     seen = Bitmaps(graph.vertex_count)
     first = graph.edges.sparkSession.createDataFrame([(0, start)], "pos bigint, dense bigint")
-    return walked(graph.edges, first, F.min, seen.without, seen.add, hops)
+    return walked(graph.edges, first, F.min, seen.marked, seen.add, hops)
 
 
 class Bitmaps:
@@ -72,13 +72,14 @@ class Bitmaps:
         old, self.table = self.table, Table(self.table.df.unionByName(bits).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
         old.drop()
 
-    def without(self, rows: DataFrame) -> DataFrame:
-        """The rows whose ``dense`` is not in the set."""
+    def marked(self, rows: DataFrame, column: str = "dst") -> DataFrame:
+        """``rows`` with ``__seen``: whether ``column`` is in the set; a null is not."""
+        bucket, bit = f"bitmap_bucket_number({column} + 1)", f"bitmap_bit_position({column} + 1)"
         bits = self.table.df.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
-        byte = F.conv(F.hex(F.substring("__bits", F.expr(f"cast({_BIT} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-        held = F.expr(f"shiftright(__byte, cast({_BIT} % 8 as int))").bitwiseAND(1) == 1
-        met = rows.join(F.broadcast(bits) if self.small else bits, F.expr(_BUCKET) == F.col("__bucket"), "left").withColumn("__byte", byte)
-        return met.filter(F.col("__byte").isNull() | ~held).drop("__bucket", "__bits", "__byte")
+        byte = F.conv(F.hex(F.substring("__bits", F.expr(f"cast({bit} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+        met = rows.join(F.broadcast(bits) if self.small else bits, F.expr(bucket) == F.col("__bucket"), "left").withColumn("__byte", byte)
+        held = F.expr(f"shiftright(__byte, cast({bit} % 8 as int))").bitwiseAND(1) == 1
+        return met.withColumn("__seen", F.coalesce(held, F.lit(False))).drop("__bucket", "__bits", "__byte")
 
 
 def _part_of(graph: Graph, start: int) -> tuple[DataFrame, int]:

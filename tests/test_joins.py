@@ -101,9 +101,9 @@ def test_bitmaps_hold_what_was_added(spark):
     seen.add(spark.createDataFrame([(i,) for i in ids[1::4]], "dense bigint"))
     held = set(ids[::2]) | set(ids[1::4])
     asked = ids + [i + 1 for i in ids]
-    left = seen.without(spark.createDataFrame([(i, "x") for i in asked], "dense bigint, key string"))
-    assert sorted(r["dense"] for r in left.collect()) == sorted(i for i in asked if i not in held)
-    assert seen.table.df.count() == 5 and left.columns == ["dense", "key"]
+    marked = seen.marked(spark.createDataFrame([(i, "x") for i in [*asked, None]], "dst bigint, key string"))
+    assert sorted(map(str, marked.select("dst", "__seen").collect())) == sorted(map(str, spark.createDataFrame([(i, i in held) for i in [*asked, None]], "dst bigint, __seen boolean").collect()))
+    assert seen.table.df.count() == 5 and marked.columns == ["dst", "key", "__seen"]
 
 
 def test_small_parts_share_batches(spark):
