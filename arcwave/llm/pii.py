@@ -11,8 +11,9 @@ all occurrences of the terms at or over ``threshold`` become spans of kind ``ter
 overlaps them, and are generalised in the sanitised text.
 
 Terms (and entities) that stand in exactly the same texts have the same counts, so they are judged as one class, named by
-two 64-bit hashes of that set of texts; a text then costs its classes of entities times its classes of terms that are
-rare enough for any of them (PMI bounds c(t) by c(e) ** threshold * N ** (1 - threshold)), not its words times its spans.
+two 64-bit hashes of that set of texts, and only terms rare enough for an entity are paired with it (PMI bounds c(t) by
+c(e) ** threshold * N ** (1 - threshold)). A text of many classes of both, such as a directory, lists only pairs that another
+text can hold too; where two such texts share n people, all pairs of these are supported, and are listed.
 
 Only DataFrame functions run here. Null and empty texts have no spans, and an empty table gives no rows; rows that repeat an
 id and text get the same answer; null ids are kept. Ties cannot arise: spans are fixed by the patterns, terms by counts. Texts may
@@ -45,6 +46,8 @@ MIN_TERM = 2
 SUPPORT = 2
 THRESHOLD = 0.9
 BROADCAST_ROWS = 200_000
+HEAVY = 1 << 16  # entity classes times term classes of a text whose pairs are no longer listed
+HEAVY_ROWS = 256  # term classes of a heavy text that one task pairs
 CHUNK = 64
 BLOCK = 4096  # code points of a piece of text in which spans are replaced
 
@@ -153,6 +156,37 @@ def _set_name(other: str) -> list[Column]:
     return [F.bit_xor(F.xxhash64(F.col(other), F.lit(k))).alias(f"x{k}") for k in (0, 1)]
 
 
+def _meetings(classes: DataFrame, posted: DataFrame, support: int, rare: Callable[[str], Column]) -> DataFrame:
+    """(ec, tc, d, c_te, c_e, c_t): how many texts, and rows, hold both; pairs in fewer than ``support`` texts may be missing or counted in part.
+
+    Pairs of a text with at most ``HEAVY`` of them are listed. A pair of a heavy text matters only if a light text holds it too, or another
+    heavy one; then it also stands in a heavy text that is not the heaviest of its entity class, nor of its term class. Such
+    pairs are looked up in the heavy texts, so a directory of n people costs n times the texts of each, not n * n.
+    """
+    counted = lambda met: met.groupBy("ec", "tc").agg(F.count(F.lit(1)).alias("d"), F.sum("m").alias("c_te"), F.min("c_e").alias("c_e"), F.min("c_t").alias("c_t"))
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(posted.groupBy("h").agg(F.count(F.lit(1)).alias("k")), "h")
+    heavy = cut(sizes.select("h", (F.col("n") * F.col("k")).alias("w")).filter(F.col("w") > HEAVY))
+    if heavy.isEmpty():
+        return counted(classes.join(posted, "h").filter(rare("c_e")))
+    heavy = small(heavy, BROADCAST_ROWS)
+    light = cut(counted(classes.join(heavy, "h", "left_anti").join(posted, "h").filter(rare("c_e"))))
+    held, words = (cut(rows.join(heavy, "h")) for rows in (classes.select("h", "ec", "m", "c_e"), posted))
+
+    def behind(rows: DataFrame, name: str) -> DataFrame:
+        """Rows outside the heaviest text of their class; all rows, where one text is support enough."""
+        if support < 2:
+            return rows.drop("w")
+        place = F.struct("w", "h")
+        return rows.join(rows.groupBy(name).agg(F.max(place).alias("top")), name).filter(place < F.col("top")).drop("w", "top")
+
+    fresh = spread_join(cut(behind(words, "tc")), behind(held, "ec").select("h", "ec", "c_e"), ["h"], "tc", task_rows=HEAVY_ROWS).filter(rare("c_e")).select("ec", "tc")
+    seen = light.join(held.select("ec").distinct(), "ec", "left_semi").join(words.select("tc").distinct(), "tc", "left_semi").select("ec", "tc")
+    pairs = cut(fresh.unionByName(seen).distinct())
+    met = spread_join(pairs, held.select("h", "ec", "m", "c_e"), ["ec"], "tc").join(words.select("h", "tc", "c_t"), ["h", "tc"])
+    both = light.unionByName(counted(met))
+    return both.groupBy("ec", "tc").agg(F.sum("d").alias("d"), F.sum("c_te").alias("c_te"), F.min("c_e").alias("c_e"), F.min("c_t").alias("c_t"))
+
+
 def _telling(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, support: int, threshold: float) -> DataFrame | None:
     """(h, t): the terms of each text that disclose an entity in it; None if no two texts share an entity."""
     n = float(found.count())
@@ -177,8 +211,7 @@ def _telling(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, supp
     terms = cut(terms.join(counts, "t").filter(rare(F.lit(most))).select("t", "c_t", F.xxhash64("x0", "x1", "d", "c_t").alias("tc")))
     words = cut(spread_join(words, small(terms, BROADCAST_ROWS), ["t"], "h"))
 
-    met = classes.join(words.select("h", "tc", "c_t").distinct(), "h").filter(rare("c_e"))
-    pairs = met.groupBy("ec", "tc").agg(F.count(F.lit(1)).alias("d"), F.sum("m").alias("c_te"), F.min("c_e").alias("c_e"), F.min("c_t").alias("c_t")).filter(F.col("d") >= support)
+    pairs = _meetings(classes, cut(words.select("h", "tc", "c_t").distinct()), support, rare).filter(F.col("d") >= support)
     information = F.log2(F.lit(n) / F.col("c_e"))
     pmi = F.log2(F.lit(n) * F.col("c_te") / (F.col("c_t").cast("double") * F.col("c_e")))
     telling = cut(pairs.filter(pmi >= threshold * information - 1e-9).select("ec", "tc"))

@@ -382,3 +382,34 @@ def test_many_spans_in_one_text(spark):
     clean = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
     assert clean[1]["n_spans"] == 40_001 and clean[3]["n_spans"] == 0  # and the last word
     assert clean[1]["text"] == "é " + "[WORD] [IP] " * 20_000 + "[WORD]" and clean[3]["text"] == "plain words"
+
+
+def _spans(docs, **more):
+    return {r["doc_id"]: [tuple(x) for x in r["terms"]] for r in pii.private_spans(docs, **more).collect()}
+
+
+@pytest.mark.parametrize(("support", "bound"), [(1, 0), (2, 30), (3, 0)])
+def test_heavy_texts_change_nothing(spark, monkeypatch, support, bound):
+    """Texts of many people and terms, some in several texts; listed as pairs, in part, and by look-up alone."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        who = rng.sample(range(25), rng.choice([1, 1, 2, 3, 12]))
+        body = [f"p{k}@mail.org" for k in who] + [f"name{k}" for k in who if rng.random() < 0.8] + rng.choices([f"c{k}" for k in range(40)], k=5)
+        rng.shuffle(body)
+        texts.append(" ".join(body))
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:6])), "doc_id bigint, text string")
+    want = _spans(docs, support=support)
+    assert any(want.values())
+    monkeypatch.setattr(pii, "HEAVY", bound)
+    monkeypatch.setattr(pii, "HEAVY_ROWS", 3)
+    assert _spans(docs, support=support) == want
+
+
+def test_directory_of_many_people(spark):
+    """One text names all of 3,000 people that have a text each: nine million pairs in it, three thousand that another text holds."""
+    n = 3_000
+    rows = [(k, f"write to u{k}@mail.org about zon{k}") for k in range(n)] + [(n, " ".join(f"u{k}@mail.org zon{k}" for k in range(n)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {k: [x[3] for x in v] for k, v in _spans(docs).items()}
+    assert all(got[k] == [f"zon{k}"] for k in range(n)) and got[n] == [f"zon{k}" for k in range(n)]
