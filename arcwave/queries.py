@@ -18,6 +18,7 @@ from arcwave.operators.scc import Decomposition, decompose, regrouped
 from arcwave.operators.traversal import breadth_first, depth_first, depth_first_forest, levels_from
 from arcwave.plans.lineage import cut, shared_dir
 from arcwave.sources import datasource, parts, snapshot, tables
+from arcwave.streaming import merging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,6 +324,26 @@ def sql_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_TURNS_SQL.format(sf_dir))
 
 
+# streams
+@query("stream_components", """with recursive l as (select l_suppkey part, l_orderkey a, -1 - l_partkey b from lineitem),
+pairs as materialized (select part, a, b from l union select part, b, a from l),
+walk(part, v, m) using key (part, v) as (
+  select distinct part, a, a from pairs union
+  select p.part, p.b, min(w.m) from walk w join pairs p on p.part = w.part and p.a = w.v join recurring.walk r on r.part = p.part and r.v = p.b where w.m < r.m group by p.part, p.b)
+select part, v vertex, m component, count(*) over (partition by part, m) size from walk""")
+def stream_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and parts that hang together by a supplier's lines, which come in four batches of a stream."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("part"), F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for k in range(4):
+        lines.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(4)) == k).write.mode("append").parquet(f"{folder}/in/turn={k}")
+    arrived = spark.read.parquet(f"{folder}/in")
+    files = max(1, -(-len(arrived.inputFiles()) // 4))
+    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in").select("part", "src", "dst")
+    merging.keep(stream, f"{folder}/changes", f"{folder}/state", once=True).awaitTermination()
+    return merging.labels(spark.read.parquet(f"{folder}/changes"))
+
+
 # work
 query("work_profile", with_graph("copart", f"""select nv vertex_count, ne edge_count, nc component_count, nr quotient_candidate_count, nq quotient_edge_count,
 nv root_checks, nv discoveries, ne edge_inspections, nv frame_finishes, nv active_pops, nv canonical_assignments,
