@@ -51,24 +51,51 @@ def _chunk(data: bytes, key: np.ndarray, first: int, flags: int, root: bool) ->
     return cv
 
 
-def _hash(data: bytes, key: np.ndarray, flags: int) -> bytes:
-    whole = (len(data) - 1) // CHUNK if data else 0  # the last chunk, also a whole one, stands alone
-    if not whole:
-        return _chunk(data, key, 0, flags, True)[:, 0].astype("<u4").tobytes()
-    cvs = np.concatenate([_chunk(data[: whole * CHUNK], key, 0, flags, False), _chunk(data[whole * CHUNK :], key, whole, flags, False)], axis=1)
+def _merged(cvs: np.ndarray, key: np.ndarray, flags: int, root: bool) -> np.ndarray:
+    """The chaining value (8, 1) over neighbours (8, n): each level pairs them and carries an odd last one."""
     while cvs.shape[1] > 1:
         n = cvs.shape[1] // 2
         words = np.concatenate([cvs[:, 0 : 2 * n : 2], cvs[:, 1 : 2 * n : 2]])
-        mark = flags | PARENT | (ROOT if cvs.shape[1] == 2 else 0)
+        mark = flags | PARENT | (ROOT if root and cvs.shape[1] == 2 else 0)
         up = _compress(np.repeat(key[:, None], n, axis=1), words, np.zeros(n, np.uint64), np.full(n, BLOCK, np.uint32), np.full(n, mark, np.uint32))
         cvs = np.concatenate([up, cvs[:, 2 * n :]], axis=1)
-    return cvs[:, 0].astype("<u4").tobytes()
+    return cvs
+
+
+def _subtree(data: bytes, key: np.ndarray, first: int, flags: int, root: bool) -> np.ndarray:
+    """The chaining value of ``data``, which starts at chunk ``first`` of its message."""
+    whole = (len(data) - 1) // CHUNK if data else 0  # the last chunk, also a whole one, stands alone
+    if not whole:
+        return _chunk(data, key, first, flags, root)
+    cvs = [_chunk(data[: whole * CHUNK], key, first, flags, False), _chunk(data[whole * CHUNK :], key, first + whole, flags, False)]
+    return _merged(np.concatenate(cvs, axis=1), key, flags, root)
+
+
+def _bytes(cv: np.ndarray) -> bytes:
+    return cv[:, 0].astype("<u4").tobytes()
+
+
+def _hash(data: bytes, key: np.ndarray, flags: int) -> bytes:
+    return _bytes(_subtree(data, key, 0, flags, True))
 
 
 def digest(data: bytes) -> bytes:
     return _hash(data, np.array(IV, np.uint32), 0)
 
 
+def context_key(context: str) -> np.ndarray:
+    return np.frombuffer(_hash(context.encode(), np.array(IV, np.uint32), CONTEXT), "<u4")
+
+
 def derive_key(context: str, material: bytes) -> bytes:
-    key = np.frombuffer(_hash(context.encode(), np.array(IV, np.uint32), CONTEXT), "<u4")
-    return _hash(material, key, MATERIAL)
+    return _hash(material, context_key(context), MATERIAL)
+
+
+def material_part(part: bytes, key: np.ndarray, first: int, alone: bool) -> bytes:
+    """The value of one aligned part of the material, from chunk ``first``; parts but the last have one power of two of chunks. ``alone``: it is all."""
+    return _bytes(_subtree(part, key, first, MATERIAL, alone))
+
+
+def merged_parts(values: list[bytes], key: np.ndarray, top: bool) -> bytes:
+    """The value over neighbouring parts, one power of two of them except at the end; with ``top``, the derived key."""
+    return _bytes(_merged(np.frombuffer(b"".join(values), "<u4").reshape(-1, 8).T.astype(np.uint32), key, MATERIAL, top))

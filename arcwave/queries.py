@@ -398,6 +398,22 @@ def snapshot_verified_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.decode_verified_snapshot(spark, data, PROFILE, snapshot.digest_snapshot(data, PROFILE, "queries"), "queries").edges
 
 
+@query("snapshot_verified_chunks", with_graph("copart_whole", "select src, dst from e"))
+def snapshot_verified_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from chunks whose digest, taken in tasks, is that of the same bytes in chunks of another size."""
+    g = _build(spark, sf_dir, "copart_whole")
+    mark = snapshot.digest_chunks(cut(snapshot.snapshot_chunks(g, PROFILE, 10_000)), PROFILE, "queries", part_chunks=64)
+    return snapshot.decode_verified_chunks(cut(snapshot.snapshot_chunks(g, PROFILE)), PROFILE, mark, "queries").edges
+
+
+@query("snapshot_migrated_edges", with_graph("handoff_whole", "select src, dst from e"))
+def snapshot_migrated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one profile, migrated through the validated graph to another, and read under that."""
+    other = PROFILE[::-1]
+    old = cut(snapshot.snapshot_chunks(_build(spark, sf_dir, "handoff_whole"), PROFILE))
+    return snapshot.decode_chunks(cut(snapshot.migrate_chunks(old, PROFILE, other)), other).edges
+
+
 @query("import_parts", with_graph("copart_whole", "select src, dst from e"))
 def import_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph's own rows, both directions, imported with all checks."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hmac
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwave.errors import SnapshotError
-from arcwave.functions.blake3 import derive_key
+from arcwave.functions.blake3 import CHUNK, context_key, derive_key, material_part, merged_parts
 from arcwave.graph import FORWARD, U32_MAX, Graph, running_sum
+from arcwave.plans.lineage import cut
 from arcwave.sources.parts import Rows, from_parts
 
 # Fixed values of the format.
@@ -31,6 +32,8 @@ _HEADER = struct.Struct("<8s16sHHI32sIIQ")
 
 CHUNK_WORDS = 65_536
 INLINE_BYTES = 256 << 20
+PART_CHUNKS = 1024  # hash chunks of 1 KB that one task call hashes; a power of two
+FAN = 1024  # values that one task call merges; a power of two
 
 
 @dataclass(frozen=True)
@@ -173,3 +176,77 @@ def decode_verified_snapshot(spark: SparkSession, data: bytes, profile: bytes, d
     if not hmac.compare_digest(digest_snapshot(data, profile, context), digest):
         raise SnapshotError("Digest")
     return decode_snapshot(spark, data, profile, limits)
+
+
+def digest_chunks(chunks: DataFrame, profile: bytes, context: str, part_chunks: int = PART_CHUNKS, fan: int = FAN) -> bytes:
+    """``digest_snapshot`` of what ``snapshot_chunks`` made, whatever the size of its chunks.
+
+    The hash is a tree: bytes are dealt to aligned parts of 1 MB, each hashed to 32 bytes by itself, and runs of values are merged
+    level by level in tasks. The driver sees the length and at most ``fan`` values.
+    """
+    _require_profile(profile)
+    key, size = context_key(context), CHUNK * part_chunks
+    rows = chunks.select("chunk", "bytes", F.length("bytes").cast("bigint").alias("n")).filter("n > 0")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    prefix = SCHEMA_ID + profile + struct.pack("<Q", total)
+    ends = running_sum(rows.select("chunk", "n"), "chunk", "n", "end").select("chunk", (F.col("end") - F.col("n") + len(prefix)).alias("at"))
+    first = chunks.sparkSession.createDataFrame([(0, bytearray(prefix), len(prefix))], "at bigint, bytes binary, n bigint")
+    placed = rows.join(ends, "chunk").select("at", "bytes", "n").unionByName(first)
+    spread = placed.withColumn("part", F.explode(F.sequence(F.expr(f"at div {size}"), F.expr(f"(at + n - 1) div {size}"))))
+    low = F.greatest(F.col("part") * size - F.col("at"), F.lit(0))
+    high = F.least((F.col("part") + 1) * size - F.col("at"), F.col("n"))
+    pieces = spread.select("part", (F.col("at") + low).alias("at"), F.substring("bytes", (low + 1).cast("int"), (high - low).cast("int")).alias("bytes"))
+    count = -(-(total + len(prefix)) // size)
+
+    def hashed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        part = t.column("part")[0].as_py()
+        return pa.table({"part": [part], "value": [material_part(b"".join(t.column("bytes").to_pylist()), key, part * part_chunks, count == 1)]})
+
+    def merged(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        return pa.table({"part": [t.column("part")[0].as_py() // fan], "value": [merged_parts(t.column("value").to_pylist(), key, False)]})
+
+    values = cut(pieces.groupBy("part").applyInArrow(hashed, "part bigint, value binary"))
+    while count > fan:
+        values = cut(values.groupBy(F.expr(f"part div {fan}")).applyInArrow(merged, "part bigint, value binary"))
+        count = -(-count // fan)
+    top = [bytes(r["value"]) for r in values.orderBy("part").collect()]
+    return top[0] if count == 1 else merged_parts(top, key, True)
+
+
+def decode_verified_chunks(chunks: DataFrame, profile: bytes, digest: bytes, context: str, limits: SnapshotLimits | None = None) -> Graph:
+    """``decode_verified_snapshot`` of chunks: byte limit, then digest, then structure, all in tasks."""
+    limits = limits or SnapshotLimits()
+    if (chunks.agg(F.sum(F.length("bytes"))).first()[0] or 0) > limits.max_bytes:
+        raise SnapshotError("ByteLimit")
+    if not hmac.compare_digest(digest_chunks(chunks, profile, context), digest):
+        raise SnapshotError("Digest")
+    return decode_chunks(chunks, profile, limits)
+
+
+Decoder = Callable[[DataFrame, bytes, SnapshotLimits | None], Graph]
+Encoder = Callable[[Graph, bytes], DataFrame]
+#: Decoders of the known schemas, by identity and version; a later schema adds its own.
+DECODERS: dict[tuple[bytes, tuple[int, int]], Decoder] = {(SCHEMA_ID, VERSION): decode_chunks}
+
+
+def migrate_chunks(chunks: DataFrame, profile: bytes, new_profile: bytes, encode: Encoder = snapshot_chunks, decoders: dict[tuple[bytes, tuple[int, int]], Decoder] | None = None, limits: SnapshotLimits | None = None) -> DataFrame:
+    """Chunks of ``encode`` for the graph of ``chunks``: old bytes, a validated graph, new bytes.
+
+    The schema and version that the header names choose the decoder. Bytes of a schema or version without one are refused and never
+    reach the encoder.
+    """
+    known = DECODERS if decoders is None else decoders
+    head = chunks.filter("chunk = 0").select("bytes").first()
+    data = bytes(head["bytes"]) if head else b""
+    if len(data) < HEADER_BYTES:
+        raise SnapshotError("HeaderTruncated")
+    magic, schema, major, minor = _HEADER.unpack_from(data)[:4]
+    if magic != MAGIC:
+        raise SnapshotError("Magic")
+    if schema not in {s for s, _ in known}:
+        raise SnapshotError("Schema")
+    if (schema, (major, minor)) not in known:
+        raise SnapshotError("Version")
+    return encode(known[schema, (major, minor)](chunks, profile, limits), new_profile)
