@@ -34,11 +34,13 @@ class _Touched:
     """The rows of a map state that a batch reads or writes; ``flush`` stores those written."""
 
     def __init__(self, state: Any) -> None:
-        self.state, self.rows, self.dirty = state, {}, set()
+        self.state, self.rows, self.dirty, self.stored = state, {}, set(), set()
 
     def get(self, key: Any) -> tuple | None:
         if key not in self.rows:
-            self.rows[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+            self.rows[key] = self.state.getValue((key,))
+            if self.rows[key] is not None:
+                self.stored.add(key)
         return self.rows[key]
 
     def put(self, key: Any, row: tuple | None) -> None:
@@ -49,7 +51,7 @@ class _Touched:
         for key in self.dirty:
             if self.rows[key] is not None:
                 self.state.updateValue((key,), self.rows[key])
-            elif self.state.containsKey((key,)):
+            elif key in self.stored:  # a row is read before it is taken away, unless this batch made it
                 self.state.removeKey((key,))
 
 
