@@ -1,14 +1,16 @@
 """Secret scan: two patterns propose candidates, a random forest removes the false positives.
 
-Candidates are values assigned to a secret-like name, and all runs of key characters that hold a digit (from
+Candidates are values assigned to a secret-like name, passwords between user and host of a URL, and all runs of key characters that hold a digit (from
 ``SHORT`` characters on) or inner capitals (from ``LONG`` on): card and order numbers, identifiers, digests and file
 names are among them, and it is for the forest to tell them from keys.
 Each gets features of its length, its letters (classes, entropy, transitions between classes, and its
 likelihood as a chain of letter pairs), the share of it that dictionary words cover, the words beside it,
-and its path. The forest is Spark ML's, trained on labelled findings: rows of (before, value, after, path,
+whether a password name or a URL holds it, and its path. The forest is Spark ML's, trained on labelled findings: rows of (before, value, after, path,
 label). ``labelled_findings`` draws such rows from ``SHAPES``, the public shapes of keys and of what looks like them; pass
 a DataFrame of reviewed findings to replace it.
 
+A single dictionary word behind a password name is no secret ("password: required"); several words, or a word with digits or symbols, are.
+
 Null and empty texts have no candidates, and an empty table gives no rows; null paths are empty. Rows that repeat an id are
 scanned each on its own; equal rows of a finding count once in ``redact``. A tie (probability 0.5) is a secret. Texts of any length are scanned whole; memory
 for one grows with its candidates. Input columns of any name come through ``redact`` as they are; ``scan`` reads only the three that it is told.
@@ -22,6 +24,7 @@ import random
 import re
 import string
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Collection, Iterator
 
@@ -32,6 +35,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwave.llm.textkit import row_name
 from arcwave.plans.lineage import remove, shared_dir
 from arcwave.plans.names import free
 
@@ -40,11 +44,14 @@ TREES, DEPTH = 40, 9
 FINDINGS = 6_000
 AROUND = 48
 
-ASSIGNED = re.compile(r"(?i)\b[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"',;]{6,})")
+ASSIGNED = re.compile(r"(?i)\b[\w.-]{0,40}?(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]{0,40}[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"',;]{6,})")
+URL_PASSWORD = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"']{0,64}:([^\s/@\"']{3,256})@")
 SHORT, LONG = 8, 16
 RUN = re.compile(rf"[A-Za-z0-9+/=_-]{{{SHORT},}}")
 _PART = re.compile(r"[^=]+(?:={1,2}$)?")
-_NAMES = re.compile(r"(?i)token|secret|passw|api[_-]?key|access[_-]?key|private|auth|bearer|credential")
+_NAMES = re.compile(r"(?i)token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private|auth|bearer|credential")
+_PASSWORD_NAME = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd)[\w-]{0,12}[\"']?\s{0,4}[:=]\s{0,4}[\"']?$")
+_USER = re.compile(r"://[^\s/:@\"']{0,64}:$")
 _DIGEST = re.compile(r"(?i)sha-?\d|md5|commit|checksum|digest|hash|etag|revision|integrity|blob|uuid|guid|trace|request")
 _SAMPLE = re.compile(r"(?i)example|sample|test|dummy|placeholder|your|fake|mock|changeme|xxxx|fixture")
 _LOCK = re.compile(r"(?i)lock|\.sum$|\.svg$|\.map$|\.min\.|node_modules|vendor")
@@ -53,6 +60,7 @@ _HEX, _INNER = re.compile(r"(?i)[0-9a-f]+"), re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-
 FEATURES = (
     "length", "digits", "upper", "lower", "symbols", "distinct", "entropy", "transitions", "pair_likelihood", "hex", "hex_length", "uuid", "words",
     "longest_word", "repeats", "assigned", "quoted", "near_secret", "near_digest", "near_sample", "value_sample", "path_sample", "path_lock", "known_prefix",
+    "password_name", "in_url", "one_word",
 )
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "SG.")
 
@@ -96,14 +104,16 @@ class Describer:
             sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, sum(pairs) / len(pairs) if pairs else -4.0, is_hex, n if is_hex else 0, bool(_UUID.fullmatch(value)), words,
             longest, max(counts.values()) / n, bool(re.search(r"[:=]\s*[\"']?$", near)), near[-1:] in ("'", '"') and after[:1] in ("'", '"'), bool(_NAMES.search(near)), bool(_DIGEST.search(near)),
             bool(_SAMPLE.search(near)), bool(_SAMPLE.search(value)), bool(_SAMPLE.search(path)), bool(_LOCK.search(path)), value.startswith(PREFIXES),
+            bool(_PASSWORD_NAME.search(near)), after[:1] == "@" and bool(_USER.search(near)), longest == n,
         )]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans in code points, by start; a value found both ways counts once, as the assigned one.
+    """Spans in code points, by start; a value found both ways counts once, as the assigned one. Nothing else overlaps a URL's password.
 
     A long run is split at '=', which belongs to a value only as padding at its end; a shorter part behind '=' stays a value.
     """
+    inside = [m.span(1) for m in URL_PASSWORD.finditer(text)] if "://" in text else []
     found = []
     for m in ASSIGNED.finditer(text) if _NAMES.search(text) else ():
         s, e = m.span(1)
@@ -117,6 +127,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
                 continue
             if any(c.isdigit() for c in v) or len(v) >= LONG and _INNER.search(v):
                 found.append((m.start() + part.start(), m.start() + part.end()))
+    if inside:
+        starts = [s for s, _ in inside]
+        clear = lambda s, e: (k := bisect_left(starts, e)) == 0 or inside[k - 1][1] <= s
+        found = [x for x in found if clear(*x)] + inside
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
@@ -133,6 +147,14 @@ _OTHER_NAMES = ("id", "user_id", "order", "ref", "version", "name", "session", "
 _DIGEST_NAMES = ("sha256:", "sha1 ", "commit ", "checksum: ", "md5: ", 'etag: "', "digest = ", 'integrity="', "revision ", "trace id ", "uuid: ")
 _PATHS = ("src/app.py", "config/settings.yml", "deploy/env", "web", "notes.md", "src0", "")
 _COMPOUND = ("user", "account", "request", "handler", "factory", "service", "manager", "config", "builder", "stream", "version")
+_PASSWORD_NAMES = ("password", "passwd", "db_password", "passphrase", "pwd", "user-password", "MYSQL_PASSWORD")
+_FIELD_WORDS = ("required", "optional", "string", "forgotten", "expired", "wrong", "missing", "policy", "incorrect", "strength", "changed", "protected")
+_NOUNS = (
+    "river", "candle", "monkey", "dragon", "summer", "winter", "purple", "silver", "garden", "bridge", "coffee", "planet", "guitar", "rocket", "sunshine", "forest", "thunder", "marble",
+    "pencil", "window", "orange", "castle", "falcon", "tiger", "butter", "ladder", "mirror", "ocean", "pepper", "saddle", "tunnel", "velvet", "whale", "yellow", "anchor", "basket",
+)
+_SCHEMES = ("postgres://", "mysql://", "https://", "redis://", "mongodb+srv://", "ftp://", "amqp://")
+_URL_STAND_INS = ("password", "PASSWORD", "<password>", "${DB_PASSWORD}", "$PASS", "{password}", "xxxxx", "****", "changeme", "your-password", "%s")
 _STAND_INS = ("your_api_key_here", "YOUR-TOKEN-HERE", "xxxxxxxxxxxxxxxx", "changeme1234", "example_token_1", "<redacted>", "${API_TOKEN}", "os.environ[TOKEN]", "dummy-secret-123", "process.env.SECRET_KEY")
 
 
@@ -161,11 +183,36 @@ def _word_and_number(rng: random.Random) -> str:
     return _draw(rng, string.ascii_lowercase, rng.randint(2, 12)) + rng.choice(["", "-", "_"]) + _draw(rng, string.digits, rng.randint(1, 6)) + rng.choice(["", "-", "_", "/"]) + _draw(rng, string.ascii_lowercase, rng.randint(3, 12))
 
 
+def _passphrase(rng: random.Random) -> str:
+    words = rng.choices(_NOUNS, k=rng.randint(3, 5)) if rng.random() < 0.7 else [_syllables(rng) for _ in range(3)]
+    return rng.choice(["", "", "-", "_", "."]).join(w.title() if rng.random() < 0.2 else w for w in words)
+
+
+def _syllables(rng: random.Random) -> str:
+    return "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+
+
+def _word_password(rng: random.Random) -> str:
+    word = rng.choice(_NOUNS) if rng.random() < 0.6 else _syllables(rng)
+    if rng.random() < 0.3:
+        word = word.translate(str.maketrans("aeios", rng.choice(["4e10s", "@3i05", "4310$"])))
+    word = word.title() if rng.random() < 0.4 else word
+    return (word + _draw(rng, string.digits, rng.randint(1, 4)) + rng.choice(["", "", "!", "#", "?"])).ljust(6, "1")
+
+
+def _plain_word(rng: random.Random) -> str:
+    return rng.choice(_FIELD_WORDS) if rng.random() < 0.5 else rng.choice([w for w in _NOUNS if len(w) > 5])
+
+
+def _folder(rng: random.Random) -> str:
+    return "/" + "/".join(rng.choices(_NOUNS, k=rng.randint(2, 4)))
+
+
 def _date(rng: random.Random) -> str:
     return rng.choice(["{}-{:02}-{:02}", "{}{:02}{:02}", "{}/{:02}/{:02}", "{}-{:02}-{:02}T10"]).format(rng.randint(1970, 2030), rng.randint(1, 12), rng.randint(1, 28))
 
 
-#: shape: (label, value, how it is led in, path or None for any). A lead of "assigned" names a secret, "bare" nothing, "mostly" mostly the first.
+#: shape: (label, value, how it is led in, path or None for any). A lead of "assigned" names a secret, "password" a password, "url" stands between user and host, "bare" nothing, "mostly" mostly the first.
 SHAPES = {
     "hex key": (1, lambda r: _draw(r, _HEXA, r.choice([32, 40, 40, 64])), "assigned", None),
     "access id": (1, lambda r: "AKIA" + _draw(r, string.ascii_uppercase + string.digits, 16), "mostly", None),
@@ -175,11 +222,19 @@ SHAPES = {
     "password": (1, lambda r: _draw(r, _ALNUM + "!@#$%^&*", r.randint(10, 24)), "assigned", None),
     "signed token": (1, lambda r: "eyJ" + _draw(r, _ALNUM + "_-", r.randint(40, 120)), "mostly", None),
     "url-safe key": (1, lambda r: _draw(r, _ALNUM + "_-", r.randint(22, 64)), "assigned", None),
+    "passphrase": (1, _passphrase, "password", None),
+    "word password": (1, _word_password, "password", None),
+    "url password": (1, lambda r: r.choice([_word_password, _passphrase, lambda r: _draw(r, _ALNUM + "!#$%^&*", r.randint(8, 24))])(r), "url", None),
     "digest": (0, lambda r: _draw(r, _HEXA, r.choice([32, 40, 64])), _DIGEST_NAMES, None),
     "short commit": (0, lambda r: _draw(r, _HEXA, r.randint(8, 12)), ("commit ", "revision ", "", "at "), None),
     "uuid": (0, _uuid, (*_DIGEST_NAMES, "id ", "key ", "id: "), None),
     "identifier": (0, _compound, ("class ", "new ", "return ", "", "token = "), None),
     "stand-in": (0, lambda r: r.choice(_STAND_INS), "assigned", None),
+    "url stand-in": (0, lambda r: r.choice(_URL_STAND_INS), "url", None),
+    "plain word": (0, _plain_word, "password", None),
+    "password code": (0, lambda r: r.choice(["getpass.getpass()", "user.password", "request.password", "config.get(PASSWORD)", "$(cat secret)", "self._password", "hash_password(raw)"]), "password", None),
+    "folder": (0, _folder, ("pwd: ", "PWD=", "pwd = "), None),
+    "named word": (0, lambda r: r.choice([_word_password, _passphrase])(r), "other", None),
     "word and number": (0, _word_and_number, "bare", None),
     "file name": (0, lambda r: "-".join(r.choices(_PLAIN, k=5)) + r.choice(["-2", "-2024", "_v3", "/1"]), "bare", None),
     "number": (0, lambda r: _draw(r, string.digits, r.randint(8, 19)), "bare", None),
@@ -209,11 +264,15 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11, shapes: Collection[str]
             before = _assignment(rng) + quote
         elif lead == "other":
             before = _assignment(rng, _OTHER_NAMES) + quote
+        elif lead == "password":
+            before = _assignment(rng, _PASSWORD_NAMES) + quote
+        elif lead == "url":
+            before, quote = quote + rng.choice(_SCHEMES) + rng.choice(["admin", "root", "user", "svc", "app", _syllables(rng)]) + ":", "@" + rng.choice(_NOUNS) + rng.choice([".com/", ".internal:5432/", "/"]) + quote
         else:
             before, quote = ("" if lead == "bare" else rng.choice(lead)), rng.choice(["", "", quote])
             before += quote
         drawn = value(rng)
-        drawn = drawn.upper() if rng.random() < 0.1 else drawn
+        drawn = drawn.upper() if lead not in ("password", "url") and rng.random() < 0.1 else drawn
         tail = quote + rng.choice([" ", "\n", "; ", "!! ", ", ", "."]) + _prose(rng)
         rows.append((_prose(rng) + " " + before, drawn, tail, path or rng.choice(_PATHS), label))
     return rows
@@ -250,10 +309,10 @@ def train(spark: SparkSession, findings: DataFrame | None = None, dictionary: st
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", dictionary: str = DICTIONARY) -> DataFrame:
-    """Every candidate: (id, key bigint, start, end in code points, value, probability double, secret boolean). ``key`` names the row by its id and text."""
+    """Every candidate: (id, key binary, start, end in code points, value, probability double, secret boolean). ``key`` names the row by its id and text."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).filter("text <> ''").withColumn("key", F.xxhash64("id", "text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).filter("text <> ''").withColumn("key", row_name("id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = _describer(dictionary).features
@@ -269,7 +328,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
             row = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(3).take(row), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.float64()))], ["id", "key", "start", "end", "value", "x"])
 
-    found = rows.mapInArrow(run, f"id {kind}, key bigint, start bigint, end bigint, value string, x array<double>")
+    found = rows.mapInArrow(run, f"id {kind}, key binary, start bigint, end bigint, value string, x array<double>")
     scored = model.transform(found.withColumn("features", array_to_vector("x")))
     return scored.select(F.col("id").alias(id_col), "key", "start", "end", "value", F.element_at(vector_to_array("probability"), 2).alias("probability")).withColumn("secret", F.col("probability") >= 0.5)
 
@@ -279,7 +338,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     columns = docs.columns
     key, spans, place = free(docs, "key"), free(docs, "spans"), columns.index(text_col)
     marked = found.filter("secret").groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
-    rows = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(marked, key, "left").select(*columns, spans)
+    rows = docs.withColumn(key, row_name(id_col, text_col)).join(marked, key, "left").select(*columns, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

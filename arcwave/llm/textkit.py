@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -24,6 +26,13 @@ _VALUE = np.where(SEPARATOR, 0, LOWER + 1).astype(np.uint64)
 _powers = np.ones(1, dtype=np.uint64)
 
 
+def row_name(id_col: str, text_col: str) -> Column:
+    """128 bits of the SHA-256 of a row's id and text: equal for rows that repeat both, nulls told from empty values."""
+    one = F.col(id_col).cast("string")
+    both = F.concat(F.coalesce(F.concat(F.length(one).cast("string"), F.lit(":"), one), F.lit("-")), F.coalesce(F.concat(F.lit("+"), F.col(text_col).cast("string")), F.lit("-")))
+    return F.substring(F.unhex(F.sha2(both, 256)), 1, 16)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = x.astype(np.uint64, copy=True)

@@ -192,6 +192,39 @@ def test_unquoted_assignments(spark, forest):
     assert clean[4] in (rows[3][1], "a password=[SECRET] b")
 
 
+def test_passphrases_and_url_passwords(spark, forest):
+    url = "postgres://admin:Sup3rS3cret99@db.internal:5432/main"
+    assert [url[s:e] for s, e in secret_scan.candidates(url)][:1] == ["Sup3rS3cret99"]
+    both = "auth_url=redis://svc:h0ney-comb@cache:6379/0 see http://host:8080/path@x"
+    assert "h0ney-comb" in [both[s:e] for s, e in secret_scan.candidates(both)] and not any("redis" in both[s:e] for s, e in secret_scan.candidates(both))
+    keys = {1: "password: correcthorsebattery", 2: "passwd=hunter2", 3: url, 4: "DB_PASSWORD=Winter2024!", 5: "passphrase: 'lantern-copper-meadow'", 6: "https://bob:w0mbat77@git.example.org/x.git"}
+    plain = {11: "password: required", 12: "password = getpass.getpass()", 13: "mysql://root:${DB_PASSWORD}@db/", 14: "https://user:password@example.com/", 15: "password: forgotten twice", 16: "pwd: /home/garden/river"}
+    value = {1: "correcthorsebattery", 2: "hunter2", 3: "Sup3rS3cret99", 4: "Winter2024!", 5: "lantern-copper-meadow", 6: "w0mbat77"}
+    around = {k: f"we set this here {t} and then went on" for k, t in (keys | plain).items()}
+    found = secret_scan.scan(frame(spark, list(around.items())), forest).filter("secret").collect()
+    tagged = {(r["doc_id"], r["value"]) for r in found}
+    assert set(value.items()) <= tagged, sorted(set(value.items()) - tagged)
+    assert not [r for r in tagged if r[0] > 10], tagged
+
+
+def test_recall_of_the_values_in_documents(spark, forest):
+    """Every value that ``documents`` assigns to a token is found whole, and no digest, card number or date that a pattern knows is taken."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r["doc_id"], m[1]) for r in docs.filter("text rlike '(?i)token = '").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"])}
+    found = secret_scan.scan(docs, forest).filter("secret").collect()
+    tagged = {(r["doc_id"], r["value"]) for r in found}
+    assert len(want) >= 10 and want <= tagged
+    assert len(tagged) <= 1.05 * len(want), sorted(tagged - want)[:10]
+
+
+def test_rows_are_named_by_128_bits(spark):
+    rows = [(None, "a"), ("a", None), (None, None), ("", ""), ("", None), (None, ""), ("1", "2:x"), ("1:2", "x"), ("12", ":x")]
+    names = [r[0] for r in spark.createDataFrame(rows, "id string, text string").select(textkit.row_name("id", "text")).collect()]
+    assert len({bytes(n) for n in names}) == len(rows) and all(len(n) == 16 for n in names)
+    one = spark.createDataFrame([(7, "x"), (7, "x")], "id bigint, text string").select(textkit.row_name("id", "text").alias("n"))
+    assert one.distinct().count() == 1
+
+
 # 4: substring dedup
 
 
