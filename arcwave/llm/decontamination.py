@@ -26,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwave.llm.textkit import row_name
 from arcwave.plans.lineage import cut
 from arcwave.plans.names import free
 
@@ -84,7 +85,7 @@ def _short_lengths(items: DataFrame) -> tuple[dict[int, list[int]], list[int]]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_name(id_col, text_col).alias("key"))
 
 
 def _end_table(items: DataFrame, runs: dict[int, list[int]], gaps: list[int], bits: int = TABLE_BITS) -> Column:
@@ -144,7 +145,7 @@ def best_segment(text: Column, item: Column, shift: Column) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = SPAN) -> DataFrame:
-    """(key, item, score): the benchmark items that each text holds, by their best alignment; key = xxhash64(id, text)."""
+    """(key, item, score): the benchmark items that each text holds, by their best alignment; key = 128 bits of a digest of id and text."""
     rows = _keyed(docs, id_col, text_col)
     items = cut(benchmark.select(F.col(item_col).alias("item"), word_codes(F.col(item_text)).alias("codes")).filter(F.size("codes") >= max(min_words, 1)))
     found = cut(alignments(rows, items))
@@ -170,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
     key = free(docs, "key")
     found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_words).select(F.col("key").alias(key)).distinct()
-    return docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(found, key, "left_anti").select(docs.columns)
+    return docs.withColumn(key, row_name(id_col, text_col)).join(found, key, "left_anti").select(docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
