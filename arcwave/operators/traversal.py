@@ -2,19 +2,23 @@
 
 Breadth-first order goes level by level; inside a level, vertices sort by (least position of a parent, id). By joins, ``HOPS`` levels
 are found in one plan (``levels.walked``), and what earlier plans reached is a bitmap for each range of 32,768 ids, made and tested by Spark's own
-functions: an eighth of a byte a vertex in place of anti-joins with all earlier levels. Depth-first orders mark a vertex when it is pushed and take the last pushed one next; they are sequential by nature, so they run on one weakly
-connected part per task and refuse parts over ``PART_EDGES`` edges. A forest's trees stay inside their
-parts, so parts run in parallel and only the final numbering is global.
+functions: an eighth of a byte a vertex in place of anti-joins with all earlier levels. Depth-first orders mark a vertex when it is pushed and take the last pushed one next. This
+is breadth-depth search, which is P-complete: no parallel way is known, so each weakly connected part is walked by one task. Parts of over ``PART_EDGES``
+edges reach it as a stream of sorted rows; it keeps their targets in a mapped file of its own, and 14 bytes a vertex in memory at most. A forest's trees
+stay inside their parts, so parts run in parallel and only the final numbering is global.
 """
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwave.control import ExecutionControl, traversal_charges
-from arcwave.errors import GroupTooLarge
 from arcwave.functions import kernels
 from arcwave.graph import Graph
 from arcwave.operators.levels import HOPS, walked
@@ -99,9 +103,50 @@ def _in_part(graph: Graph, part: DataFrame, start: int, kind: str) -> DataFrame:
     return each_part(part, run, "pos bigint, dense bigint")
 
 
-def _bounded(edges: int) -> None:
-    if edges > PART_EDGES:
-        raise GroupTooLarge(edges, PART_EDGES)
+#: Rows of a batch that a walk of a large part gives.
+OUT_ROWS = 50_000
+
+
+def _walk(vertex_count: int, start: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Depth-first orders (root, seq, dense) of one task's edges, which come sorted by (src, dst): from ``start``, or from each unvisited vertex."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held = np.zeros(vertex_count + 1, np.int64), np.zeros(vertex_count, bool)
+        with tempfile.TemporaryFile() as file:
+            total = 0
+            for batch in batches:
+                src, dst = batch.column("src").to_numpy(), batch.column("dst").to_numpy()
+                own, n = np.unique(src, return_counts=True)
+                row[own + 1] += n
+                held[src] = held[dst] = True
+                file.write(dst.astype(np.uint32).tobytes())
+                total += len(dst)
+            if not total:
+                return
+            file.flush()
+            np.cumsum(row, out=row)
+            to = np.asarray(np.memmap(file, np.uint32, "r", shape=(total,)))
+            roots = iter([start]) if start is not None else (v for k in range(0, vertex_count, OUT_ROWS) for v in (np.flatnonzero(held[k : k + OUT_ROWS]) + k).tolist())
+            out: list[tuple[int, int]] = []
+            done = 0
+            for turn in kernels.depth_first_rows(row, to, bytearray(vertex_count), roots):
+                out.append(turn)
+                if len(out) == OUT_ROWS:
+                    yield _turns(out, done)
+                    done, out = done + len(out), []
+            yield _turns(out, done)
+
+    return run
+
+
+def _turns(out: list[tuple[int, int]], done: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"root": pa.array([r for r, _ in out], pa.int64()), "seq": pa.array(range(done, done + len(out)), pa.int64()), "dense": pa.array([v for _, v in out], pa.int64())})
+
+
+def _walked(graph: Graph, edges: DataFrame, start: int | None, tasks: int = 1) -> DataFrame:
+    """(root, seq, dense) of the large parts (part, src, dst), each in one task."""
+    dealt = edges.repartition(tasks, "part").sortWithinPartitions("src", "dst").select("src", "dst")
+    return dealt.mapInArrow(_walk(graph.vertex_count, start), "root bigint, seq bigint, dense bigint")
 
 
 def depth_first(graph: Graph, start: int, control: ExecutionControl | None = None) -> DataFrame:
@@ -110,8 +155,11 @@ def depth_first(graph: Graph, start: int, control: ExecutionControl | None = Non
     graph.require(start)
     control.check()
     part, size = _part_of(graph, start)
-    _bounded(size)
-    return _metered(graph, cut(_in_part(graph, part, start, "depth")), control)
+    if size > PART_EDGES:
+        order = _walked(graph, part, start).select(F.col("seq").alias("pos"), "dense")
+    else:
+        order = _in_part(graph, part, start, "depth")
+    return _metered(graph, cut(order), control)
 
 
 def depth_first_forest(graph: Graph, control: ExecutionControl | None = None) -> DataFrame:
@@ -120,9 +168,7 @@ def depth_first_forest(graph: Graph, control: ExecutionControl | None = None) ->
     if graph.vertex_count:
         control.check()
     found = parted(graph.edges, graph.edge_count)
-    if found.large is not None:
-        _bounded(found.large.count())
-    parts = found.batches
+    large, parts = found.large, found.batches
 
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())
@@ -136,6 +182,8 @@ def depth_first_forest(graph: Graph, control: ExecutionControl | None = None) ->
         return pa.table({"root": g.ids[roots], "seq": list(range(len(order))), "dense": g.ids[order]})
 
     trees = each_part(parts, run, "root bigint, seq bigint, dense bigint")
+    if large is not None:
+        trees = trees.unionByName(_walked(graph, large, None, large.select("part").distinct().count()))
     found = cut(trees)
     lone = graph.vertices.select("dense").join(found.select("dense"), "dense", "left_anti").select(F.col("dense").alias("root"), F.lit(0).cast("bigint").alias("seq"), "dense")
     order = global_rank(found.unionByName(lone), [F.col("root"), F.col("seq")], "pos").select("pos", "root", "dense")

@@ -1,7 +1,12 @@
 """What happens to parts, paths and streams over the bounds of one task, and what goes through the driver meanwhile."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from arcwave.graph import Graph
+from arcwave.operators import traversal
+from arcwave.operators.parts import parted, part_of
 from arcwave.plans.lineage import Table
 
 
@@ -20,3 +25,18 @@ def test_written_joins_are_not_broadcast(spark):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     Table(left.join(F.broadcast(right), "k"))  # a hint still counts
     assert "BroadcastExchange" in last_plan(spark)
+
+
+def test_depth_first_orders_of_parts_over_the_bound(spark, monkeypatch):
+    """A part of any size is walked whole; such parts used to be refused by an error."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(60 + rng.randrange(50), 60 + rng.randrange(50)) for _ in range(120)] + [(112, 113), (114, 114)]
+    g = Graph.from_dense_edges(spark, 120, spark.createDataFrame(pairs, "s bigint, t bigint"))
+    tree = lambda: sorted(map(tuple, traversal.depth_first(g, 7).collect()))
+    forest = lambda: sorted(map(tuple, traversal.depth_first_forest(g).collect()))
+    want = tree(), forest()
+    monkeypatch.setattr(traversal, "PART_EDGES", 50)
+    monkeypatch.setattr(traversal, "OUT_ROWS", 16)
+    monkeypatch.setattr(traversal, "parted", lambda edges, n: parted(edges, n, 50))
+    monkeypatch.setattr(traversal, "part_of", lambda edges, n, v: part_of(edges, n, v, 50))
+    assert len(want[1]) == 120 and (tree(), forest()) == want
