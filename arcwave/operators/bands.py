@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from arcwave.operators.condensation import Condensation
 from arcwave.operators.schedule import Schedule
 from arcwave.plans.lineage import Layers, Scope, cut, sorted_table
 
-BAND = 10_000
+#: Components that one task takes: some hundred MB of Python values.
+BAND = 500_000
 
 #: Takes a component's id, its payload (a dict, or None) and the (id, value) of its predecessors, ascending; gives its value.
 Step = Callable[[int, dict | None, list[tuple[int, Any]]], Any]
@@ -47,13 +49,14 @@ def evaluate(c: Condensation, s: Schedule, payload: DataFrame, step: Step, kind:
     inner_kind = T._parse_datatype_string(kind)
     with Scope() as scope:
         members, bands = banded(s, band)
-        members = sorted_table(members, ("band", "rank", "component"))
+        own = [x for x in payload.columns if x != "component"]
+        given = payload.select("component", *[F.col(x).alias(f"own_{n}") for n, x in enumerate(own)])
+        members = sorted_table(members.join(given, "component", "left"), ("band", "rank", "component"))  # once, not once a band
         into = members.select(F.col("component").alias("dst"), "band", "task")
         edges = sorted_table(c.edges.join(into, "dst").select("band", "task", "dst", "src"), ("band", "dst"))
-        own = [x for x in payload.columns if x != "component"]
         done = Layers()
         for k in range(bands):
-            here = members.filter(F.col("band") == k).join(payload, "component", "left").select("task", "component", "rank", *[F.col(x).alias(f"own_{n}") for n, x in enumerate(own)])
+            here = members.filter(F.col("band") == k).drop("band")
             met = edges.filter(F.col("band") == k).select("task", "dst", "src")
             if done.held:
                 met = met.join(done.df.select(F.col("component").alias("src"), "value"), "src", "left").select("task", "dst", "src", "value")
@@ -66,15 +69,16 @@ def evaluate(c: Condensation, s: Schedule, payload: DataFrame, step: Step, kind:
 
 def _band(step: Step, own: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(members: pa.Table, edges: pa.Table) -> pa.Table:
-        into: dict[int, list[tuple[int, Any]]] = {}
-        for dst, src, value in zip(*(edges.column(x).to_pylist() for x in ("dst", "src", "value")), strict=True):
-            into.setdefault(dst, []).append((src, value))
+        members, edges = members.sort_by([("rank", "ascending"), ("component", "ascending")]), edges.sort_by([("dst", "ascending"), ("src", "ascending")])
+        at, dst = members.column("component").to_numpy(), edges.column("dst").to_numpy()
+        ids, firsts, ends = at.tolist(), np.searchsorted(dst, at, "left").tolist(), np.searchsorted(dst, at, "right").tolist()
+        before, given = edges.column("src").to_pylist(), edges.column("value").to_pylist()
+        payload = [members.column(f"own_{n}").to_pylist() for n in range(len(own))]
         values: dict[int, Any] = {}
-        rows = members.sort_by([("rank", "ascending"), ("component", "ascending")]).to_pylist()
-        for r in rows:
-            mine = {x: r[f"own_{n}"] for n, x in enumerate(own)}
-            seen = [(src, values.get(src, value)) for src, value in sorted(into.get(r["component"], []), key=lambda x: x[0])]
-            values[r["component"]] = step(r["component"], mine if own else None, seen)
-        return pa.table({"component": [r["component"] for r in rows], "value": [values[r["component"]] for r in rows]})
+        for k, c in enumerate(ids):
+            mine = {x: column[k] for x, column in zip(own, payload, strict=True)}
+            seen = [(before[i], values.get(before[i], given[i])) for i in range(firsts[k], ends[k])]
+            values[c] = step(c, mine if own else None, seen)
+        return pa.table({"component": ids, "value": [values[c] for c in ids]})
 
     return run
