@@ -54,3 +54,46 @@ def test_strings_and_nothing(spark, tmp_path):
 
 def test_stream_query_matches_sql(spark, sf_dir):
     matches_sql(spark, sf_dir, "stream_components")
+
+
+class _Counted(dict):
+    """A map of state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, row):  # noqa: N802
+        self.calls += 1
+        self[key] = row
+
+
+class _Value:
+    row = None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+def test_a_batch_takes_a_few_state_calls(monkeypatch):
+    """A call for each page that a batch touches; it was some for each vertex. Pages are split as the part grows."""
+    for page, names in ((4_096, int), (8, int), (8, str)):
+        monkeypatch.setattr(merging, "PAGE", page)
+        rng, seen, last = random.Random(page), [], {}
+        merge = merging.Merge(None)
+        merge.pages, merge.turn = _Counted(), _Value()
+        for _ in range(4):
+            batch = [(7, names(rng.randrange(900)), names(rng.randrange(900))) for _ in range(150)]
+            seen += batch
+            frame = merging.pd.DataFrame(batch, columns=["part", "src", "dst"])
+            for rows in merge.handleInputRows((7,), iter([frame]), None):
+                last.update({r.vertex: (r.root, r.least, r.size) for r in rows.itertuples()})
+        got = {(7, v): last[root][1:] for v, (root, _, _) in last.items()}
+        assert got == grouped(seen)
+        assert page == 8 or merge.pages.calls == 8
+        assert page > 8 or len(merge.pages) > 64
