@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from arcwave.llm.textkit import mix, shingle_hashes, text_chunks, word_hashes
+from arcwave.llm.textkit import mix, shingle_hashes, slices, text_chunks, word_hashes
 from arcwave.operators.components import connected_components
 from arcwave.plans.lineage import cut
 from arcwave.plans.names import free
@@ -304,7 +304,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, exact: boo
     rows = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             n, k1, k2, toks, wants, capped, maps, wide = [], [], [], [], [], [], [], []
             for s in text_sets(b.column(2), words):
                 size = len(s)

@@ -35,7 +35,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwave.llm.textkit import row_name
+from arcwave.llm.textkit import row_name, slices
 from arcwave.plans.lineage import remove, shared_dir
 from arcwave.plans.names import free
 
@@ -316,7 +316,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = _describer(dictionary).features
-        for b in batches:
+        for b in slices(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for i, text in enumerate(b.column(1)):
                 text = text.as_py()
@@ -341,7 +341,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.withColumn(key, row_name(id_col, text_col)).join(marked, key, "left").select(*columns, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, place):
             texts = b.column(place)
             hit = pc.is_valid(b.column(len(b.columns) - 1))
             if hit.true_count:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 STEP = U64(0xC2B2AE3D27D4EB4F | 1)
 CHUNK_BYTES = 1 << 20
+SLICE_ROWS = 1_024
 
 _BYTES = np.arange(256, dtype=np.uint16)
 SEPARATOR = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
@@ -51,6 +53,23 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def slices(batches: Iterator[pa.RecordBatch], place: int, limit: int = CHUNK_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs whose text column ``place`` holds about ``limit`` bytes, at most ``rows`` each, without a copy; a longer text stands alone.
+
+    What a task makes of a batch is held by it and, beside its heap, by the JVM; so it follows the run and not Spark's 10,000 rows. What the
+    task's memory pool holds is given back when the batches end, as Python workers live on.
+    """
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(place)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < b.num_rows:
+            end = max(first + 1, int(np.searchsorted(ends, limit + (ends[first - 1] if first else 0), side="right")))
+            end = min(end, first + rows)
+            yield b.slice(first, end - first)
+            first = end
+    pa.default_memory_pool().release_unused()
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows that hold about ``limit`` bytes together; a longer text stands alone."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcwave.plans.names import free
-from arcwave.llm.textkit import BASE, LOWER, U64, mix, powers, text_chunks, word_spans, word_starts
+from arcwave.llm.textkit import BASE, LOWER, U64, mix, powers, slices, text_chunks, word_spans, word_starts
 
 TRAIN_PER_CLASS = 1500
 TRAIN_BYTES = 20_000
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             _tables.clear()
             _tables[name] = slot_table(model["keys"])
         seed, table = _tables[name]
-        for b in batches:
+        for b in slices(batches, place):
             scores, counts, spans = [np.zeros(0)], [np.zeros(0, np.int64)], []
             for _, _, buf, off in text_chunks(b.column(place)):
                 starts, ends, first, forms = words_and_forms(buf, off)
