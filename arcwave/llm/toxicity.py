@@ -16,8 +16,8 @@ repeated label rows count once, as toxic if any says so; of rows that repeat an
 of both classes all scores are 0. An empty table gives no rows. A tie (score 0.5, or a marginal of 0.5) counts as toxic.
 Texts of any length are scored whole. The columns of the result must have names that the table lacks (``names``): columns
 of the same names are replaced.
-Memory: 1 MB of text (or one longer text) at a time in a task, and on the driver the sample, which is bounded in rows and in bytes:
-texts of over ``TRAIN_BYTES`` bytes are not trained on (they are scored like all others).
+Memory: 1 MB of text (or one longer text) at a time in a task. One task trains; it holds the sample, which is bounded in rows and in bytes:
+texts of over ``TRAIN_BYTES`` bytes are not trained on (they are scored like all others). The driver gets the model alone.
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> dict:
-    """A model from the labelled rows that are not held out: at most ``per_class`` texts of each class reach the driver, none of over ``most_bytes`` bytes."""
+    """A model from the labelled rows that are not held out: at most ``per_class`` texts of each class reach the task that trains, none of over ``most_bytes`` bytes."""
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("id")
@@ -312,11 +312,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.filter(F.col("toxic") == y).orderBy(order, "id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and id is not null").filter(F.octet_length("text") <= most_bytes)
-    # the sample is bounded by its parameter, so it may be broadcast and collected
-    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("id")
-    toxic = np.array(rows["toxic"].to_pylist(), bool)
+    # the sample is bounded by its parameter, so it may be broadcast, and its texts be one group
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).withColumn("part", F.lit(0))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        model = _fit_shares(t["text"], np.array(t["toxic"].to_pylist(), bool), shares)
+        return pa.Table.from_pylist([model | {k: model[k].tobytes() for k in ("keys", "weights")}]).select(_FIELDS)
+
+    found = rows.groupBy("part").applyInArrow(run, "keys binary, weights binary, bias double, start double, transition array<double>, text array<double>").toArrow().to_pylist()
+    return _model(found[0]) if found else _fit_shares(pa.chunked_array([], pa.string()), np.zeros(0, bool), shares)
+
+
+_FIELDS = ["keys", "weights", "bias", "start", "transition", "text"]
+
+
+def _model(row: dict) -> dict:
+    return row | {"keys": np.frombuffer(row["keys"], np.uint64), "weights": np.frombuffer(row["weights"], np.float64), "transition": tuple(row["transition"]), "text": tuple(row["text"])}
+
+
+def _fit_shares(texts: pa.ChunkedArray, toxic: np.ndarray, shares: dict[int, int]) -> dict:
+    """``fit`` with weights that restore the classes' shares of all labels."""
     used = {0: max(int((~toxic).sum()), 1), 1: max(int(toxic.sum()), 1)}
-    return fit(rows["text"], toxic, np.where(toxic, shares.get(1, 0) / used[1], shares.get(0, 0) / used[0]))
+    return fit(texts, toxic, np.where(toxic, shares.get(1, 0) / used[1], shares.get(0, 0) / used[0]))
 
 
 _tables: dict[bytes, tuple[int, np.ndarray]] = {}
