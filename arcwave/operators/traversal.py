@@ -168,7 +168,7 @@ def depth_first_forest(graph: Graph, control: ExecutionControl | None = None) ->
     if graph.vertex_count:
         control.check()
     found = parted(graph.edges, graph.edge_count)
-    large, parts = found.large, found.batches
+    large, parts = found.named, found.batches
 
     def run(t: pa.Table) -> pa.Table:
         g = kernels.Local(t.column("src").to_numpy(), t.column("dst").to_numpy())

@@ -74,3 +74,20 @@ def test_a_path_is_named_without_doubling(spark):
     path = spark.range(300).select("id", F.xxhash64("id").alias("v")).select("v", F.col("id").alias("rank"), F.xxhash64(F.when(F.col("id") > 0, F.col("id") - 1)).alias("up"))
     path = path.withColumn("up", F.when(F.col("rank") > 0, F.col("up")))
     assert levels.named(path, 300, rounds).filter("pos <> rank").isEmpty() and rounds.double == 0
+
+
+def test_dense_parts_over_the_bound_are_not_rewritten(spark, monkeypatch):
+    """Where every part is large and has nothing to contract, edges are not joined with names of parts, nor with degrees; a self-loop alone is a small part."""
+    ring = lambda at: [(at + k, at + (k + step) % 40) for k in range(40) for step in (1, 3, 7)]
+    build = lambda pairs: Graph.from_dense_edges(spark, 100, spark.createDataFrame(pairs, "s bigint, t bigint"))
+    g = build(ring(0) + ring(50))
+    assert parted(g.edges, g.edge_count, 50).large.inputFiles() == g.edges.inputFiles()
+    rounds, written = joins.Rounds(), []
+    monkeypatch.setattr(joins, "Table", lambda df, *watch: written.append(df.columns) or Table(df, *watch))
+    found = joins.components_by_joins(g.edges, rounds)
+    assert sorted(map(tuple, found.collect())) == [(v, 0) for v in range(40)] + [(v, 50) for v in range(50, 90)]
+    assert written.count(["a", "b"]) == 3 and rounds.contract == 1  # the edges, those inside a colour, and none left
+    monkeypatch.undo()
+    mixed = build(ring(0) + [(60, 61), (61, 60), (70, 70)])
+    found = parted(mixed.edges, mixed.edge_count, 50)
+    assert found.large.count() == found.named.count() == 120 and found.batches.count() == 3
