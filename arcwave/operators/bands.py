@@ -158,16 +158,25 @@ def _band(step: Step, names: list[str], kind: pa.DataType) -> Callable[[Iterator
             return
         given = rows.filter(rows.column("before").is_null())
         members = rows.filter(rows.column("before").is_valid()).sort_by([("rank", "ascending"), ("component", "ascending")])
-        values = dict(zip(_listed(given.column("component")), _listed(given.column("value")), strict=True))
         before = members.column("before").combine_chunks()
-        ends, flat = np.cumsum(before.value_lengths().to_numpy()).tolist(), _listed(pa.chunked_array([before.flatten()]))
+        ends, seen = np.cumsum(before.value_lengths().to_numpy()).tolist(), before.flatten().to_numpy()
+        at = np.concatenate([members.column("component").to_numpy(), given.column("component").to_numpy()])
+        order = np.argsort(at)
+        places = order[np.minimum(np.searchsorted(at, seen, sorter=order), len(at) - 1)]  # of predecessors, in the list of values
+        if (at[places] != seen).any():
+            raise ValueError("a predecessor has no value yet")
+        places, seen = places.tolist(), seen.tolist()
+        values = [None] * members.num_rows + _listed(given.column("value"))
         payload = [_listed(members.column(f"own_{n}")) for n in range(len(names))]
-        ids, out, first = _listed(members.column("component")), [], 0
+        ids, first, columns = _listed(members.column("component")), 0, list(zip(names, payload, strict=True))
         for k, end in enumerate(ends):
-            mine = {x: column[k] for x, column in zip(names, payload)} if names else None
-            value = values[ids[k]] = step(ids[k], mine, [(x, values[x]) for x in flat[first:end]])
-            out.append(value)
+            mine = {x: column[k] for x, column in columns} if columns else None
+            if end - first == 1:
+                values[k] = step(ids[k], mine, [(seen[first], values[places[first]])])
+            else:
+                values[k] = step(ids[k], mine, [(x, values[p]) for x, p in zip(seen[first:end], places[first:end], strict=True)])
             first = end
+        out = values[: len(ids)]
         yield from pa.table({"component": pa.array(ids, pa.int64()), "value": pa.array(out, kind)}).to_batches()
 
     return run
