@@ -91,10 +91,12 @@ def evaluate(c: Condensation, s: Schedule, payload: DataFrame, step: Step, kind:
         done: list[Table] = []
         sent: DataFrame | None = None
         first = 0  # of the bands whose values are read where they were written
-        gives = lambda j: done[j].df.join(needed.filter(F.col("giver") == j), "component")
+        held = lambda tables: spark.read.schema(result).parquet(*[t.path for t in tables])
         for k, (_, _, tasks) in enumerate(starts):
             rows = laid.filter(F.col("band") == k).select("task", "rank", "component", *own, "before", F.lit(None).cast(inner_kind).alias("value"))
-            met = [gives(j).filter(F.col("band") == k) for j in range(first, k) if k in pairs[j]]
+            met = []
+            if givers := [done[j] for j in range(first, k) if k in pairs[j]]:
+                met.append(held(givers).join(needed.filter((F.col("band") == k) & (F.col("giver") >= first)), "component"))
             if sent is not None and any(k in pairs[j] for j in range(first)):
                 met.append(sent.filter(F.col("band") == k))
             for values in met:
@@ -102,14 +104,16 @@ def evaluate(c: Condensation, s: Schedule, payload: DataFrame, step: Step, kind:
             rows = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, "task")
             done.append(Table(rows.mapInArrow(run, result)))
             if k + 1 - first >= WINDOW:
-                late = [gives(j).filter(F.col("band") > k).select("band", "task", "component", "value") for j in range(first, k + 1) if any(b > k for b in pairs[j])]
+                late = []
+                if givers := [done[j] for j in range(first, k + 1) if any(b > k for b in pairs[j])]:
+                    late.append(held(givers).join(needed.filter((F.col("band") > k) & F.col("giver").between(first, k)), "component").select("band", "task", "component", "value"))
                 if sent is not None and any(b > k for j in range(first) for b in pairs[j]):
                     late.append(sent.filter(F.col("band") > k))
                 sent = sorted_table(reduce(DataFrame.unionByName, late), ("band", "component")) if late else None
                 first = k + 1
         for t in done:
             scope.keep(t.df)
-        return spark.read.schema(result).parquet(*[t.path for t in done]), len(starts)
+        return held(done), len(starts)
 
 
 def _laid(c: Condensation, members: DataFrame, given: DataFrame, own: list[str]) -> tuple[DataFrame, DataFrame | None, dict[int, set[int]]]:
@@ -125,7 +129,7 @@ def _laid(c: Condensation, members: DataFrame, given: DataFrame, own: list[str])
         return laid.df, None, pairs
     asked = laid.df.filter(F.size("outer") > 0).select("band", "task", F.explode("outer").alias("component")).distinct()
     asked = F.broadcast(asked) if laid.seen["outer"] <= BROADCAST_ROWS else asked
-    needed = sorted_table(members.select("component", F.col("band").alias("giver")).join(asked, "component").select("giver", "band", "task", "component"), ("giver", "band", "component"))
+    needed = sorted_table(members.select("component", F.col("band").alias("giver")).join(asked, "component").select("giver", "band", "task", "component"), ("band", "giver", "component"))
     for r in needed.select("giver", "band").distinct().collect():  # at most the square of the number of bands
         pairs[r["giver"]].add(r["band"])
     return laid.df, needed, pairs
